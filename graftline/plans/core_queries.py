@@ -67,7 +67,8 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_samples, p5_found, p5_posts, p5_comments, p5_replies, p5_reposts, p5_users, p6_found, p6_paths, p6_descendants)}
 
 _FOREST = """
-WITH RECURSIVE n AS (SELECT id, max_by(reply_comment, fetched_at) AS parent, max_by(depth, fetched_at) AS stored FROM comments WHERE id IS NOT NULL GROUP BY id),
+WITH RECURSIVE n AS (SELECT id, reply_comment AS parent, depth AS stored FROM comments WHERE id IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, reply_comment DESC NULLS LAST, depth DESC NULLS LAST) = 1),
 m AS (SELECT n.id, p.id AS parent, n.stored FROM n LEFT JOIN n AS p ON n.parent = p.id AND n.parent <> 0),
 t AS (SELECT id, id AS root_id, CAST(1 AS BIGINT) AS node_depth, [id] AS ids FROM m WHERE parent IS NULL
       UNION ALL SELECT m.id, t.root_id, t.node_depth + 1, list_append(t.ids, m.id) FROM m JOIN t ON m.parent = t.id),
