@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import balance, encode, pack
+from graftline.llm import balance, encode, garble, pack
 from graftline.sources.tables import table
 
 
@@ -46,5 +46,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("fill", F.round(F.expr(f"try_divide(n_tokens, n_containers * {capacity})"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.repair(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Each garbled document with its text as far as it can be known, and whether all of it is."""
+    return garble.repair(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}
