@@ -125,7 +125,7 @@ class Finder:
                         if not form.isascii() and not "Ѐ" <= form <= "ӿ":
                             forms[form][f"run {true}", wrong] = c
         for wrong in PAIRWISE:
-            for lead in (0xC2, 0xC3, 0xD0, 0xD1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF, 0xF0):
+            for lead in (0xC2, 0xC3, 0xCC, 0xD0, 0xD1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF, 0xF0):
                 for second in range(0x80, 0xC0):
                     try:
                         form = bytes([lead, second]).decode(wrong)
@@ -140,6 +140,12 @@ class Finder:
         forms["锟斤拷"]["sure", "gb18030"] = LOST
         forms["锟斤"]["sure", "gb18030"] = LOST
         forms[LOST]["sure", "utf-8"] = LOST
+        self.marks = {}
+        for wrong in ("cp437", "mac_roman"):
+            form = {c: _table(wrong)[c.encode("cp1252")[0]] for c in "’—“”…"}
+            self.marks[wrong] = ({f: c for c, f in form.items()}, re.compile(
+                f"(?<=n)(?P<contraction>{form['’']})(?=t\\b)|(?<=\\bI)(?P<contraction2>{form['’']})(?=(?:d|m|ve|ll)\\b)|(?<= )(?P<dash>{form['—']})(?= )"
+                f"|(?<![^\\s])(?P<open>{form['“']})(?=[A-Za-z])|(?<=[a-z.])(?P<rest>{form['…']}|{form['”']})(?![^\\s])".replace("contraction2", "short")))
         self.order = {w: i for i, w in enumerate(BYTEWISE)}
         self.automaton = ahocorasick.Automaton()
         for form, pairs in forms.items():
@@ -169,6 +175,8 @@ class Finder:
                 got = self._runs(text, kind[4:], wrong, at)
             if got:
                 found.append((pair, got))
+        if (got := self._marks(text)):
+            found.append((("swap", "marks"), got))
         # the pair that explains most of a text comes first; the others fill what it leaves
         rank = {pair: (-sum(e - s for s, e, _ in got), pair[0] != "unit", self.order.get(pair[1], 99)) for pair, got in found}
         taken = bytearray(len(text))
@@ -218,6 +226,15 @@ class Finder:
                 proof += (2 if inside and text[s] not in _WEAK and not "Ѐ" <= text[s] <= "ӿ" else 1 if inside else 0.5) if c != "¿" else 0.5
         return out if proof >= 2 else []
 
+    def _marks(self, text: str) -> list[tuple[int, int, str | None]]:
+        """Marks of a one-byte text in another one-byte code page, told by their places in English words."""
+        for marks, rule in self.marks.values():
+            hits = list(rule.finditer(text))
+            kinds = {m.lastgroup for m in hits}
+            if kinds & {"contraction", "short"} or len(kinds) >= 2 and kinds & {"dash", "open"}:
+                return [(m.start(m.lastgroup), m.end(m.lastgroup), marks[m[m.lastgroup]]) for m in hits]
+        return []
+
     def _pairwise(self, text: str, start: int, wrong: str) -> tuple[int, int, str | None] | None:
         """The longest stretch from ``start`` whose bytes in ``wrong`` are UTF-8 of common characters."""
         i, n, raw, ends, lost = start, len(text), bytearray(), [], False
@@ -277,8 +294,12 @@ class Finder:
             return True
         if wide and (wide[0] in "‘’“”–—…€™•" or "\U0001f000" <= wide[0] <= "\U0001ffff"):
             return True
+        left, right = text[start - 1 : start] if start else "", text[end : end + 1]
+        if len(wide) == 1 and "\u0300" <= wide[0] <= "\u036f":  # an accent of its own after its letter
+            return left.isascii() and left.isalpha()
+        if len(wide) == 1 and wide[0] in "§°±²³·½¼¾×÷£¥©®«»¿¡":
+            return (not left or left.isascii()) and (not right or right.isascii()) and left.isspace() != left.isdigit()
         if len(wide) == 1 and wide[0].isalpha() and wide[0] in _ACCENTED:
-            left, right = text[start - 1 : start], text[end : end + 1]
             return (left.isascii() and left.isalpha()) and (not right or right.isascii()) and text[start] not in "猫毛"
         return False
 

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import balance, encode, garble, pack
+from graftline.llm import balance, encode, garble, overlap, pack
 from graftline.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.Overlaps(table(spark, d, "sft")).found()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.Overlaps(table(spark, d, "sft")).report()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return balance.groups(table(spark, d, "sft").select("id", "sft_chunk_info")).select("id", "group_id")
 
@@ -55,5 +63,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}
