@@ -34,6 +34,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from graftline.runtime import Scratch, spread
@@ -187,7 +188,6 @@ def changed_words(a: list[str], b: list[str], most: int) -> int:
     return min(row[len(b)], far)
 
 
-@pandas_udf("boolean")
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
@@ -207,7 +207,7 @@ class Overlaps:
         train = F.col("split_name") == "train"
         self.reps = scratch.write(self.members.groupBy("text_class").agg(F.min("words").alias("words"), F.bool_or(train).alias("train"), F.bool_or(~train).alias("eval")))
         text = lambda k: self.reps.select(F.col("text_class").alias(k), F.col("words").alias(f"words_{k}"))
-        near = _candidates(self.reps).join(text("a"), "a").join(text("b"), "b").where(_near("words_a", "words_b")).select("a", "b")
+        near = _candidates(self.reps).join(text("a"), "a").join(text("b"), "b").where(pandas_udf(_near, T.BooleanType())("words_a", "words_b")).select("a", "b")
         same = self.reps.where("train AND eval").select(F.col("text_class").alias("a"), F.col("text_class").alias("b"))
         self.pairs = scratch.write(near.unionByName(same))
 
