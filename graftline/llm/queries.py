@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import balance, encode, garble, overlap, pack
+from graftline.llm import balance, encode, garble, overlap, pack, pairs
 from graftline.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.flag(table(spark, d, "sft"), table(spark, d, "rollout"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Defective keys per table and defect."""
+    return p2_found(spark, d).groupBy("tbl", "defect").agg(F.count("*").alias("n_keys"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Overlaps(table(spark, d, "sft")).found()
 
@@ -63,5 +72,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}
