@@ -115,7 +115,9 @@ def compare(old: dict[str, int], new: dict[str, int], renames: dict[tuple[str, s
     taken: set[str] = set()
     for (g, c), _ in sorted(renames.items(), key=lambda x: (x[0][0].count(".") + x[0][0].count("["), -x[1], x[0])):
         a, b = holder(g), holder(c)
-        if c in renamed or g in taken or _as_old(c, renamed) == g:  # the last: only its holder was renamed
+        if c in renamed or g in taken:
+            continue
+        if _as_old(c, renamed) in old or _as_old(g, {v: k for k, v in renamed.items()}) in new:  # only its holder was renamed
             continue
         if a == b or _as_old(b, renamed) == a:
             renamed[c] = g
