@@ -36,20 +36,20 @@ def _is_splitter(c: Column, rate: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(rate)) == 0
 
 
-def _double(state: DataFrame, arrive, scratch: Scratch, with_path: bool) -> tuple[DataFrame, int, int]:
+def _double(state: DataFrame, arrive, scratch: Scratch, with_path: bool) -> tuple[DataFrame, int]:
     """Rounds of pointer doubling over state(id, ptr, dist, lo, end[, path]) until no node walks or all that walk circle.
 
-    ``arrive(ptr, met_end)`` says how a walk goes on that has come to ``ptr``. Gives the state, the count of circling
-    nodes and the rounds done.
+    ``arrive(ptr, met_end)`` says how a walk goes on that has come to ``ptr``. Gives the state and the count of circling
+    nodes.
     """
-    before, rounds = None, 0
+    before = None
     seen = Observation()
     state = scratch.write(state.observe(seen, F.sum(F.when(F.col("end") == WALKS, 1).otherwise(0)).alias("n")))
     while True:
         walking = seen.get["n"] or 0
         if walking == 0 or walking == before:
-            return state, walking, rounds
-        before, rounds, seen = walking, rounds + 1, Observation()
+            return state, walking
+        before, seen = walking, Observation()
         nxt = _hop(state, arrive, with_path)
         old, state = state, scratch.write(nxt.observe(seen, F.sum(F.when(F.col("end") == WALKS, 1).otherwise(0)).alias("n")))
         scratch.drop(old)
@@ -70,21 +70,24 @@ def _hop(state: DataFrame, arrive, with_path: bool) -> DataFrame:
     return state.where(F.col("end") != WALKS).unionByName(moved)
 
 
-def _circle(state: DataFrame, count: int, rounds: int, scratch: Scratch) -> DataFrame:
-    """(id, ptr) of the walking nodes, ptr being the smallest id on the cycle each comes to.
+def _circle(state: DataFrame, nexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, ptr) of the walking nodes, ptr being the smallest id on the cycle each comes to; nexts(id, next) are their links.
 
-    All nodes given walk in circles for good, so after as many steps as there are nodes every pointer is on its cycle
-    and the minimum over as many further steps is the cycle's.
+    All nodes given walk in circles for good. Each knows the minimum of as many nodes from its pointer on as were
+    walked so far. Once these minima agree along every link they are the same all the way to and around a cycle, and
+    as some of them span its smallest id and none on the cycle spans another's, they are the cycle's; until then the
+    steps are doubled.
     """
-    now = scratch.write(state.where(F.col("end") == WALKS).select("id", "ptr", "lo"))
-    steps = 2**rounds
-    while steps < count:
+    now = scratch.write(state.where(F.col("end") == WALKS).select("id", "ptr", "lo").join(nexts, "id"))
+    while True:
         met = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("m_ptr"), F.col("lo").alias("m_lo"))
-        old, now = now, scratch.write(now.join(met, "ptr").select("id", F.col("m_ptr").alias("ptr"), F.least("lo", "m_lo").alias("lo")))
+        seen = scratch.write(now.join(met, "ptr").select("id", "next", "lo", "m_ptr", "m_lo"))
+        after = seen.select(F.col("id").alias("next"), F.col("m_lo").alias("n_lo"))
+        if not seen.join(after, "next").where("m_lo <> n_lo").limit(1).count():
+            return seen.select("id", F.col("m_lo").alias("ptr"))
+        old, now = now, scratch.write(seen.select("id", F.col("m_ptr").alias("ptr"), F.least("lo", "m_lo").alias("lo"), "next"))
         scratch.drop(old)
-        steps *= 2
-    met = now.select(F.col("id").alias("ptr"), F.col("lo").alias("m_lo"))
-    return now.join(met, "ptr").select("id", F.col("m_lo").alias("ptr"))
+        scratch.drop(seen)
 
 
 def resolve(nodes: DataFrame, rate: int = 8, with_path: bool = False) -> DataFrame:
@@ -102,12 +105,12 @@ def resolve(nodes: DataFrame, rate: int = 8, with_path: bool = False) -> DataFra
         F.when(_is_splitter(F.col("parent"), rate), SPLITTER).otherwise(WALKS).alias("end"),
         *([F.array("parent").alias("path")] if with_path else []),
     )
-    walked, circling, rounds = _double(first, lambda p, end: F.when(end != WALKS, end).when(_is_splitter(p, rate), SPLITTER).otherwise(WALKS), scratch, with_path)
+    walked, circling = _double(first, lambda p, end: F.when(end != WALKS, end).when(_is_splitter(p, rate), SPLITTER).otherwise(WALKS), scratch, with_path)
 
     done = walked.where(F.col("end") != WALKS)
     none = F.lit(None).cast("array<bigint>").alias("path")
     if circling:
-        rest = _circle(walked, circling, rounds, scratch).select("id", "ptr", F.lit(0).cast("bigint").alias("dist"), F.col("ptr").alias("lo"), F.lit(CYCLE).alias("end"), *([none] if with_path else []))
+        rest = _circle(walked, kids.select("id", F.col("parent").alias("next")), scratch).select("id", "ptr", F.lit(0).cast("bigint").alias("dist"), F.col("ptr").alias("lo"), F.lit(CYCLE).alias("end"), *([none] if with_path else []))
         full = scratch.write(done.unionByName(rest))
         scratch.drop(walked)
     else:
@@ -115,9 +118,9 @@ def resolve(nodes: DataFrame, rate: int = 8, with_path: bool = False) -> DataFra
 
     # The reduced graph: splitters point to splitters; one that points at a root or into a cycle is solved already.
     splitters = full.where(_is_splitter(F.col("id"), rate)).withColumn("end", F.when(F.col("end") == SPLITTER, WALKS).otherwise(F.col("end")))
-    solved, circling, rounds = _double(splitters, lambda p, end: end, scratch, with_path)
+    solved, circling = _double(splitters, lambda p, end: end, scratch, with_path)
     if circling:
-        rest = _circle(solved, circling, rounds, scratch).select("id", "ptr", F.lit(0).cast("bigint").alias("dist"), F.col("ptr").alias("lo"), F.lit(CYCLE).alias("end"), *([none] if with_path else []))
+        rest = _circle(solved, splitters.select("id", F.col("ptr").alias("next")), scratch).select("id", "ptr", F.lit(0).cast("bigint").alias("dist"), F.col("ptr").alias("lo"), F.lit(CYCLE).alias("end"), *([none] if with_path else []))
         old, solved = solved, scratch.write(solved.where(F.col("end") != WALKS).unionByName(rest))
         scratch.drop(old)
 
