@@ -41,5 +41,5 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def pretty_json(df: DataFrame, path: str, n: int = 10_000) -> None:
     """An indented JSON array of at most n rows, for reading by eye."""
-    rows = [json.loads(x) for x in df.limit(n).toJSON().collect()]
+    rows = [json.loads(r.cell) for r in df.limit(n).select(F.to_json(F.struct("*")).alias("cell")).collect()]
     Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
