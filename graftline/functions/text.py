@@ -120,8 +120,8 @@ def wrap_as_list(c: Column) -> Column:
 
 
 def guarded_json(c: Column) -> Column:
-    """The text where it begins like JSON and parses, else null."""
-    return F.when(c.rlike(r"^\s*[\[{]") & F.try_parse_json(c).isNotNull(), c)
+    """The text where it begins and ends like JSON and parses, else null (the parser alone allows text after a value)."""
+    return F.when(c.rlike(r"^\s*[\[{]") & c.rlike(r"[\]}]\s*$") & F.try_parse_json(c).isNotNull(), c)
 
 
 def split_names(c: Column) -> Column:

@@ -174,3 +174,18 @@ def test_stream_drops_late_repeats_and_counts_windows(spark, tmp_path):
     assert out.count() == 3
     means = stream.drained(stream.window_means(stream.tail(spark, str(tmp_path / "log"))), str(tmp_path / "m"))
     assert means.columns == ["start", "event_type", "n", "mean"]
+
+
+def test_spans_and_records(spark):
+    from graftline.functions import records
+    from graftline.operators import spans
+
+    assert spans.between_marks("a|bc|d|e", "|") == [(2, 4)] and spans.covering([(2, 4), (5, 5)], [(0, 1), (1, 3), (3, 9)]) == [(1, 2), (None, None)]
+    assert one(spark, spans.span_tokens(F.lit("x |a b| y"), "|"))[0].asDict() == {"start": 3, "end": 6, "first": 1, "last": 2}
+    assert one(spark, spans.span_tokens(F.lit(None).cast("string"), "|")) == []
+    items = F.from_json(F.lit('[{"type":0},{"type":1},{"type":2}]'), "array<struct<user_name:string,type:int>>")
+    assert one(spark, records.positive_children(items, F.array(*map(F.lit, "abc")))) == ["b", "c"]
+    assert one(spark, records.quoted_list(F.lit('["a", "b'))) == ["a"] and records.glob_pattern("a.*b") == r"^a\..*b$"
+    assert one(spark, records.public_fields(F.lit('{"a": "1", "_b": 2, "gold": []}'))) == {"a": "1"}
+    assert one(spark, records.reward(F.lit('{"step_reward": "0.5"}'), F.lit("x"))) == 0.5 and one(spark, records.reward(F.lit(None).cast("string"))) == 0.0
+    assert one(spark, records.is_parent_maps(F.lit("[]"))) is True and one(spark, records.is_parent_maps(F.lit("{}"))) is False
