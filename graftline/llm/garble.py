@@ -45,9 +45,13 @@ LEGACY = {
     "cp1251": ("cp1252", "latin-1", "mac_roman", "cp1250", "cp437", "cp850"),
 }
 SWAPPED = ("mac_roman", "cp437", "cp850", "cp1251", "koi8-r")
-_LATIN = "áéíóúüñàâçèêëîïôœùûäöß¿ÁÉÍÓÚÑÜÄÖÀÇ"
+_LATIN = "áéíóúüñàâçèêëîïôœùûäößåæø¿ÁÉÍÓÚÑÜÄÖÀÇÅÆØ"
 #: Signs that also stand between letters in right text, so that one of them proves nothing.
 _WEAK = frozenset("·±÷×²³¹°º≤≥")
+#: Signs that stand at words of right text.
+_STOPS = frozenset("…–—‘’“”‚„•™©®°‹›«»¡¿")
+#: Cyrillic letters that are also put into Latin words for their looks.
+_TWINS = frozenset("аеорсухіАЕОРСУХВНКМТ")
 LOST = "�"
 _RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 #: Characters of right text that may follow each other by chance although they are a form of some character.
@@ -67,7 +71,7 @@ def _table(codec: str) -> list[str]:
 
 def _repertoire() -> list[str]:
     """Characters of texts in Chinese, Latin and Cyrillic script that take two or three bytes of UTF-8."""
-    out = [chr(c) for c in range(0xA0, 0x180)] + list(_RUSSIAN + _RUSSIAN.upper())
+    out = [chr(c) for c in [*range(0xA0, 0x180), *range(0x300, 0x370), *range(0x391, 0x3CA), *range(0x660, 0x66A), *range(0x966, 0x970)]] + list(_RUSSIAN + _RUSSIAN.upper())
     out += [chr(c) for c in [*range(0x2010, 0x2027), *range(0x2030, 0x203B), 0x20AC, 0x2122, 0x200B, 0x200D, 0xFE0F, 0xFEFF, 0xFFFD]]
     out += [chr(c) for c in [*range(0x3000, 0x3020), *range(0x3041, 0x30FF), *range(0xFF01, 0xFF5F), *range(0x2600, 0x27C0), *range(0x2190, 0x2200)]]
     return out + _hanzi("gb2312", 0xB0, 0xF8, 0xA1)
@@ -102,8 +106,7 @@ class Finder:
             table = self.tables[wrong]
             for c in letters:
                 form = "".join(table[b] for b in c.encode())
-                if not _PLAIN.fullmatch(form):
-                    forms[form]["unit", wrong] = c
+                forms[form]["plain" if _PLAIN.fullmatch(form) else "unit", wrong] = c
             for second in range(0x90, 0xA9):  # emoji and the like, four bytes
                 for third in range(0x80, 0xC0):
                     if second == 0x9F:
@@ -137,15 +140,20 @@ class Finder:
                 form = _table(wrong)[c.encode("cp1252")[0]]
                 if not form.isascii() and not ("ß" <= form <= "ž" and form.islower()):
                     forms[form]["swap", wrong] = c
+        for face in ("(ґ`)", "(┤`)", "(¥`)"):  # of a face that lost its other signs
+            forms[face]["sure", "cp1251"] = LOST
         forms["锟斤拷"]["sure", "gb18030"] = LOST
         forms["锟斤"]["sure", "gb18030"] = LOST
+        for digit in "0123456789":
+            for sign in "ЂЈ":  # of the euro and the pound sign
+                forms[f" {sign}{digit}"]["sure", "cp1251"] = LOST
         forms[LOST]["sure", "utf-8"] = LOST
         self.marks = {}
         for wrong in ("cp437", "mac_roman"):
             form = {c: _table(wrong)[c.encode("cp1252")[0]] for c in "’—“”…"}
             self.marks[wrong] = ({f: c for c, f in form.items()}, re.compile(
-                f"(?<=n)(?P<contraction>{form['’']})(?=t\\b)|(?<=\\bI)(?P<contraction2>{form['’']})(?=(?:d|m|ve|ll)\\b)|(?<= )(?P<dash>{form['—']})(?= )"
-                f"|(?<![^\\s])(?P<open>{form['“']})(?=[A-Za-z])|(?<=[a-z.])(?P<rest>{form['…']}|{form['”']})(?![^\\s])".replace("contraction2", "short")))
+                f"(?<={'[a-z]' if form['’'].isupper() else 'n'})(?P<contraction>{form['’']})(?={'[ts]' if form['’'].isupper() else 't'}\\b)|(?<=\\bI)(?P<contraction2>{form['’']})(?=(?:d|m|ve|ll)\\b)|(?<= )(?P<dash>{form['—']})(?= )"
+                f"|(?<![^\\s])(?P<{'contraction3' if form['“'] == 'ì' else 'open'}>{form['“']})(?=[A-Za-z])|(?<=[a-z.])(?P<rest>{form['…']}|{form['”']})(?![^\\s])".replace("contraction2", "short").replace("contraction3", "word")))
         self.order = {w: i for i, w in enumerate(BYTEWISE)}
         self.automaton = ahocorasick.Automaton()
         for form, pairs in forms.items():
@@ -171,6 +179,8 @@ class Finder:
                 got = self._seeds(text, wrong, at)
             elif kind == "swap":
                 got = self._swaps(text, at)
+            elif kind == "plain":
+                got = self._plains(text, at)
             else:
                 got = self._runs(text, kind[4:], wrong, at)
             if got:
@@ -214,16 +224,48 @@ class Finder:
         return out
 
     @staticmethod
-    def _swaps(text: str, at: dict[int, tuple[int, str]]) -> list[tuple[int, int, str | None]]:
-        """Odd signs inside or at the end of words in small ASCII letters; two of them, or one that never stands there."""
-        out, proof = [], 0
+    def _plains(text: str, at: dict[int, tuple[int, str]]) -> list[tuple[int, int, str | None]]:
+        """Forms that right text also holds, as a Cyrillic letter and a sign; proof where they stand in a Latin word."""
+        out = []
         for s, (e, c) in at.items():
             left, right = text[s - 1 : s] if s else "", text[e : e + 1]
-            small = lambda x: x.isascii() and x.islower()
-            if small(left) and (small(right) or not right.isalpha() and not right.isdigit()) or c == "¿" and right.isascii() and right.isupper():
+            inside = "А" <= text[s] <= "я" and text[s + 1] not in "–—-" and not "Ѐ" <= left <= "ӿ" and not "Ѐ" <= right <= "ӿ"
+            if inside and (left.isascii() and left.isalpha() or not left.isalnum() and right.isascii() and right.isalpha()) and not text[s + 1].isspace():
+                out.append((s, e, c))
+        return out
+
+    @staticmethod
+    def _swaps(text: str, at: dict[int, tuple[int, str]]) -> list[tuple[int, int, str | None]]:
+        """Odd signs inside, at the end or at the head of words in ASCII letters; two of them, or one that never stands there."""
+        out, proof = [], 0.0
+        letter = lambda i: 0 <= i < len(text) and (text[i].isascii() and text[i].isalpha() or i in at and text[i] not in _STOPS)
+        for s, (e, c) in at.items():
+            if text[s] in _STOPS and c != "¿":
+                continue
+            left, right = letter(s - 1), letter(e)
+            low, high = s, e
+            while letter(low - 1) and s - low < 4:
+                low -= 1
+            while letter(high) and high - e < 4:
+                high += 1
+            around = high - e + s - low  # letters of the word beside the sign
+            odd = not ("ß" <= text[s] <= "ɏ" and text[s].isalpha()) or text[s].isupper()  # no small Latin letter
+            cyrillic, weak = "Ѐ" <= text[s] <= "ӿ", text[s] in _WEAK
+            after = text[e : e + 1]
+            before = text[s - 1 : s] if s else ""
+            if left and not before.isascii():  # right after another sign, itself in a word
+                before = text[s - 2 : s - 1] if s > 1 else ""
+                left = before.isascii() and before.isalpha()
+            fits = left and (before.islower() or not ("À" <= text[s] <= "ɏ" and text[s].isalpha())) and not (text[s].isalpha() and after.isascii() and after.isupper())
+            if fits and (right or not (after.isalpha() or after.isdigit())):
                 out.append((s, e, c))
-                inside = small(left) and small(right)
-                proof += (2 if inside and text[s] not in _WEAK and not "Ѐ" <= text[s] <= "ӿ" else 1 if inside else 0.5) if c != "¿" else 0.5
+                proof += 0 if not odd else (1 if text[s] in _TWINS else 2 if around >= 3 else 1) if cyrillic else (2 if right and around >= 4 else 1 if right else 0.5) if weak else 2 if right or around >= 2 else 1
+            elif right and high - e >= 3 and not left and not text[s].isalnum() and text[s] not in "«»‹›„“”‘’¿¡·" and not text[s - 1 : s].strip() and text[e : e + 3].islower():
+                out.append((s, e, c))
+                proof += 2 if "─" <= text[s] <= "▟" else 1
+            elif c == "¿" and after.isascii() and after.isupper():
+                out.append((s, e, c))
+                proof += 0.5
         return out if proof >= 2 else []
 
     def _marks(self, text: str) -> list[tuple[int, int, str | None]]:
@@ -231,7 +273,7 @@ class Finder:
         for marks, rule in self.marks.values():
             hits = list(rule.finditer(text))
             kinds = {m.lastgroup for m in hits}
-            if kinds & {"contraction", "short"} or len(kinds) >= 2 and kinds & {"dash", "open"}:
+            if kinds & {"contraction", "short", "word"} or len(kinds) >= 2 and kinds & {"dash", "open"}:
                 return [(m.start(m.lastgroup), m.end(m.lastgroup), marks[m[m.lastgroup]]) for m in hits]
         return []
 
@@ -299,6 +341,11 @@ class Finder:
             return left.isascii() and left.isalpha()
         if len(wide) == 1 and wide[0] in "§°±²³·½¼¾×÷£¥©®«»¿¡":
             return (not left or left.isascii()) and (not right or right.isascii()) and left.isspace() != left.isdigit()
+        if wide and ("☀" <= wide[0] <= "➿" and text[start] not in self.level1 or "･" in wide):
+            return True
+        if wide and len(wide) <= 2 and all(c in _ACCENTED for c in wide) and (len(wide) == 2 or not left.isalnum()):
+            tail = text[end : end + 3]
+            return left.isascii() and left.isalpha() and (not right or right.isascii()) or not left.isalnum() and len(tail) == 3 and tail.isascii() and tail.islower()
         if len(wide) == 1 and wide[0].isalpha() and wide[0] in _ACCENTED:
             return (left.isascii() and left.isalpha()) and (not right or right.isascii()) and text[start] not in "猫毛"
         return False
@@ -316,7 +363,7 @@ class Finder:
                 continue
             reach = e
         two = true in ("gb2312", "big5")
-        least, total = (2, 3) if two else (3, 6)
+        least, total = (2, 3) if two else (3, 4)
         kept = [r for r in runs if len(r) >= least and len({c for _, _, c in r}) > 1]
         if two:
             kept = [r for r in kept if sum(ord(x) > 0x7F for x in text[r[0][0] : r[-1][1]]) >= 3]
@@ -354,7 +401,7 @@ class Finder:
         return first, text, whole
 
 
-_ACCENTED = frozenset("áéíóúüñàâçèêëîïôœùûäößÁÉÍÓÚÜÑÀÂÇÈÊÄÖ")
+_ACCENTED = frozenset("áéíóúüñàâçèêëîïôœùûäößãõåæøÁÉÍÓÚÜÑÀÂÇÈÊÄÖÃÕÅÆØ")
 
 
 @lru_cache(maxsize=1)
