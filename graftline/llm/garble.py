@@ -259,7 +259,7 @@ class Finder:
             fits = left and (before.islower() or not ("À" <= text[s] <= "ɏ" and text[s].isalpha())) and not (text[s].isalpha() and after.isascii() and after.isupper())
             if fits and (right or not (after.isalpha() or after.isdigit())):
                 out.append((s, e, c))
-                proof += 0 if not odd else (1 if text[s] in _TWINS else 2 if around >= 3 else 1) if cyrillic else (2 if right and around >= 4 else 1 if right else 0.5) if weak else 2 if right or around >= 2 else 1
+                proof += 0 if not odd else (1 if text[s] in _TWINS else 2 if around >= 3 else 1) if cyrillic else (2 if right and around >= 4 else 0.5) if weak else 2 if right or around >= 2 else 1
             elif right and high - e >= 3 and not left and not text[s].isalnum() and text[s] not in "«»‹›„“”‘’¿¡·" and not text[s - 1 : s].strip() and text[e : e + 3].islower():
                 out.append((s, e, c))
                 proof += 2 if "─" <= text[s] <= "▟" else 1
@@ -365,6 +365,9 @@ class Finder:
         two = true in ("gb2312", "big5")
         least, total = (2, 3) if two else (3, 4)
         kept = [r for r in runs if len(r) >= least and len({c for _, _, c in r}) > 1]
+        if not two:  # words that go on in other letters are right text of another script
+            foreign = lambda i: 0 <= i < len(text) and text[i].isalpha() and not text[i].isascii()
+            kept = [r for r in kept if not foreign(r[0][0] - 1) and not foreign(r[-1][1])]
         if two:
             kept = [r for r in kept if sum(ord(x) > 0x7F for x in text[r[0][0] : r[-1][1]]) >= 3]
         if sum(map(len, kept)) < total:

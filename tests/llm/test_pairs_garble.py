@@ -55,7 +55,7 @@ def test_flag_rows(spark):
     assert pairs.flag(sft.limit(0), rollout.limit(0)).count() == 0
 
 
-SOUND = ["", "plain", "Âmbar y CHÂTEAU, #NÃO", "naïve café, déjà vu, voilà… où ça ?", "½ cup 5×7±1 µm €5 ™", "ЁЖ: Рёбра и «СССР» — это № 1…", "你好，猫和毛，没每 谢谢", "(´･ω･`) ██▌ 87%", "l·l 5 m³ 20 °C", "¿Qué tal? ¡Ánimo!", "Größe, Straße, Übung"]
+SOUND = ["", "plain", "Âmbar y CHÂTEAU, #NÃO", "naïve café, déjà vu, voilà… où ça ?", "½ cup 5×7±1 µm €5 ™", "ЁЖ: Рёбра и «СССР» — это № 1…", "你好，猫和毛，没每 谢谢", "(´･ω･`) ██▌ 87%", "l·l 5 m³ 20 °C", "¿Qué tal? ¡Ánimo!", "Größe, Straße, Übung", "Ποτάμι και θάλασσα", "안녕하세요 カフェ", "x≤y a±b", "٣٤ ५६ Åland"]
 ZH, RU, EN, FR = "导师推荐的奶茶我排了分钟，味道便宜得不像话。", "Соседка говорит, что каша сегодня была вкусная", "I don’t know — maybe “later”…", "J’ai payé très tôt, ma théière préférée était gâtée"
 
 
