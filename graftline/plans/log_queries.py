@@ -19,7 +19,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH m AS (SELECT user_id, max(ts) AS latest FROM events GROUP BY user_id) SELECT event_id, e.user_id FROM events e LEFT JOIN m USING (user_id) WHERE coalesce(e.ts >= m.latest - INTERVAL 7 DAY, true)")
-def p2_a1_retained(spark: SparkSession, d: str) -> DataFrame:
+def sel_p2_a1_retained(spark: SparkSession, d: str) -> DataFrame:
     return logs.retained(_events(spark, d), "user_id", "ts", 7).select("event_id", "user_id")
 
 
@@ -126,7 +126,7 @@ def j17_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT role, count(*) AS n, count(*) FILTER (content IS NULL) AS n_null, round(avg(length(content)), 6) AS mean_chars FROM (SELECT unnest(messages, recursive := true) FROM sft) GROUP BY role")
-def p22_role_stats(spark: SparkSession, d: str) -> DataFrame:
+def sel_p22_role_stats(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "sft").select(F.inline("messages"))
     return m.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("content").isNull()).alias("n_null"), F.round(F.avg(F.length("content")), 6).alias("mean_chars"))
 
@@ -177,7 +177,7 @@ def a17_empty_gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT DISTINCT group_id, trajectory_id, rollout_id FROM rollout WHERE report_depth IN (1, 2)")
-def p8_p9_report_depth(spark: SparkSession, d: str) -> DataFrame:
+def sel_p8_p9_report_depth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rollout").where(F.col("report_depth").isin(1, 2)).select("group_id", "trajectory_id", "rollout_id").distinct()
 
 
@@ -240,7 +240,7 @@ def o9_trimmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT id FROM (SELECT DISTINCT id, targets_per_potential_types AS t FROM sft) WHERE list_sum(list_transform(t, lambda x: coalesce(x, 0))) > 0")
-def p18_valid_rows(spark: SparkSession, d: str) -> DataFrame:
+def sel_p18_valid_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sft").select("id", "targets_per_potential_types").distinct()
     return rows.where(F.aggregate("targets_per_potential_types", F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) > 0).select("id")
 

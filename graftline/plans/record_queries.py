@@ -56,13 +56,13 @@ def t13_w8_rl_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT node_depth, count(*) AS n, count(*) FILTER (coalesce(node_depth, 0) = 0) AS roots, count(*) FILTER (node_depth IN (0, 1)) AS shown FROM sft GROUP BY node_depth")
-def p4_p5_p6_p10_depths(spark: SparkSession, d: str) -> DataFrame:
+def sel_p4_p5_p6_p10_depths(spark: SparkSession, d: str) -> DataFrame:
     depth = F.col("node_depth")
     return table(spark, d, "sft").groupBy("node_depth").agg(F.count("*").alias("n"), F.count_if(F.coalesce(depth, F.lit(0)) == 0).alias("roots"), F.count_if(depth.between(0, 1)).alias("shown"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
-def p11_p12_public_fields(spark: SparkSession, d: str) -> DataFrame:
+def sel_p11_p12_public_fields(spark: SparkSession, d: str) -> DataFrame:
     """Properties with a private key added and cut again."""
     leaky = F.regexp_replace("props", r"\}$", ', "_secret": 1, "gold": [1]}')
     kept = table(spark, d, "events").where("props IS NOT NULL").select("event_id", records.public_fields(leaky).alias("m"))
@@ -70,7 +70,7 @@ def p11_p12_public_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT id, list_transform(messages, lambda m: m.role) AS roles FROM sft")
-def p13_p24_without_field(spark: SparkSession, d: str) -> DataFrame:
+def sel_p13_p24_without_field(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sft").select("id", "messages")
     if records.has_field(rows.schema, "messages", "loss"):
         rows = rows.withColumn("messages", F.transform("messages", lambda m: m.dropFields("loss")))
@@ -164,7 +164,7 @@ def a3_last_post_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(FLAT + "SELECT record_id, node_id, CAST(depth AS VARCHAR) AS q FROM nodes")
-def p19_questions(spark: SparkSession, d: str) -> DataFrame:
+def sel_p19_questions(spark: SparkSession, d: str) -> DataFrame:
     """The oldest sample format's question of each node, read back for its depth."""
     nodes = _nodes(spark, d)
     q = F.to_json(F.struct(F.col("user").alias("用户名"), F.col("content").alias("内容"), F.col("depth").alias("深度"), text.nature(F.col("content")).alias("文本性质")))

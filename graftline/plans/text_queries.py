@@ -95,28 +95,28 @@ def f14_sample_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"SELECT doc_id, least(length(text), 8192) AS seq_len FROM documents")
-def p14_seq_len(spark: SparkSession, d: str) -> DataFrame:
+def sel_p14_seq_len(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.least(F.length("text"), F.lit(8192)).cast("bigint").alias("seq_len"))
 
 
 @query("SELECT id, content FROM (SELECT DISTINCT id, content FROM comments) WHERE NOT starts_with(" + STRIP.format("content") + ", '图片评论')")
-def p1_no_image_comments(spark: SparkSession, d: str) -> DataFrame:
+def sel_p1_no_image_comments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "comments").select("id", "content").distinct().where(~text.is_image_comment(F.col("content")))
 
 
 @query("SELECT doc_id, CASE WHEN text IN ('转发', '转发微博') THEN '转发' WHEN contains(text, '//@') THEN '评论' ELSE '原创博文' END AS nature FROM documents")
-def p15_nature(spark: SparkSession, d: str) -> DataFrame:
+def sel_p15_nature(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.nature(F.col("text")).alias("nature"))
 
 
 @query("SELECT node_type, CASE WHEN node_type IN ('转发', '转发微博') THEN '转发' ELSE '评论' END AS kind, count(*) AS n FROM comments GROUP BY ALL")
-def p16_kind(spark: SparkSession, d: str) -> DataFrame:
+def sel_p16_kind(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("node_type").isin(text.REPOST, text.REPOST_LONG), text.REPOST).otherwise(text.COMMENT)
     return table(spark, d, "comments").groupBy("node_type", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT id, content, CASE WHEN coalesce(node_type = '转发微博', false) OR coalesce(contains(content, '//@'), false) THEN 2 ELSE 1 END AS reaction FROM comments")
-def p17_reaction(spark: SparkSession, d: str) -> DataFrame:
+def sel_p17_reaction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "comments").select("id", "content", text.reaction(F.col("node_type"), F.col("content")).alias("reaction")).distinct()
 
 

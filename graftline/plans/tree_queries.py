@@ -91,7 +91,7 @@ def a6_pool_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PROFILED + "SELECT record_id, count(*) AS n FROM known WHERE root_user NOT IN (SELECT root_user FROM pool GROUP BY root_user HAVING count(*) > 20) OR root_user IS NULL GROUP BY record_id")
-def p3_j9_small_pools(spark: SparkSession, d: str) -> DataFrame:
+def sel_p3_j9_small_pools(spark: SparkSession, d: str) -> DataFrame:
     known = _known(spark, d)
     return trees.without_large(known, trees.pools(known), 20).groupBy("record_id").agg(F.count("*").alias("n"))
 
