@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graftline.operators import hierarchy, samples, trees
 from graftline.plans.registry import Registry
+from graftline.runtime import Scratch
 from graftline.sources.tables import table
 
 query = Registry()
@@ -41,7 +42,8 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    return trees.with_interests(_nodes(spark, d), table(spark, d, "profiles"))
+    """Nodes with interests, kept once: pools, chunks and labels all read them."""
+    return Scratch(spark, "known").write(trees.with_interests(_nodes(spark, d), table(spark, d, "profiles")))
 
 
 @query(FLAT + "SELECT record_id, node_id, parent_id, depth, \"user\" AS user_name, kind FROM nodes")
@@ -106,7 +108,7 @@ def o4_even_parts(spark: SparkSession, d: str) -> DataFrame:
     return samples.even_parts(trees.pools(_known(spark, d)), ["root_user"], "user_name", 10).select("root_user", "user_name", "part")
 
 
-LABELS = PROFILED + r""", cut AS (SELECT root_user, user_name, row_number() OVER (PARTITION BY root_user ORDER BY user_name) AS pos FROM pool),
+LABELS = PROFILED + r""", cut AS (SELECT root_user, user_name, row_number() OVER (PARTITION BY root_user ORDER BY user_name) AS pos FROM pool QUALIFY count(*) OVER (PARTITION BY root_user) <= 1000),
 kid AS (SELECT record_id, parent_id AS node_id, "user" AS user_name, CASE WHEN kind = '转发微博' OR contains(coalesce(content, ''), '//@') THEN 2 ELSE 1 END AS reaction FROM nodes WHERE parent_id IS NOT NULL AND "user" <> ''
  QUALIFY row_number() OVER (PARTITION BY record_id, parent_id, "user" ORDER BY node_id DESC) = 1),
 cell AS (SELECT n.record_id, n.node_id, n.depth, CAST((pos - 1) // 8 AS INTEGER) AS chunk, pos, cut.user_name, coalesce(kid.reaction, 0) AS reaction
@@ -115,9 +117,11 @@ cell AS (SELECT n.record_id, n.node_id, n.depth, CAST((pos - 1) // 8 AS INTEGER)
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of authors with pools of at most POOL_LIMIT users, left out before they are multiplied by candidates."""
     known = _known(spark, d)
-    pool = samples.chunks(trees.pools(known), ["root_user"], "user_name", CHUNK)
-    return samples.labelled(known, pool, trees.children(known))
+    pool = trees.pools(known)
+    small = trees.without_large(known, pool, POOL_LIMIT)
+    return samples.labelled(small, samples.chunks(pool, ["root_user"], "user_name", CHUNK), trees.children(small))
 
 
 @query(LABELS + "SELECT record_id || '_node_' || node_id || '_potchunk_' || chunk || '_tL' || depth AS id, depth AS node_depth, array_to_string(list(user_name ORDER BY pos), '|') AS candidates, array_to_string(list(reaction ORDER BY pos), ',') AS types FROM cell GROUP BY record_id, node_id, depth, chunk")
