@@ -47,6 +47,45 @@ def gathered(cells: DataFrame) -> DataFrame:
         F.transform("cells", lambda c: c.user).alias("candidates"), F.transform("cells", lambda c: c.reaction).alias("types"), F.transform("cells", lambda c: c.said).alias("texts"))
 
 
+def _met(asked: DataFrame, pool_chunks: DataFrame, kids: DataFrame) -> DataFrame:
+    """The reactions of candidates to the nodes asked: (record_id, node_id, chunk, pos, reaction, said)."""
+    by = asked.select("record_id", "node_id", "root_user")
+    met = kids.withColumnRenamed("parent_id", "node_id").join(by, ["record_id", "node_id"])
+    return met.join(pool_chunks.select("root_user", "chunk", "pos", F.col("user_name").alias("user")), ["root_user", "user"])
+
+
+def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, block: int = 64) -> DataFrame:
+    """The same as ``gathered(labelled(...))``, without a row per candidate.
+
+    A node meets ``block`` chunks of its pool at a time, so that large pools spread over tasks; its reactions are
+    brought to it before, and the samples leave the last join as they are: what is shuffled grows with nodes x blocks.
+    """
+    part = F.floor(F.col("chunk") / block).cast("int")
+    chunk = pool_chunks.groupBy("root_user", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("user_name").alias("user")))).alias("cells")).withColumn("part", part)
+    parts = pool_chunks.groupBy("root_user").agg(F.max(part).alias("parts"))
+    asked = nodes.where("depth IN (0, 1)").select("record_id", "node_id", "root_user", "depth")
+    met = _met(asked, pool_chunks, kids).groupBy("record_id", "node_id", part.alias("part")).agg(F.collect_list(F.struct("chunk", "pos", "reaction", "said")).alias("met"))  # at most a block's candidates
+    rows = asked.join(parts, "root_user").withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
+    rows = rows.join(met, ["record_id", "node_id", "part"], "left").join(chunk, ["root_user", "part"])
+    rows = rows.withColumn("met", F.filter("met", lambda m: m.chunk == F.col("chunk")))
+    own = F.transform("cells", lambda c: F.get(F.filter("met", lambda m: m.pos == c.pos), F.lit(0)))
+    return rows.withColumn("own", own).select(
+        F.format_string("%s_node_%s_potchunk_%s_tL%s", "record_id", "node_id", "chunk", "depth").alias("id"), "record_id", F.col("depth").alias("node_depth"),
+        F.transform("cells", lambda c: c.user).alias("candidates"),
+        F.when(F.col("met").isNull(), F.transform("cells", lambda c: F.lit(0))).otherwise(F.transform("own", lambda m: F.coalesce(m.reaction, F.lit(0)))).alias("types"),
+        F.when(F.col("met").isNull(), F.transform("cells", lambda c: F.lit(""))).otherwise(F.transform("own", lambda m: F.coalesce(m.said, F.lit("")))).alias("texts"))
+
+
+def candidate_stats(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame) -> DataFrame:
+    """(depth, n_samples, n_cands, n_gold, share), counted from the sizes of the pools."""
+    sizes = pool_chunks.groupBy("root_user").agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("n"))
+    asked = nodes.where("depth IN (0, 1)").select("record_id", "node_id", "root_user", "depth")
+    gold = _met(asked, pool_chunks, kids).where("reaction <> 0").groupBy("record_id", "node_id").agg(F.count("*").alias("gold"))
+    rows = asked.join(sizes, "root_user").join(gold, ["record_id", "node_id"], "left")
+    out = rows.groupBy("depth").agg(F.sum("chunks").alias("n_samples"), F.sum("n").alias("n_cands"), F.coalesce(F.sum("gold"), F.lit(0)).alias("n_gold"))
+    return out.withColumn("share", F.round(F.col("n_gold") / F.col("n_cands"), 6))
+
+
 def split(records: DataFrame, key: str, share: float, order: Column) -> DataFrame:
     """Distinct keys to train or val: the first round-half-even(n * share) in the given order.
 

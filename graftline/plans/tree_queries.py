@@ -13,7 +13,7 @@ from graftline.sources.tables import table
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
-POOL_LIMIT, CHUNK, COPIES, SHARE = 1000, 8, 10, 0.85
+CHUNK, COPIES, SHARE = 8, 10, 0.85
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 FLAT = """WITH RECURSIVE p AS (SELECT post.id AS record_id, post FROM raw_posts WHERE post.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post.id ORDER BY crawled_at DESC NULLS LAST, row_id DESC) = 1),
@@ -116,24 +116,20 @@ cell AS (SELECT n.record_id, n.node_id, n.depth, CAST((pos - 1) // 8 AS INTEGER)
 """
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of authors with pools of at most POOL_LIMIT users, left out before they are multiplied by candidates."""
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, chunks of the candidates and last reactions, of all authors however large their pools."""
     known = _known(spark, d)
-    pool = trees.pools(known)
-    small = trees.without_large(known, pool, POOL_LIMIT)
-    return samples.labelled(small, samples.chunks(pool, ["root_user"], "user_name", CHUNK), trees.children(small))
+    return known, samples.chunks(trees.pools(known), ["root_user"], "user_name", CHUNK), trees.children(known)
 
 
 @query(LABELS + "SELECT record_id || '_node_' || node_id || '_potchunk_' || chunk || '_tL' || depth AS id, depth AS node_depth, array_to_string(list(user_name ORDER BY pos), '|') AS candidates, array_to_string(list(reaction ORDER BY pos), ',') AS types FROM cell GROUP BY record_id, node_id, depth, chunk")
 def t7_j4_j5_samples(spark: SparkSession, d: str) -> DataFrame:
-    return samples.gathered(_cells(spark, d)).select("id", "node_depth", F.array_join("candidates", "|").alias("candidates"), F.array_join(F.transform("types", lambda x: x.cast("string")), ",").alias("types"))
+    return samples.sampled(*_asked(spark, d)).select("id", "node_depth", F.array_join("candidates", "|").alias("candidates"), F.array_join(F.transform("types", lambda x: x.cast("string")), ",").alias("types"))
 
 
 @query(LABELS + "SELECT depth, count(DISTINCT (record_id, node_id, chunk)) AS n_samples, count(*) AS n_cands, count(*) FILTER (reaction <> 0) AS n_gold, round(count(*) FILTER (reaction <> 0) / count(*), 6) AS share FROM cell GROUP BY depth")
 def a7_candidate_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d)
-    gold = F.count_if(F.col("reaction") != 0)
-    return c.groupBy("depth").agg(F.count_distinct("record_id", "node_id", "chunk").alias("n_samples"), F.count("*").alias("n_cands"), gold.alias("n_gold"), F.round(gold / F.count("*"), 6).alias("share"))
+    return samples.candidate_stats(*_asked(spark, d))
 
 
 @query("WITH k AS (SELECT DISTINCT regexp_extract(id, '^(.*?)_node_', 1) AS record_id FROM sft), n AS (SELECT record_id, row_number() OVER (ORDER BY md5(record_id), record_id) AS rank, count(*) OVER () AS n FROM k) SELECT record_id, CASE WHEN rank <= round_even(n * 0.85, 0) THEN 'train' ELSE 'val' END AS part FROM n")

@@ -189,3 +189,25 @@ def test_spans_and_records(spark):
     assert one(spark, records.public_fields(F.lit('{"a": "1", "_b": 2, "gold": []}'))) == {"a": "1"}
     assert one(spark, records.reward(F.lit('{"step_reward": "0.5"}'), F.lit("x"))) == 0.5 and one(spark, records.reward(F.lit(None).cast("string"))) == 0.0
     assert one(spark, records.is_parent_maps(F.lit("[]"))) is True and one(spark, records.is_parent_maps(F.lit("{}"))) is False
+
+
+def test_samples_of_pools_of_any_size(spark, tmp_path):
+    """An author with 1,203 candidates keeps all samples; the cells are those of the candidates taken one by one."""
+    from graftline.plans import tree_queries
+
+    who = lambda i: f"struct({i} as id, concat('u', {i}) as screen_name)"
+    comment = lambda i: f"struct({i} + 10000L * p as id, {who(i)} as user, 'hi' as text_raw, cast(array() as array<struct<id: bigint, user: struct<id: bigint, screen_name: string>, text_raw: string, reply_comment: struct<id: bigint>>>) as comments)"
+    repost = f"struct(9L + 10000L * p as id, {who('1L')} as user, 'x' as text_raw, '' as text_law)"
+    raw = spark.sql(f"SELECT p AS row_id, timestamp'2024-01-01' AS crawled_at, struct(p as id, struct(p as id, concat('a', p) as screen_name) as user, 'post' as text_raw, transform(sequence(10L, n), i -> {comment('i')}) as comments, array({repost}) as reposts) AS post FROM VALUES (1L, 1210L), (2L, 20L) AS t(p, n)")
+    raw.write.parquet(f"{tmp_path}/raw_posts.parquet")
+    spark.range(2000).selectExpr("id AS user_id", "array('x') AS user_interests", "timestamp'2024-01-01' AS updated_at").write.parquet(f"{tmp_path}/profiles.parquet")
+    rows = tree_queries.QUERIES["t7_j4_j5_samples"](spark, str(tmp_path)).collect()
+    assert len({r.id for r in rows}) == len(rows) == 151 * 1203 + 2 * 13
+    (first,) = [r for r in rows if r.id == "1_node_1_potchunk_0_tL0"]
+    assert first.candidates.split("|")[:2] == ["a1", "u1"] and first.types.split(",")[:3] == ["0", "2", "1"]
+    stats = {r.depth: r for r in tree_queries.QUERIES["a7_candidate_stats"](spark, str(tmp_path)).collect()}
+    assert (stats[0].n_samples, stats[0].n_cands, stats[0].n_gold) == (153, 1216, 1214) and (stats[1].n_samples, stats[1].n_gold) == (151 * 1202 + 2 * 12, 0)
+    nodes, pool, kids = tree_queries._asked(spark, str(tmp_path))
+    few = nodes.where("node_id < 3 OR node_id % 100 = 9")
+    a, b = (f(few).select("id", "node_depth", "candidates", "types", "texts") for f in (lambda n: samples.sampled(n, pool, kids), lambda n: samples.gathered(samples.labelled(n, pool, kids))))
+    assert a.count() == b.count() > 0 and not a.exceptAll(b).count() and not b.exceptAll(a).count()
