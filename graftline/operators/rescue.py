@@ -32,11 +32,12 @@ MESSAGE = {"role": "string", "content": "string", "loss": "bigint", "depth": "bi
 
 #: Approved names of the same field in the exports; fixed values, target name after the colon.
 APPROVED = {
-    "id": "sample_id", "user_name": "author", "root_user": "author", "targets": "targets_per_potential_types", "chunk_info": "sft_chunk_info",
-    "layer": "node_depth", "n_chars": "seq_len", "messages[].from": "messages[].role", "messages[].speaker": "messages[].role",
+    "id": "sample_id", "row_key": "sample_id", "data_source": "origin", "user_name": "author", "root_user": "author", "targets": "targets_per_potential_types", "chunk_info": "sft_chunk_info",
+    "layer": "node_depth", "target_layer": "node_depth", "n_chars": "seq_len", "messages[].from": "messages[].role", "messages[].speaker": "messages[].role",
     "messages[].body": "messages[].content", "messages[].value": "messages[].content", "messages[].text": "messages[].content",
-    "messages[].loss_flag": "messages[].loss", "messages[].w": "messages[].loss", "messages[].level": "messages[].depth", "messages[].content.text": "messages[].content",
+    "messages[].loss_flag": "messages[].loss", "messages[].level": "messages[].depth", "messages[].turn_depth": "messages[].depth", "messages[].content.text": "messages[].content",
     "messages[].content.depth": "messages[].depth", "messages[].body.text": "messages[].content", "messages[].value.text": "messages[].content",
+    "messages[].content.text_raw": "messages[].content", "messages[].body.text_raw": "messages[].content", "messages[].value.text_raw": "messages[].content",
     "messages[].body.depth": "messages[].depth", "messages[].value.depth": "messages[].depth",
 }
 
@@ -72,10 +73,12 @@ def leaves(value: object, path: str, where: tuple[int, ...] = ()) -> Iterator[tu
 
 
 def cast(value: object, kind: str) -> tuple[object, bool]:
-    """(typed value, whether it could be cast); text of whole numbers casts to bigint, no other kind changes."""
+    """(typed value, whether it could be cast); text of whole numbers casts to bigint, numbers and truth values to their JSON text."""
     if value is None:
         return None, True
     if kind == "string":
+        if isinstance(value, int | float):
+            return json.dumps(value), True
         return (value, True) if isinstance(value, str) else (None, False)
     if kind == "bigint":
         if isinstance(value, bool):
@@ -130,8 +133,11 @@ def enforce(value: dict) -> tuple[dict, dict]:
 
 
 def replay(typed: dict, rescued: dict, approved: dict[str, str]) -> tuple[dict, dict]:
-    """Approved rescued values moved into the typed fields that are still null; the rest stays rescued."""
-    rest = {}
+    """Approved rescued values moved into the typed fields that are still null; the rest stays rescued.
+
+    A message's own fields go first; those inside its content fill what is then still null.
+    """
+    done = set()
     if isinstance(rescued.get("messages"), str):  # messages kept as JSON text
         try:
             inner = json.loads(rescued["messages"])
@@ -141,7 +147,7 @@ def replay(typed: dict, rescued: dict, approved: dict[str, str]) -> tuple[dict,
             more, left = enforce({"messages": inner})
             typed = typed | more
             rescued = {k: v for k, v in rescued.items() if k != "messages"} | left
-    for path, value in rescued.items():
+    for path, value in sorted(rescued.items(), key=lambda x: isinstance(x[1], dict)):
         plain, _, tail = path.partition("].")
         at = plain.partition("[")[2]
         used = False
@@ -165,9 +171,9 @@ def replay(typed: dict, rescued: dict, approved: dict[str, str]) -> tuple[dict,
                 if ok:
                     typed[goal] = cell
                     used = True
-        if not used:
-            rest[path] = value
-    return typed, rest
+        if used:
+            done.add(path)
+    return typed, {path: value for path, value in rescued.items() if path not in done}
 
 
 _MESSAGES = T.ArrayType(T.StructType([T.StructField(k, T.StringType() if v == "string" else T.LongType()) for k, v in MESSAGE.items()]))

@@ -61,3 +61,14 @@ def test_ingest_rescues_and_promotes(spark):
     assert json.loads(row._rescued)["new"] == {"k": [1]} and json.loads(row._rescued)["seq_len"] == "far"
     (same,) = rescue.samples(df).collect()
     assert same.author == "x" and same.messages[0].content == "hi"
+
+
+def test_no_sample_loses_its_id_depth_or_content(spark):
+    df = lines(spark, [[
+        ("a", {"id": 48, "target_layer": 3, "data_source": "s", "messages": [{"content": {"text_raw": "hi", "depth": 9}, "turn_depth": "2", "weight": 5.0, "w": 6.0}]}),
+        ("b", {"sample_id": 49, "target_layer": 4.0, "messages": [{"body": {"text_raw": "ho"}, "turn_depth": 1}]}),
+        ("c", {"row_key": "50", "target_layer": "5", "messages": [{"value": {"text_raw": "he"}, "level": 7}]}), ("d", {"row_key": 51, "layer": 6, "messages": [{"content": 12, "depth": 0}]})]])
+    for made in (rescue.samples(df), rescue.promote(rescue.ingest(df, ("typed", "rescued")), rescue.APPROVED)):
+        rows = made.orderBy("line_id").collect()
+        assert [(r.sample_id, r.node_depth, r.messages[0].content, r.messages[0].depth) for r in rows] == [("48", 3, "hi", 2), ("49", 4, "ho", 1), ("50", 5, "he", 7), ("51", 6, "12", 0)]
+        assert rows[0].origin == "s" and rows[0].messages[0].loss is None and json.loads(rows[0]._rescued)["messages[0].weight"] == 5.0
