@@ -99,13 +99,12 @@ def _values(wanted: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _renames(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """(feed, file_seq, old_path, new_path, records): the pairs whose shared records all agree."""
-    side = lambda k, f: f(F.when(F.col("side") == k, F.col("value")))
-    one = _values(wanted, lines).groupBy("feed", "pair_seq", "old_path", "new_path", "record_id", "rel").agg(
-        side(0, F.min).alias("a"), side(0, F.max).alias("b"), side(1, F.min).alias("c"), side(1, F.max).alias("d"))
-    # repeated lines of a record may differ; two of its values are enough to agree
-    same = F.col("c").isin(F.col("a"), F.col("b")) | F.col("d").isin(F.col("a"), F.col("b"))
-    both = one.where("a IS NOT NULL AND c IS NOT NULL")
-    counted = both.groupBy("feed", "pair_seq", "old_path", "new_path").agg(F.count("*").alias("records"), F.count_if(~same).alias("other"))
+    key = ["feed", "pair_seq", "old_path", "new_path", "record_id", "rel"]
+    sides = _values(wanted, lines).groupBy(*key, "value").agg(F.bit_or(F.col("side") + 1).alias("on"))  # 1 old, 2 new, 3 both
+    one = sides.groupBy(*key).agg(F.bit_or("on").alias("sides"), F.max(F.col("on") == 3).alias("same"))
+    # repeated lines of a record may differ; one value that both sides hold is enough to agree
+    both = one.where("sides = 3")
+    counted = both.groupBy("feed", "pair_seq", "old_path", "new_path").agg(F.count("*").alias("records"), F.count_if(~F.col("same")).alias("other"))
     return counted.where("other = 0").select("feed", F.col("pair_seq").alias("file_seq"), "old_path", "new_path", "records")
 
 

@@ -72,3 +72,10 @@ def test_no_sample_loses_its_id_depth_or_content(spark):
         rows = made.orderBy("line_id").collect()
         assert [(r.sample_id, r.node_depth, r.messages[0].content, r.messages[0].depth) for r in rows] == [("48", 3, "hi", 2), ("49", 4, "ho", 1), ("50", 5, "he", 7), ("51", 6, "12", 0)]
         assert rows[0].origin == "s" and rows[0].messages[0].loss is None and json.loads(rows[0]._rescued)["messages[0].weight"] == 5.0
+
+
+def test_rename_is_judged_from_all_values_of_a_record(spark):
+    for hit in range(1, 8):  # one of many values, wherever its hash falls
+        a, b = [("a", {"x": k, "k": 1}) for k in range(1, 8)], [("a", {"y": hit, "k": 1})]
+        assert found(lines(spark, [a, b])) == {("f_2", "renamed", "y", "x")}
+    assert found(lines(spark, [a, [("a", {"y": 9, "k": 1})]])) == {("f_2", "added", "y", ""), ("f_2", "removed", "x", "")}
