@@ -12,6 +12,8 @@ Patterns are of four sorts.
 * seed: the first character of UTF-8 read two bytes at a time (``鍒``, ``鈥``); the text from there must go back,
   byte by byte, to valid UTF-8 of common characters. Lost bytes (U+FFFD) stand for any byte in this check.
 * sure: U+FFFD itself, and its own garbled form.
+Russian text of one Cyrillic code page in another is letters of the same script; where nothing but runs and a few chance
+forms is found, its words are read back in each pair and must be cased, voiced and lettered like Russian, clearly more so than as they stand.
 
 Text garbled twice is restored in rounds, up to ROUNDS. Whole texts are searched; the work is linear in their length.
 
@@ -22,6 +24,7 @@ text counts as not fully restorable; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -45,6 +48,10 @@ LEGACY = {
     "cp1251": ("cp1252", "latin-1", "mac_roman", "cp1250", "cp437", "cp850"),
 }
 SWAPPED = ("mac_roman", "cp437", "cp850", "cp1251", "koi8-r")
+#: Code pages that are told from each other by how Russian their words are.
+CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5")
+#: Share in percent of each letter in Russian texts.
+_OFTEN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (11, 8.5, 8, 7.4, 6.7, 6.3, 5.5, 4.7, 4.5, 4.4, 3.5, 3.2, 3, 2.8, 2.6, 2, 1.9, 1.7, 1.7, 1.7, 1.6, 1.4, 1.2, 1, 0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.3, 0.1, 0.1), strict=True))
 _LATIN = "áéíóúüñàâçèêëîïôœùûäößåæø¿ÁÉÍÓÚÑÜÄÖÀÇÅÆØ"
 #: Signs that also stand between letters in right text, so that one of them proves nothing.
 _WEAK = frozenset("·±÷×²³¹°º≤≥")
@@ -53,6 +60,8 @@ _STOPS = frozenset("…–—‘’“”‚„•™©®°‹›«»¡¿")
 #: Cyrillic letters that are also put into Latin words for their looks.
 _TWINS = frozenset("аеорсухіАЕОРСУХВНКМТ")
 LOST = "�"
+#: Signs that Russian letters become in another Cyrillic code page.
+_PAGES = re.compile(r"[Ѐ-ӿ─-▟]{3}")
 _RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 #: Characters of right text that may follow each other by chance although they are a form of some character.
 _PLAIN = re.compile(r"[A-Za-zА-яЁё«»„“”‘’‚–—…№ \xa0·]+")
@@ -140,8 +149,9 @@ class Finder:
                 form = _table(wrong)[c.encode("cp1252")[0]]
                 if not form.isascii() and not ("ß" <= form <= "ž" and form.islower()):
                     forms[form]["swap", wrong] = c
-        for face in ("(ґ`)", "(┤`)", "(¥`)"):  # of a face that lost its other signs
-            forms[face]["sure", "cp1251"] = LOST
+        for wrong in BYTEWISE:  # the acute of a face that lost its other signs; (Д`), in iso8859-5, is a face of its own
+            if (sign := self.tables[wrong][0xB4]) not in "´Д":
+                forms[f"({sign}`)"]["sure", "cp1251"] = LOST
         forms["锟斤拷"]["sure", "gb18030"] = LOST
         forms["锟斤"]["sure", "gb18030"] = LOST
         for digit in "0123456789":
@@ -154,6 +164,12 @@ class Finder:
             self.marks[wrong] = ({f: c for c, f in form.items()}, re.compile(
                 f"(?<={'[a-z]' if form['’'].isupper() else 'n'})(?P<contraction>{form['’']})(?={'[ts]' if form['’'].isupper() else 't'}\\b)|(?<=\\bI)(?P<contraction2>{form['’']})(?=(?:d|m|ve|ll)\\b)|(?<= )(?P<dash>{form['—']})(?= )"
                 f"|(?<![^\\s])(?P<{'contraction3' if form['“'] == 'ì' else 'open'}>{form['“']})(?=[A-Za-z])|(?<=[a-z.])(?P<rest>{form['…']}|{form['”']})(?![^\\s])".replace("contraction2", "short").replace("contraction3", "word")))
+        self.cyrillic = []
+        for true in CYRILLIC:
+            for wrong in CYRILLIC:
+                back = {self.tables[wrong][c.encode(true)[0]]: c for c in _RUSSIAN + _RUSSIAN.upper()}
+                if true != wrong:
+                    self.cyrillic.append((back, re.compile(f"[{re.escape(''.join(back))}]+")))
         self.order = {w: i for i, w in enumerate(BYTEWISE)}
         self.automaton = ahocorasick.Automaton()
         for form, pairs in forms.items():
@@ -187,6 +203,9 @@ class Finder:
                 found.append((pair, got))
         if (got := self._marks(text)):
             found.append((("swap", "marks"), got))
+        others = sum(e - s for pair, got in found if not pair[0].startswith("run ") for s, e, _ in got)
+        if (got := self._pages(text)) and sum(e - s for s, e, _ in got) > 4 * others:  # few chance forms at most
+            found = [(("page", "cyrillic"), got)]
         # the pair that explains most of a text comes first; the others fill what it leaves
         rank = {pair: (-sum(e - s for s, e, _ in got), pair[0] != "unit", self.order.get(pair[1], 99)) for pair, got in found}
         taken = bytearray(len(text))
@@ -376,6 +395,20 @@ class Finder:
             return []
         return [(r[0][0], r[-1][1], "".join(c for _, _, c in r)) for r in kept]
 
+    def _pages(self, text: str) -> list[tuple[int, int, str | None]]:
+        """Words of one Cyrillic code page read in another, by the pair that gives the most Russian text."""
+        if not _PAGES.search(text):
+            return []
+        best, most = [], 0.0
+        for back, rule in self.cyrillic:
+            hits = [(m, m[0].translate(str.maketrans(back))) for m in rule.finditer(text) if not text[m.end() : m.end() + 1].isalpha() and not (m.start() and text[m.start() - 1].isalpha())]
+            words = [(m, c, sum(math.log(_OFTEN.get(y.lower(), 0.05) / _OFTEN.get(x.lower(), 0.05)) for x, y in zip(m[0], c))) for m, c in hits]
+            long = [x for x in words if len(x[1]) > 2]
+            n, gain = sum(len(c) for _, c, _ in long), sum(g for _, _, g in long)
+            if n >= 8 and gain > max(most, 0.2 * n) and self._russian(" ".join(c for _, c, _ in long)):
+                best, most = [(m.start(), m.end(), c) for m, c, g in words if g > 0 or len(c) < 3], gain
+        return best
+
     @staticmethod
     def _russian(text: str) -> bool:
         """Whether words are cased and voiced like Russian ones, which tells apart the one-byte code pages."""

@@ -96,3 +96,20 @@ def test_repair_rows(spark):
     rows = garble.repair(df).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_spans, r.whole) for r in rows] == [(4, 1, True), (4, 1, True), (5, 1, True)] and rows[0].restored == "café olé"
     assert garble.repair(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("true", garble.CYRILLIC)
+@pytest.mark.parametrize("read", garble.CYRILLIC)
+def test_russian_of_one_cyrillic_page_in_another(true, read):
+    find, table = garble.finder(), garble._table(read)
+    text = "Сегодня мы говорили о погоде, потому что вечером будет дождь и холодный ветер"
+    n, restored, _ = find.restore("".join(table[b] for b in text.encode(true)))
+    assert (n > 0) == (true != read) and restored.count("говорили") == restored.count("холодный") == 1
+    for right in (text.upper(), "Мой дом, твой сад и наша школа стоят рядом", "ЦЕНА ЖИЛЬЯ СНОВА РАСТЁТ", "Сьогодні їхали дуже довго, бо йшов сильний дощ", "хм хм ого ааа эээ ыыы", "Щука ещё жуёт, цыпа в ящике", "┌──────┐│└─┘"):
+        assert find._pages(right) == []
+
+
+def test_the_face_in_each_wrong_page():
+    for wrong in ("cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r"):
+        assert garble.finder().restore(f"ok ({garble._table(wrong)[0xB4]}`) so")[0] == 1, wrong
+    assert garble.finder().restore("ok (Д`) so")[0] == 0 and garble.finder().restore("ok (´`) so")[0] == 0
