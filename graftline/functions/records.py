@@ -1,4 +1,4 @@
-"""Reading of samples, steps and gold records."""
+"""Reading of samples, steps and gold records."""
 
 from __future__ import annotations
 

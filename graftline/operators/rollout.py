@@ -1,4 +1,4 @@
-"""Breadth-first rollouts with a pluggable model.
+"""Breadth-first rollouts with a pluggable model.
 
 The frontier of all trees is one table. A depth is one pass: the model is asked for each node's children in batches,
 answers are scored against the true children and turned into the next frontier, which is written to the shared folder.
