@@ -58,7 +58,7 @@ def words(text: str | None) -> list[str]:
 
 def posts(rows: DataFrame) -> DataFrame:
     """(id, split_name, source, post): the text between the line ``content:`` and the line starting ``userinterest:``."""
-    user = F.filter("messages", lambda m: m.role == "user")[0].content
+    user = F.get(F.filter("messages", lambda m: m.role == "user"), 0).content
     post = F.regexp_extract(user, r"(?s)(?:^|\n)content:[ \t\r]*\n(.*?)\n?userinterest:", 1)
     return rows.where("id IS NOT NULL AND split_name IN ('train', 'val', 'test')").select("id", "split_name", "source", post.alias("post")).where("post <> ''")
 

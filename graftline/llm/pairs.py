@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftline.runtime import spread
@@ -297,9 +297,19 @@ def _flag(rows: DataFrame) -> DataFrame:
     return found.groupBy("tbl", "rec_key").agg(F.min("place").alias("place")).select("tbl", "rec_key", F.get(defects, "place").alias("defect"))
 
 
+def turns(messages: Column) -> Column:
+    """(prompt, answer) of each assistant message and the last user message before it; messages without an assistant
+    give one pair without an answer, so do no messages at all."""
+    last = lambda i: F.get(F.reverse(F.filter(F.slice(messages, 1, i), lambda m: m.role == "user")), 0).content
+    said = F.filter(F.transform(messages, lambda m, i: F.struct(m.role.alias("role"), last(i).alias("prompt"), m.content.alias("answer"))), lambda t: t.role == "assistant")
+    pairs = F.transform(said, lambda t: F.struct(t.prompt.alias("prompt"), t.answer.alias("answer")))
+    first = F.get(F.filter(messages, lambda m: m.role == "user"), 0).content
+    none = F.array(F.struct(first.alias("prompt"), F.lit(None).cast("string").alias("answer")))
+    return F.when(F.size(pairs) > 0, pairs).otherwise(none)
+
+
 def flag(sft: DataFrame, rollout: DataFrame) -> DataFrame:
     """(tbl, rec_key, defect) of both tables; only the columns needed are read."""
-    of = lambda role: F.filter("messages", lambda m: m.role == role)[0].content
-    a = sft.select(F.lit("sft").alias("tbl"), F.col("id").alias("rec_key"), of("user").alias("prompt"), of("assistant").alias("answer"))
+    a = sft.select(F.lit("sft").alias("tbl"), F.col("id").alias("rec_key"), F.inline(turns(F.col("messages"))))
     b = rollout.select(F.lit("rollout").alias("tbl"), F.col("rollout_id").cast("string").alias("rec_key"), F.col("input_text").alias("prompt"), F.col("output_text").alias("answer"))
     return _flag(a.unionByName(b))

@@ -56,10 +56,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and filled share of the whole packing."""
+    """Containers, tokens, filled share and the loads of the step groups of the whole packing."""
     capacity = table(spark, d, "pack_plan").first().token_capacity
-    return p8_containers(spark, d).agg(
-        F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n_pieces"), F.sum("tokens").alias("n_tokens"),
+    steps = p8_containers(spark, d).groupBy("step_id").agg(F.count_distinct("container_id").alias("containers"), F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return steps.agg(
+        F.sum("containers").alias("n_containers"), F.sum("pieces").alias("n_pieces"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_steps"),
+        F.min("tokens").alias("least_step"), F.max("tokens").alias("most_step"),
     ).withColumn("fill", F.round(F.expr(f"try_divide(n_tokens, n_containers * {capacity})"), 6))
 
 

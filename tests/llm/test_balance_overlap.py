@@ -113,3 +113,6 @@ def test_overlap_words_and_edges(spark):
     assert {tuple(r) for r in o.found().collect()} == {("a", "b"), ("a", "f")}
     assert {tuple(r) for r in o.report().collect()} == {("val", "s", 1, 1), ("test", "s", 1, 1), ("test", None, 1, 1)}
     assert overlap.Overlaps(sft(spark, rows).limit(0)).found().count() == 0
+    cells = [("x", [("system", "s")], "train", "s"), ("y", [], "val", "s"), ("z", [None], "val", "s"), ("a", [("user", prompt(long))], "train", "s"), ("b", [("user", prompt(long))], "val", "s")]
+    df = spark.createDataFrame(cells, "id string, messages array<struct<role:string,content:string>>, split_name string, source string")
+    assert {tuple(r) for r in overlap.Overlaps(df).found().collect()} == {("a", "b")}

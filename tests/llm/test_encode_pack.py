@@ -87,3 +87,39 @@ def test_packing_edges(spark):
     assert pack.pack(none, 10).count() == 0
     with pytest.raises(ValueError):
         pack.pack(none, 0)
+
+
+def test_tiers_are_windows_of_their_own():
+    lone = pack.tiered({12: 5, 3: 4}, 32, 3)[0]  # two windows of 16 a container, each filled from below
+    assert [r for r in lone if r.size == 12] == [pack.Run(12, 0, 5, 0, 1, 0, 1)] and [r for r in lone if r.size == 3][0].shift == 1
+    assert lone != pack.tiered({12: 5, 3: 4}, 32, 1)[0]
+    rnd = random.Random(2)
+    for _ in range(60):
+        cap = rnd.choice([16, 30, 100])
+        h = {s: rnd.randint(1, 40) for s in rnd.sample(range(1, cap + 1), 9)}
+        for tiers in (1, 2, 3, 4):
+            runs, spans, made = pack.tiered(h, cap, tiers)
+            load: dict = {}
+            for r in runs:
+                for k in range(r.many):
+                    c = r.base + ((r.window + k // r.per) >> r.shift)
+                    load[c] = load.get(c, 0) + r.size
+            assert sorted(load) == list(range(made)) and max(load.values()) <= cap
+            assert {s.first + i: cap - s.room for s in spans for i in range(s.many)} == load
+            for size, n in h.items():
+                own = sorted((r.rank, r.many) for r in runs if r.size == size)
+                assert sum(m for _, m in own) == n and all(a + m == b for (a, m), (b, _) in zip(own, own[1:]))
+        assert pack.plan(h, cap)[2] <= pack.tiered(h, cap, 1)[2]
+
+
+def test_packing_two_thousand_hot_sizes(spark, monkeypatch):
+    monkeypatch.setattr(pack, "ROWS_PER_SALT", 2)
+    df = spark.range(6000).selectExpr("id AS doc_id", "1 + id % 2000 AS tokens")
+    rows = pack.pack(df, 2048).groupBy("container_id").sum("tokens").collect()
+    assert sum(r[1] for r in rows) == 3 * 2001 * 1000 and max(r[1] for r in rows) <= 2048
+
+
+def test_steps_are_of_like_load(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "1 + (id * id) % 700 AS tokens")
+    loads = [r[1] for r in pack.pack(df, 512, step=8).groupBy("step_id").sum("tokens").collect()]
+    assert max(loads) - min(loads) <= 2 * 512

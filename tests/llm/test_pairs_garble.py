@@ -55,6 +55,15 @@ def test_flag_rows(spark):
     assert pairs.flag(sft.limit(0), rollout.limit(0)).count() == 0
 
 
+def test_turns_of_any_shape(spark):
+    m = "id string, messages array<struct<role:string,content:string,loss:bigint>>"
+    rows = [("none", []), ("system", [("system", "s", 0)]), ("asked", [("user", prompt(), 0)]), ("said", [("assistant", FULL, 1)]), ("first", [("assistant", FULL, 1), ("user", prompt(), 0)]),
+            ("two", [("user", prompt(), 0), ("assistant", FULL, 1), ("user", prompt(), 0), ("assistant", FULL[:60], 1)]), ("nulls", [None, ("user", None, None), (None, None, None), ("assistant", None, None)])]
+    sft = spark.createDataFrame(rows, m)
+    rollout = spark.createDataFrame([], "rollout_id bigint, input_text string, output_text string")
+    assert {tuple(r)[1:] for r in pairs.flag(sft, rollout).collect()} == {("none", "empty"), ("system", "empty"), ("asked", "empty"), ("two", "truncated"), ("nulls", "empty")}
+
+
 SOUND = ["", "plain", "Âmbar y CHÂTEAU, #NÃO", "naïve café, déjà vu, voilà… où ça ?", "½ cup 5×7±1 µm €5 ™", "ЁЖ: Рёбра и «СССР» — это № 1…", "你好，猫和毛，没每 谢谢", "(´･ω･`) ██▌ 87%", "l·l 5 m³ 20 °C", "¿Qué tal? ¡Ánimo!", "Größe, Straße, Übung", "Ποτάμι και θάλασσα", "안녕하세요 カフェ", "x≤y a±b", "٣٤ ५६ Åland"]
 ZH, RU, EN, FR = "导师推荐的奶茶我排了分钟，味道便宜得不像话。", "Соседка говорит, что каша сегодня была вкусная", "I don’t know — maybe “later”…", "J’ai payé très tôt, ma théière préférée était gâtée"
 
