@@ -16,7 +16,7 @@ ROOT = "__ROOT__"
 #: Keys under which a list of items may be wrapped; fixed values.
 WRAPPERS = ("items", "output", "candidates", "data", "list", "arr")
 #: Keys that hold the truth and must not reach a model; fixed values.
-PRIVATE = ("cond_gt_by_turn", "cond_gold_by_turn", "gt_by_turn", "gold", "root_potential")
+PRIVATE = ("gt_by_turn", "gt", "gold", "labels", "answer", "evaluation", "rewards", "reward_model", "depth")
 MESSAGE = "array<struct<role:string,content:string,depth:int>>"
 
 

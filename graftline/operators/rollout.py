@@ -59,21 +59,24 @@ def rollout(roots: DataFrame, gold: DataFrame, model: Model, depth_limit: int, t
     """Scored steps of all trees; roots(record_id, user). At most ``turns`` nodes of a trajectory are asked, in
     breadth-first order; with pool(record_id, user) only its members are expanded."""
     scratch = Scratch(roots.sparkSession, "rollout")
-    frontier = roots.select("record_id", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1))).alias("trajectory"), F.lit(0).alias("depth"), "user", F.lit(None).cast("string").alias("parent"), F.lit(1).cast("bigint").alias("ord"))
+    frontier = roots.select("record_id", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1))).alias("trajectory"), F.lit(0).alias("depth"), "user", F.lit(None).cast("string").alias("parent"), F.lit(1).cast("bigint").alias("ord"))  # ord: the place in breadth-first order within the depth
     used = roots.select("record_id", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1))).alias("trajectory"), F.lit(0).cast("bigint").alias("used"))
     steps = None
     for depth in range(depth_limit + 1):
-        ranked = frontier.withColumn("turn", F.row_number().over(Window.partitionBy("record_id", "trajectory").orderBy("ord")))
+        if depth:
+            order = Window.partitionBy("record_id", "trajectory").orderBy("parent_ord", "pos")
+            frontier = frontier.withColumn("ord", F.row_number().over(order).cast("bigint")).drop("parent_ord", "pos")
+        ranked = frontier.withColumn("turn", F.col("ord"))
         now = ranked.join(used, ["record_id", "trajectory"]).where(F.col("turn") + F.col("used") <= turns).drop("turn", "used")
         answers = scratch.write(ask(now, model))
         scored = scratch.write(score(answers, gold))
         steps = scored if steps is None else steps.unionByName(scored)
         if depth == depth_limit:
             break
-        kids = answers.select("record_id", "trajectory", F.lit(depth + 1).alias("depth"), F.posexplode(F.array_distinct("preds")).alias("pos", "child"), F.col("user").alias("parent"), "ord")
-        kids = kids.select("record_id", "trajectory", "depth", F.col("child").alias("user"), "parent", (F.col("ord") * 1000 + F.col("pos")).alias("ord"))
+        kids = answers.select("record_id", "trajectory", F.lit(depth + 1).alias("depth"), F.posexplode(F.array_distinct("preds")).alias("pos", "child"), F.col("user").alias("parent"), F.col("ord").alias("parent_ord"))
+        kids = kids.select("record_id", "trajectory", "depth", F.col("child").alias("user"), "parent", "parent_ord", "pos")
         if pool is not None:
-            kids = kids.join(pool.select("record_id", "user").distinct(), ["record_id", "user"], "left_semi").select(*answers.drop("preds").columns)
+            kids = kids.join(pool.select("record_id", "user").distinct(), ["record_id", "user"], "left_semi").select("record_id", "trajectory", "depth", "user", "parent", "parent_ord", "pos")
         done = answers.groupBy("record_id", "trajectory").agg(F.count("*").alias("n"))
         used = scratch.write(used.join(done, ["record_id", "trajectory"], "left").select("record_id", "trajectory", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")))
         frontier = scratch.write(kids)

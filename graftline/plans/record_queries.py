@@ -61,12 +61,13 @@ def sel_p4_p5_p6_p10_depths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft").groupBy("node_depth").agg(F.count("*").alias("n"), F.count_if(F.coalesce(depth, F.lit(0)) == 0).alias("roots"), F.count_if(depth.between(0, 1)).alias("shown"))
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS n FROM events WHERE props IS NOT NULL")
 def sel_p11_p12_public_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Properties with a private key added and cut again."""
-    leaky = F.regexp_replace("props", r"\}$", ', "_secret": 1, "gold": [1]}')
+    """Properties with every private key added and cut again."""
+    private = "".join(f', "{k}": [1]' for k in ("_secret", *records.PRIVATE))
+    leaky = F.regexp_replace("props", r"\}$", private + "}")
     kept = table(spark, d, "events").where("props IS NOT NULL").select("event_id", records.public_fields(leaky).alias("m"))
-    return kept.select("event_id", F.when(F.size("m") == 1, F.try_element_at("m", F.lit("k"))).try_cast("bigint").alias("k"))
+    return kept.select("event_id", F.try_element_at("m", F.lit("k")).try_cast("bigint").alias("k"), F.size("m").alias("n"))
 
 
 @query("SELECT id, list_transform(messages, lambda m: m.role) AS roles FROM sft")

@@ -39,16 +39,18 @@ def f4_strip_ansi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source = 'console'").select("doc_id", text.strip_ansi(F.col("text")).alias("plain"))
 
 
-@query()
+@query(r"SELECT rollout_id, " + STRIP.format("output_text") + r" AS body FROM rollout WHERE NOT contains(output_text, '```') AND NOT contains(output_text, '<|im_') AND NOT contains(lower(output_text), '[user')")
 def f5_chat_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rollout").select("rollout_id", text.strip_chat_artifacts(F.col("output_text")).alias("body"))
+    """Outputs dressed up with a fence and the template's marks, which come off again."""
+    rows = table(spark, d, "rollout").where(~F.col("output_text").contains("```") & ~F.col("output_text").contains("<|im_") & ~F.lower("output_text").contains("[user"))
+    dressed = F.concat(F.lit("```json\n<|im_start|>assistant\n[user x]"), F.col("output_text"), F.lit("<|im_end|>\n```"))
+    return rows.select("rollout_id", text.strip_chat_artifacts(dressed).alias("body"))
 
 
-@query(r"""SELECT doc_id, TRY_CAST(CASE WHEN regexp_extract(line, '(?i)^\s*\[\s*[^\]\n\r]*?INTERACT\s*[:=]\s*([01])\s*[^\]\n\r]*\]', 1) <> '' THEN regexp_extract(line, '(?i)^\s*\[\s*[^\]\n\r]*?INTERACT\s*[:=]\s*([01])\s*[^\]\n\r]*\]', 1)
- ELSE nullif(regexp_extract(line, '(?i)^\s*INTERACT\s*[:=]\s*([01])\s*(?:\r?\n|$)', 1), '') END AS INTEGER) AS tag
- FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[INTERACT=' || doc_id % 2 || ']' || chr(10) WHEN 1 THEN 'interact: 1' || chr(10) ELSE '' END || coalesce(text, '') AS line FROM documents)""")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id % 2 AS INTEGER) WHEN 1 THEN 1 END AS tag FROM documents")
 def f6_interact_tag(spark: SparkSession, d: str) -> DataFrame:
-    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[INTERACT="), (F.col("doc_id") % 2).cast("string"), F.lit("]\n"))).when(F.col("doc_id") % 3 == 1, F.lit("interact: 1\n")).otherwise("")
+    """Texts under headers of both forms and under none."""
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[ tag INTERACT = "), (F.col("doc_id") % 2).cast("string"), F.lit(" ]"))).when(F.col("doc_id") % 3 == 1, F.lit("interact: 1\n")).otherwise("- ")
     return _docs(spark, d).select("doc_id", text.interact_tag(F.concat(head, F.coalesce("text", F.lit("")))).alias("tag"))
 
 
@@ -58,7 +60,7 @@ CANDS = rf"list_filter(regexp_extract_all({BLOCK}, '(?s)<\|psep\|>(\{{.*?\}})<\|
 
 
 def _users(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sft").select("id", "node_depth", F.filter("messages", lambda m: m.role == "user")[0].content.alias("u"))
+    return table(spark, d, "sft").select("id", "node_depth", F.get(F.filter("messages", lambda m: m.role == "user"), 0).content.alias("u"))
 
 
 @query(rf"SELECT id, regexp_extract(u, '(?im)^\s*username:\s*(.+?)\s*$', 1) AS user_name FROM (SELECT id, {USER} AS u FROM sft)")

@@ -38,6 +38,7 @@ def test_repost_tail(spark, raw, cut):
 def test_text_functions(spark):
     assert one(spark, text.between_markers(F.lit("a<|cstart|>b<|cend|>c"))) == "b" and one(spark, text.between_markers(F.lit("abc"))) == "abc"
     assert one(spark, text.strip_chat_artifacts(F.lit("```json\n[]\n```"))) == "[]" and one(spark, text.strip_chat_artifacts(F.lit("<|im_start|>assistant\n[1]<|im_end|>"))) == "[1]"
+    assert one(spark, text.strip_chat_artifacts(F.lit(" ``` JSON\n<|im_start|> user \n[user bob] hi <|IM_END|>\n x<|im_start|>y \n```"))) == "hi \n x<|im_start|>y"
     assert [one(spark, text.interact_tag(F.lit(s))) for s in ("[INTERACT=0]", "interact: 1\n[]", "[]")] == [0, 1, None]
     assert one(spark, text.split_names(F.lit("a、b， c"))) == ["a、b", "c"] and one(spark, text.split_names(F.lit(" solo "))) == ["solo"]
     assert one(spark, text.reaction(F.lit("评论"), F.lit("ok //@z"))) == 2 and one(spark, text.no_trailing_commas(F.lit('[{"a":1,},]'))) == '[{"a":1}]'
@@ -49,18 +50,31 @@ def test_text_functions(spark):
 def test_lenient_reading(spark):
     assert lenient.read_list('[{"user_name":"a"},]') == ([{"user_name": "a"}], "slice_json_array_fix_commas")
     assert lenient.close_truncated('[{"user_name":"a"},{"user_na') == '[{"user_name":"a"}]'
-    assert lenient.clean_output("[INTERACT=0]") == ([], "no_interaction", "peeled_header_bracket", True)
+    assert lenient.clean_output("", 0, "peeled_header_bracket") == ([], "no_interaction", "peeled_header_bracket", True)
+    assert lenient.read_list('[1, [2, ], {"a": 3 ,\n} , ]') == ([1, [2], {"a": 3}], "slice_json_array_fix_commas") and lenient.read_list("x [1, [2] y") == (None, "fail")
+    assert lenient.read_list("so: [1, [2]] and [3]") == ([1, [2]], "slice_json_array") and lenient.read_list("[[1], [2") == ([[1], [2]], "slice_json_array")
+    assert lenient.read_list("['a', 'b',]") == (["a", "b"], "literal_eval_fix_commas") and lenient.read_list("{'a': 1}") == ([{"a": 1}], "wrapped_literal_eval") and lenient.read_list("['a\\'s']") == (["a's"], "literal_eval_fix_commas")
+    assert lenient.output_list('x [1] y') == ([1], False) and lenient.output_list("{}") == ([], True) and lenient.output_list(None) == ([], False) and lenient.output_list([2]) == ([2], False)
     assert lenient.clean_output(None)[1] == "parse_fail_empty" and lenient.clean_output("[]")[1] == "empty" and lenient.clean_output("x")[1] == "parse_fail_json"
     good = '{"user_name": " a ", "content": "c", "type": "转发"}'
     assert lenient.clean_output(f"text {good}")[1] == "parse_fail_json" and lenient.clean_output(good) == ([{"user_name": "a", "content": "c", "type": "转发微博"}], "ok_repaired", "wrapped_as_list", True)
     assert lenient.check_output('[{"user_name":"","content":"","type":"评论"}]') == ([], "parse_fail_bad_field") and lenient.check_output("{}")[1] == "parse_fail_not_list" and lenient.check_output("[1]")[1] == "parse_fail_item_not_dict"
     assert lenient.check_output('[{"user_name":"a","content":"","type":"评论"},{"us')[1] == "ok_repaired" and lenient.check_output('[{"user_name":"a"', mend=False)[1] == "parse_fail_json"
     assert lenient.names(["a", '["b", {"user_name": "c"}]', {"name": "a"}, None]) == ["a", "b", "c"]
-    df = spark.createDataFrame([("[]",), (None,)], "s string")
-    assert [r.x.status for r in df.select(lenient.cleaned(F.col("s")).alias("x")).collect()] == ["empty", "parse_fail_empty"]
+    raw = ["[]", None, "  ", "[INTERACT=0]", "```json\n[x, INTERACT : 1 y]\n[]\n```", "<|im_start|>assistant\nINTERACT=1\n[1]<|im_end|>", "INTERACT=0 but", "[user a]\n[1, 2"]
+    got = [(r.x.status, r.x.note) for r in spark.createDataFrame([(x,) for x in raw], "s string").coalesce(1).select(lenient.cleaned(F.col("s")).alias("x")).collect()]
+    assert got == [("empty", "explicit_empty"), ("parse_fail_empty", "empty_output"), ("parse_fail_empty", "empty_output"), ("no_interaction", "peeled_header_bracket"), ("empty", "explicit_empty"),
+                   ("parse_fail_item_not_dict", "peeled_header_nobracket;direct_json;item_not_dict"), ("parse_fail_json", "fail"), ("parse_fail_item_not_dict", "slice_json_array;item_not_dict")]
     assert one(spark, lenient.canonical_status(F.lit("parse_fail"))) == "parse_fail_bad_field" and one(spark, lenient.canonical_status(F.lit("ok"))) == "ok"
 
 
+def test_public_fields_hide_the_truth(spark):
+    from graftline.functions import records
+
+    cell = '{"user": "a", "_x": 1, ' + ", ".join(f'"{k}": 1' for k in records.PRIVATE) + ', "text": "b"}'
+    assert one(spark, records.public_fields(F.lit(cell))) == {"user": "a", "text": "b"} and len(records.PRIVATE) == 9
+
+
 def test_step_measures(spark):
     v = lambda *x: [F.lit(y) for y in x]
     assert one(spark, metrics.step_f1(*v(1, 2, 2))) == pytest.approx(0.5, abs=1e-5) and one(spark, metrics.step_f1(*v(0, 0, 2))) == 0
@@ -150,6 +164,18 @@ def test_rollout_scores_and_limits(spark):
     assert rollout.load("math:sqrt")(4) == 2
 
 
+def test_rollout_keeps_breadth_first_order_of_many_children(spark):
+    def model(batch):
+        import pandas as pd
+
+        return pd.Series([[f"{u}.{k}" for k in range(1500 if d == 0 else 2)] for u, d in zip(batch["user"], batch["depth"])], index=batch.index)
+
+    roots = spark.createDataFrame([("1", "r")], "record_id string, user string")
+    none = spark.createDataFrame([], "record_id string, depth int, parent string, child string")
+    steps = rollout.rollout(roots, none, model, depth_limit=8, turns=1504).collect()
+    assert {s.user for s in steps if s.depth == 2} == {"r.0.0", "r.0.1", "r.1.0"} and len(steps) == 1504
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.json").write_text('\n{"a": 1}\nbroken\n\n{"a": 2}\n')
     (tmp_path / "b.json").write_text(' [{"a": 3}, {"a": 4}]')
