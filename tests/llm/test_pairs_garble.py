@@ -115,10 +115,34 @@ def test_russian_of_one_cyrillic_page_in_another(true, read):
     n, restored, _ = find.restore("".join(table[b] for b in text.encode(true)))
     assert (n > 0) == (true != read) and restored.count("говорили") == restored.count("холодный") == 1
     for right in (text.upper(), "Мой дом, твой сад и наша школа стоят рядом", "ЦЕНА ЖИЛЬЯ СНОВА РАСТЁТ", "Сьогодні їхали дуже довго, бо йшов сильний дощ", "хм хм ого ааа эээ ыыы", "Щука ещё жуёт, цыпа в ящике", "┌──────┐│└─┘"):
-        assert find._pages(right) == []
+        assert find._pages(right)[1] == []
 
 
 def test_the_face_in_each_wrong_page():
     for wrong in ("cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r"):
         assert garble.finder().restore(f"ok ({garble._table(wrong)[0xB4]}`) so")[0] == 1, wrong
     assert garble.finder().restore("ok (Д`) so")[0] == 0 and garble.finder().restore("ok (´`) so")[0] == 0
+
+
+KO, JA, TW = "오늘 친구와 함께 공원에 갔는데 날씨가 아주 좋았다.", "今日は友達と一緒に公園へ行きました。とても楽しかったです。", "今天和朋友一起去公園，天氣很好，我們都很開心。"
+
+
+@pytest.mark.parametrize(("text", "true", "read"), [
+    (t, true, r) for t, true in ((KO, "euc_kr"), (KO, "utf-8"), (JA, "cp932"), (TW, "big5"), (ZH, "gb2312"), (RU, "cp866"), (RU, "iso8859-5"), (RU, "koi8-r"), (RU, "cp1251")) for r in ("cp1252", "latin-1", "cp850")
+] + [(RU, "cp866", "cp1251"), (RU, "cp1251", "cp866"), (KO, "utf-8", "koi8-r"), (FR, "utf-8", "cp1250")])
+def test_exact_round_trip(text, true, read):
+    assert garble.finder().restore(wrong(text, true, read))[1:] == (text, True)
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "mac_roman", "cp437"])
+def test_many_levels(read):
+    bad = FR
+    for _ in range(5):
+        bad = wrong(bad, "utf-8", read)
+    assert garble.finder().restore(bad)[1:] == (FR, True)
+
+
+def test_what_is_not_sure_is_not_whole():
+    find = garble.finder()
+    n, back, whole = find.restore(wrong("渠沟壑谷", "gb2312", "cp1252"))
+    assert n == 1 and back == "渠沟壑谷" and not whole  # rare characters only: another reading may be right
