@@ -1,21 +1,26 @@
 """Records that meet, exactly or almost, in several splits.
 
 Method: weighted cosine join between the splits. A text is a vector of numbered word bigrams (the second ``a b`` of a
-text is another term than its first), all of weight 1, so dot products count what two texts share, repeats included,
-and the norm is the root of the number of terms. ``d`` words changed, added or dropped cost at most 2d terms: pairs
-within one word in eight have a dot product of at least max(N) - 2d, which is a cosine that depends on the lengths.
-* Terms have one global order, rare ones first, by a count of all texts over 65,536 hash buckets (a table of fixed
-  size). Inverted lists hold, of each text, only the first terms: as a term weighs 1 at most in any other text, the
-  rest alone could not reach the dot product needed (maximum-weight pruning).
+text is another term than its first); a term's weight is the root of its inverse document frequency, so that the dot
+product of two texts is the sum of the frequencies' logarithms over what they share, repeats included.
+* Counts come from all texts over 65,536 hash buckets (a table of fixed size). A term's greatest weight in any text is
+  the same everywhere, and terms are taken in falling order of it.
+* ``d`` words changed, added or dropped cost a text at most its 2d heaviest terms. What is left is the dot product that
+  the text needs with any partner within one word in eight; with its norm this is a cosine of its own for each text.
+* Inverted lists hold, of each text, only the first terms: the rest alone, with the greatest weights that they can
+  meet, stays below the dot product needed (maximum-weight pruning).
 * Where two lists meet, the terms not before the place can share no more than the smaller residual norm squared of the
-  two texts; pairs that cannot reach the dot product are dropped there (residual-norm pruning), like pairs whose 128-bit
+  two texts; pairs that cannot reach what both need are dropped there (residual-norm pruning), like pairs whose 128-bit
   sketches of word parities differ in more bits than d words can change.
-* What is left gets its exact dot product and then the exact count of changed words.
-Nothing is lost by the pruning, at any size; there is no cap on partners.
+* What is left gets its exact dot product and cosine and, last, as the bound is stated in words, the exact count of
+  changed words.
+Nothing is lost by the pruning, at any size; there is no cap on partners. Long lists are split: the train side of a
+term by a salt, the other side repeated for each, so that no task holds more than about LIST train entries of a term.
 
 Copies (texts that are the same when case, width, punctuation, spacing, emoji, emoticons, links and tags are
-disregarded) are joined as one representative, so a text that fills a third of all rows is one vector. Rows come back
-through the membership of representatives.
+disregarded) form one class; a class has a vector for each way its words are spaced. A text that fills a third of all
+rows is one vector. Rows come back through the membership of classes; ``classes`` gives the pairs of classes with their
+numbers of rows, which does not grow with the product of copies.
 
 Defined cases: rows without id, split or a post text of 20 letters and digits give nothing; splits other than train,
 val and test give nothing; repeated rows count once; an id that stands in both splits is no pair with itself.
@@ -32,7 +37,8 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -40,8 +46,10 @@ from pyspark.sql.functions import pandas_udf
 from graftline.runtime import Scratch, spread
 
 LEAST, SHARE, K, BUCKETS = 20, 8, 2, 1 << 16
+#: Train entries of one term that a task takes at most.
+LIST = 20_000
 _LINKS = regex.compile(r"(?:https?://|www\.)[!-~]+")
-_TAGS = regex.compile(r"#[^#\n]{1,40}#|#[\p{L}\p{M}\p{N}_]+")
+_TAGS = regex.compile(r"#(?=\S)[^#\n]{1,40}(?<=\S)#|#[\p{L}\p{M}\p{N}_]+")
 _FACES = regex.compile(r"\[\p{L}{1,8}\]|[(][^()\p{Han}\p{Cyrillic}A-Za-z0-9]{1,16}[)]|(?<![\p{L}\p{N}])(?:[:;=8xX]['^o-]?[()DPp3/\\|*]|[TtQq][_.][TtQq]|[oO0>^][_.-]+[oO0<^]|orz|OTZ|QAQ|qaq|XD|xD|<3)(?![\p{L}\p{N}])")
 _APOSTROPHES = regex.compile(r"(?<=\p{L})['’‘ʼ`´](?=\p{L})")
 _WORDS = regex.compile(r"\p{Han}|(?:(?!\p{Han})[\p{L}\p{M}\p{N}])+")
@@ -101,66 +109,68 @@ def sketch(w: list[str]) -> tuple[int, int]:
     return (bits & (2**64 - 1)) - 2**63, (bits >> 64) - 2**63
 
 
-def _counts(reps: DataFrame) -> np.ndarray:
-    """Terms of all texts counted over BUCKETS hash buckets: the global order, of fixed size."""
+def _vectors(reps: DataFrame) -> DataFrame:
+    """reps with their terms, words counted and sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in batch["words"]:
-                t = np.array(terms(text.split(" ")), dtype=np.uint64)
-                total += np.bincount((t & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+            split = [text.split(" ") for text in batch["words"]]
+            sketches = [sketch(w) for w in split]
+            yield batch.assign(
+                terms=[np.array(terms(w), dtype=np.uint64).view(np.int64) for w in split], n_words=[len(w) for w in split], s1=[s for s, _ in sketches], s2=[s for _, s in sketches])
 
+    fields = "text_class binary, words string, train boolean, eval boolean, terms array<bigint>, n_words int, s1 bigint, s2 bigint"
+    return reps.select("text_class", "words", "train", "eval").mapInPandas(run, fields)
+
+
+def frequencies(vectors: DataFrame) -> np.ndarray:
+    """Inverse document frequency of each of BUCKETS hash buckets, from the terms of all texts; a table of fixed size."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    # one row of fixed size a task; combined on executors by tens before the driver adds up the last few
-    rows = reps.select("words").mapInPandas(run, "counts binary")
+    bucket = F.col("term").bitwiseAND(F.lit(BUCKETS - 1))
+    for row in vectors.select(F.explode("terms").alias("term")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect():  # at most BUCKETS rows
+        total[row.bucket] = row.n
+    return np.log1p(total.sum() / np.maximum(total, 1))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for x in batch["counts"]:
-                part += np.frombuffer(x, dtype=np.int64)
-        yield pd.DataFrame({"counts": [part.tobytes()]})
 
-    for row in rows.coalesce(8).mapInPandas(add, "counts binary").collect():
-        total += np.frombuffer(row.counts, dtype=np.int64)
-    return total
+def squares(t: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Squared weights of terms."""
+    return idf[t & (BUCKETS - 1)]
 
 
-def _postings(reps: DataFrame, counts: bytes) -> DataFrame:
-    """Inverted lists: (term, text_class, place, n_terms, n_words, s1, s2, train, eval)."""
+def _postings(vectors: DataFrame, idf: Broadcast) -> DataFrame:
+    """Inverted lists: (term, text_class, n_words, need, residual, s1, s2, train, eval); need is the least dot product with
+    a partner, residual the squared norm of the term and those after it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = np.frombuffer(counts, dtype=np.int64)
         for batch in batches:
             out = []
-            for cls, text, train, other in zip(batch["text_class"], batch["words"], batch["train"], batch["eval"]):
-                w = text.split(" ")
-                least = len(w) // (SHARE - 1)  # no partner of this text may differ in more words
-                if not least:
+            for cls, t, n, s1, s2, train, other in zip(*(batch[c] for c in ("text_class", "terms", "n_words", "s1", "s2", "train", "eval"))):
+                most = n // (SHARE - 1)  # no partner of this text may differ in more words
+                if not most:
                     continue
-                t = np.array(terms(w), dtype=np.uint64)
-                order = np.lexsort((t, count[(t & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                first = t[order[: K * least + 1]].view(np.int64).tolist()
-                s1, s2 = sketch(w)
-                out += [(x, cls, p, len(t), len(w), s1, s2, train, other) for p, x in enumerate(first)]
-            yield pd.DataFrame(out, columns=["term", "text_class", "place", "n_terms", "n_words", "s1", "s2", "train", "eval"])
-
-    return reps.mapInPandas(run, "term bigint, text_class binary, place int, n_terms int, n_words int, s1 bigint, s2 bigint, train boolean, eval boolean")
-
-
-def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b): classes of train and of val or test that pruning leaves."""
-    postings = _postings(reps, _counts(reps).tobytes())
-    x = postings.where("train").drop("train", "eval")
-    y = postings.where("eval").select("term", *[F.col(c).alias(f"o_{c}") for c in ("text_class", "place", "n_terms", "n_words", "s1", "s2")])
-    longest = F.greatest("n_words", "o_n_words")
-    changed = F.floor(longest / SHARE)
-    need = F.greatest("n_terms", "o_n_terms") - K * changed
-    room = F.least(F.col("n_terms") - F.col("place"), F.col("o_n_terms") - F.col("o_place"))
+                w = squares(t, idf.value)
+                order = np.lexsort((t, -w))
+                w = w[order]
+                residual = w[::-1].cumsum()[::-1]
+                need = residual[K * most] if K * most < len(w) else 0.0
+                out += [(x, cls, n, need, r, s1, s2, train, other) for x, r in zip(t[order[: K * most + 1]].tolist(), residual)]
+            yield pd.DataFrame(out, columns=["term", "text_class", "n_words", "need", "residual", "s1", "s2", "train", "eval"])
+
+    fields = "term bigint, text_class binary, n_words int, need double, residual double, s1 bigint, s2 bigint, train boolean, eval boolean"
+    return vectors.select("text_class", "terms", "n_words", "s1", "s2", "train", "eval").mapInPandas(run, fields)
+
+
+def _candidates(postings: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b): classes of train and of val or test that pruning leaves; hot(term, salts) are the terms with long lists."""
+    salts = F.coalesce("salts", F.lit(1))
+    x = postings.where("train").drop("train", "eval").join(hot, "term", "left").withColumn("salt", F.pmod(F.xxhash64("text_class"), salts)).drop("salts")
+    y = postings.where("eval").select("term", *[F.col(c).alias(f"o_{c}") for c in ("text_class", "n_words", "need", "residual", "s1", "s2")])
+    y = y.join(hot, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+    changed = F.floor(F.greatest("n_words", "o_n_words") / SHARE)
     bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2")))
-    met = x.join(y, "term").where((F.col("text_class") != F.col("o_text_class")) & (room >= need) & (bits <= 2 * changed))
+    reach = F.least("residual", "o_residual") * (1 + 1e-9) >= F.greatest("need", "o_need")
+    near = (F.abs(F.col("n_words") - F.col("o_n_words")) <= changed) & (bits <= 2 * changed)
+    met = x.join(y, ["term", "salt"]).where((F.col("text_class") != F.col("o_text_class")) & reach & near)
     return met.select(F.col("text_class").alias("a"), F.col("o_text_class").alias("b")).distinct()
 
 
@@ -188,27 +198,47 @@ def changed_words(a: list[str], b: list[str], most: int) -> int:
     return min(row[len(b)], far)
 
 
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        v, w = x.split(" "), y.split(" ")
-        most = max(len(v), len(w)) // SHARE
-        dot = sum((Counter(zip(v, v[1:])) & Counter(zip(w, w[1:]))).values())
-        out.append(dot >= max(len(v), len(w)) - 1 - K * most and changed_words(v, w, most) <= most)
-    return pd.Series(out, dtype=bool)
+_NEAR = T.StructType([T.StructField("near", T.BooleanType()), T.StructField("dot", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
+
+
+def _measured(a: Column, b: Column, idf: Broadcast) -> Column:
+    """Struct of whether two word sequences are within one word in eight, their dot product and cosine."""
+
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(left, right):
+            v, w = x.split(" "), y.split(" ")
+            most = max(len(v), len(w)) // SHARE
+            t, u = (np.array(terms(z), dtype=np.uint64).view(np.int64) for z in (v, w))
+            shared = np.intersect1d(t, u)  # terms are numbered, so each occurs once
+            dot = float(squares(shared, idf.value).sum())
+            norms = float(squares(t, idf.value).sum() * squares(u, idf.value).sum()) ** 0.5
+            near = len(shared) >= max(len(v), len(w)) - 1 - K * most and changed_words(v, w, most) <= most
+            out.append((near, dot, dot / norms if norms else 0.0))
+        return pd.DataFrame(out, columns=["near", "dot", "cosine"])
+
+    run.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.DataFrame}
+    return pandas_udf(run, _NEAR)(a, b)
 
 
 class Overlaps:
     """Classes of copies, pairs of near classes, and the rows' membership."""
 
     def __init__(self, rows: DataFrame):
-        scratch = Scratch(rows.sparkSession, "overlap")
+        spark = rows.sparkSession
+        scratch = Scratch(spark, "overlap")
         self.members = scratch.write(keyed(rows))
         train = F.col("split_name") == "train"
-        self.reps = scratch.write(self.members.groupBy("text_class").agg(F.min("words").alias("words"), F.bool_or(train).alias("train"), F.bool_or(~train).alias("eval")))
-        text = lambda k: self.reps.select(F.col("text_class").alias(k), F.col("words").alias(f"words_{k}"))
-        near = _candidates(self.reps).join(text("a"), "a").join(text("b"), "b").where(pandas_udf(_near, T.BooleanType())("words_a", "words_b")).select("a", "b")
-        same = self.reps.where("train AND eval").select(F.col("text_class").alias("a"), F.col("text_class").alias("b"))
+        self.reps = self.members.groupBy("text_class", "words").agg(F.bool_or(train).alias("train"), F.bool_or(~train).alias("eval"))
+        vectors = scratch.write(_vectors(self.reps))
+        idf = spark.sparkContext.broadcast(frequencies(vectors))
+        postings = scratch.write(_postings(vectors, idf))
+        hot = scratch.write(postings.groupBy("term").agg(F.count_if("train").alias("n"), F.bool_or("eval").alias("met")).where(f"met AND n > {LIST}").select("term", F.ceil(F.col("n") / LIST).alias("salts")))
+        text = lambda k: vectors.select(F.col("text_class").alias(k), F.col("words").alias(f"words_{k}"))
+        both = _candidates(postings, hot).join(text("a"), "a").join(text("b"), "b")
+        near = both.select("a", "b", _measured(F.col("words_a"), F.col("words_b"), idf).alias("m")).where("m.near").groupBy("a", "b").agg(F.max("m.dot").alias("dot"), F.max("m.cosine").alias("cosine"))
+        own = self.members.groupBy("text_class").agg(F.bool_or(train).alias("train"), F.bool_or(~train).alias("eval")).where("train AND eval")
+        same = own.select(F.col("text_class").alias("a"), F.col("text_class").alias("b"), F.lit(None).cast("double").alias("dot"), F.lit(1.0).alias("cosine"))
         self.pairs = scratch.write(near.unionByName(same))
 
     def found(self) -> DataFrame:
@@ -216,13 +246,24 @@ class Overlaps:
         ids = self.members.select("id", "text_class", (F.col("split_name") == "train").alias("train")).distinct()
         x = ids.where("train").select(F.col("id").alias("x"), F.col("text_class").alias("a"))
         y = ids.where("NOT train").select(F.col("id").alias("y"), F.col("text_class").alias("b"))
-        both = self.pairs.join(x, "a").join(y, "b").where("x <> y")
+        both = self.pairs.select("a", "b").join(x, "a").join(y, "b").where("x <> y")
         return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
+    def classes(self) -> DataFrame:
+        """(train_class, eval_class, cosine, dot, n_train, n_eval): pairs of classes with the rows that each has."""
+        ids = self.members.select("id", "text_class", (F.col("split_name") == "train").alias("train")).distinct()
+        n = ids.groupBy("text_class").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval"))
+        a, b = n.select(F.col("text_class").alias("a"), "n_train"), n.select(F.col("text_class").alias("b"), "n_eval")
+        return self.pairs.join(a, "a").join(b, "b").select(F.hex("a").alias("train_class"), F.hex("b").alias("eval_class"), "cosine", "dot", "n_train", "n_eval")
+
+    def membership(self) -> DataFrame:
+        """(id, split_name, text_class): the class of each distinct row."""
+        return self.members.select("id", "split_name", F.hex("text_class").alias("text_class")).distinct()
+
     def report(self) -> DataFrame:
         """Per split and source of the val or test row: rows with an overlap and pairs, counted without making the pairs."""
         each = self.members.select("id", "split_name", "source", "text_class").distinct()
         n_train = each.where("split_name = 'train'").groupBy(F.col("text_class").alias("a")).agg(F.count_distinct("id").alias("n"))
-        met = self.pairs.join(n_train, "a").groupBy(F.col("b").alias("text_class")).agg(F.sum("n").alias("n"))
+        met = self.pairs.select("a", "b").join(n_train, "a").groupBy(F.col("b").alias("text_class")).agg(F.sum("n").alias("n"))
         hit = each.where("split_name <> 'train'").join(met, "text_class")
         return hit.groupBy("split_name", "source").agg(F.count_distinct("id").alias("n_rows"), F.sum("n").alias("n_pairs"))

@@ -22,6 +22,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Overlaps(table(spark, d, "sft")).found()
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of copies with cosine, dot product and their numbers of rows."""
+    return overlap.Overlaps(table(spark, d, "sft")).classes()
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each row."""
+    return overlap.Overlaps(table(spark, d, "sft")).membership()
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Overlaps(table(spark, d, "sft")).report()
 
@@ -74,5 +84,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_classes, p3_members, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}

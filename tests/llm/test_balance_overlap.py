@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
+
 from graftline.llm import balance, overlap
 
 SFT = "id string, sft_chunk_info string"
@@ -79,7 +81,9 @@ def sft(spark, rows):
     return spark.createDataFrame(cells, "id string, messages array<struct<role:string,content:string>>, split_name string, source string")
 
 
-def test_overlap_matches_all_pairs(spark):
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_overlap_matches_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(overlap, "LIST", most)  # with 2, lists are salted
     rnd, rows = random.Random(4), []
     vocabulary = [f"w{k}" for k in range(60)] + list("的一是不了人我在有他这中大来上国")
     for n in range(60):
@@ -116,3 +120,20 @@ def test_overlap_words_and_edges(spark):
     cells = [("x", [("system", "s")], "train", "s"), ("y", [], "val", "s"), ("z", [None], "val", "s"), ("a", [("user", prompt(long))], "train", "s"), ("b", [("user", prompt(long))], "val", "s")]
     df = spark.createDataFrame(cells, "id string, messages array<struct<role:string,content:string>>, split_name string, source string")
     assert {tuple(r) for r in overlap.Overlaps(df).found().collect()} == {("a", "b")}
+
+
+def test_classes_members_and_spellings(spark):
+    base = "one two three four five six seven eight nine ten"
+    near = base.replace("four", "other")
+    broken = base.replace("seven", "se ven").replace("two", "t w o")  # a copy with spaces inside its words
+    rows = [("a", base, "train", "s"), ("b", base.upper(), "train", "s"), ("c", broken, "train", "s"), ("d", near, "val", "s"), ("e", near, "test", "s"), ("f", base, "val", "s")]
+    o = overlap.Overlaps(sft(spark, rows))
+    assert {tuple(r) for r in o.found().collect()} == {(x, y) for x in "abc" for y in "def"}
+    pairs = o.classes().collect()
+    assert sorted((r.n_train, r.n_eval, r.cosine < 1) for r in pairs) == [(3, 1, False), (3, 2, True)] and all(r.dot is None or r.dot > 0 for r in pairs)
+    members = {r.id: r.text_class for r in o.membership().collect()}
+    assert len(members) == 6 and members["a"] == members["b"] == members["c"] == members["f"] != members["d"] == members["e"]
+
+
+def test_tags_end_at_words():
+    assert overlap.words("see #x and #y now") == ["see", "and", "now"] and overlap.words("#two words# end") == ["end"]
