@@ -1,11 +1,13 @@
 """Schema changes between the successive files of a feed, from rescue-column ingestion.
 
-First pass: the ingested ``_paths`` become one row per file and path with the set of kinds (an aggregation that
-combines map-side, so its shuffle holds files x paths and not lines). A path that went and one that came under the
-same holder with the same kinds is a possible rename. Second pass, over lines of such files only: the values of the
-records that both files hold are compared by hash; a rename needs at least one value present in both files and none
-that differs. Fields of an object that only one of the two files gives are no difference. Last, the changes of a feed
-are told from top to bottom over its small table of paths.
+Lines are ingested once, into a table in the shared folder. Its ``_paths`` become one row per file and path with the
+set of kinds (an aggregation that combines map-side, so its shuffle holds files x paths and not lines). A path that
+went and one that came under the same holder with the same kinds is a possible rename. Evidence comes from the ingested
+rows of such files only: a field that was renamed stands in the typed columns on one side and in the rescue column on the
+other, or in the rescue column on both. The values of the records that both files hold are compared by hash; a rename
+needs at least one value present in both files and none that differs. Fields of an object that only one of the two files
+gives are no difference. Last, the changes of a feed are told from top to bottom over its small table of paths. The
+renames of the report are the names by which ``samples`` promotes rescued values into the typed columns.
 
 Defined cases: lines that are no JSON object count for nothing; a file that is missing in the sequence (no line of it
 parses) is skipped as if it had no paths: the next file is not compared, as there is no file with the previous number; several possible renames
@@ -20,12 +22,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftline.operators.rescue import ingest, leaves, parse_line
-from graftline.runtime import Scratch, spread
+from graftline.operators.rescue import APPROVED, TARGET, approvals, ingest, promote, values
+from graftline.runtime import Scratch
 
 
 def holder(path: str) -> str:
@@ -37,10 +40,9 @@ def below(path: str, top: str) -> bool:
     return path.startswith((f"{top}.", f"{top}["))
 
 
-def file_paths(lines: DataFrame) -> DataFrame:
+def file_paths(ingested: DataFrame) -> DataFrame:
     """(feed, file_seq, file_name, path, kinds) of every file."""
-    seen = ingest(lines.select("feed", "file_seq", "file_name", "line"), ("paths",))
-    each = seen.where("feed IS NOT NULL AND file_seq IS NOT NULL").select("feed", "file_seq", "file_name", F.explode("_paths").alias("entry"))
+    each = ingested.where("feed IS NOT NULL AND file_seq IS NOT NULL").select("feed", "file_seq", "file_name", F.explode("_paths").alias("entry"))
     kind, path = F.substring_index("entry", " ", 1).cast("int"), F.expr("substring(entry, instr(entry, ' ') + 1)")
     return each.groupBy("feed", "file_seq", path.alias("path")).agg(F.min("file_name").alias("file_name"), F.bit_or(kind).alias("kinds"))
 
@@ -69,38 +71,38 @@ def _candidates(batches: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["feed", "file_seq", "old_path", "new_path"])
 
 
-def _values(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+def _values(wanted: DataFrame, ingested: DataFrame) -> DataFrame:
     """(feed, pair_seq, old_path, new_path, record_id, side, rel, value): the scalar values at the wanted paths."""
     sides = wanted.select("feed", F.col("file_seq").alias("pair_seq"), "old_path", "new_path", F.explode(F.array(
         F.struct((F.col("file_seq") - 1).cast("int").alias("file_seq"), F.lit(0).alias("side"), F.col("old_path").alias("at")),
         F.struct(F.col("file_seq").cast("int").alias("file_seq"), F.lit(1).alias("side"), F.col("new_path").alias("at")),
     )).alias("s")).select("feed", "s.file_seq", F.struct("pair_seq", "old_path", "new_path", "s.side", "s.at").alias("want"))
     per_file = sides.groupBy("feed", "file_seq").agg(F.collect_list("want").alias("wants"))  # bounded by the paths of a file
-    hit = lines.where("record_id IS NOT NULL AND line IS NOT NULL").select("feed", "file_seq", "record_id", "line").join(per_file, ["feed", "file_seq"])
+    hit = ingested.where("record_id IS NOT NULL AND _status = 'ok'").select("feed", "file_seq", "record_id", *TARGET, "_rescued", "_written").join(per_file, ["feed", "file_seq"])
+    fields = {"feed": pa.string(), "pair_seq": pa.int32(), "old_path": pa.string(), "new_path": pa.string(), "record_id": pa.string(), "side": pa.int32(), "rel": pa.string(), "value": pa.int64()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for feed, record, line, wants in zip(batch["feed"], batch["record_id"], batch["line"], batch["wants"]):
-                _, value = parse_line(line)
-                if value is None:
-                    continue
-                flat = [x for x in leaves(value, "") if not isinstance(x[3], dict | list)]
-                for w in wants:
+            for row in batch.to_pylist():
+                held = values({k: row[k] for k in TARGET}, *(json.loads(row[c]) if row[c] else {} for c in ("_rescued", "_written")))
+                flat = [(path, where, v) for path, _, where, v in held if not isinstance(v, dict | list)]
+                for w in row["wants"]:
                     at = w["at"]
-                    for path, _, where, v in flat:
+                    for path, where, v in flat:
                         if path == at or below(path, at):
                             rel = f"{path[len(at):]} {where}"
-                            rows.append((feed, w["pair_seq"], w["old_path"], w["new_path"], record, w["side"], rel, xxhash.xxh3_64_intdigest(json.dumps(v)) - 2**63))
-            yield pd.DataFrame(rows, columns=["feed", "pair_seq", "old_path", "new_path", "record_id", "side", "rel", "value"])
+                            rows.append((row["feed"], w["pair_seq"], w["old_path"], w["new_path"], row["record_id"], w["side"], rel, xxhash.xxh3_64_intdigest(json.dumps(v)) - 2**63))
+            cells = list(zip(*rows)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, fields.values())], list(fields))
 
-    return hit.mapInPandas(run, "feed string, pair_seq int, old_path string, new_path string, record_id string, side int, rel string, value bigint")
+    return hit.mapInArrow(run, "feed string, pair_seq int, old_path string, new_path string, record_id string, side int, rel string, value bigint")
 
 
-def _renames(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+def _renames(wanted: DataFrame, ingested: DataFrame) -> DataFrame:
     """(feed, file_seq, old_path, new_path, records): the pairs whose shared records all agree."""
     key = ["feed", "pair_seq", "old_path", "new_path", "record_id", "rel"]
-    sides = _values(wanted, lines).groupBy(*key, "value").agg(F.bit_or(F.col("side") + 1).alias("on"))  # 1 old, 2 new, 3 both
+    sides = _values(wanted, ingested).groupBy(*key, "value").agg(F.bit_or(F.col("side") + 1).alias("on"))  # 1 old, 2 new, 3 both
     one = sides.groupBy(*key).agg(F.bit_or("on").alias("sides"), F.max(F.col("on") == 3).alias("same"))
     # repeated lines of a record may differ; one value that both sides hold is enough to agree
     both = one.where("sides = 3")
@@ -162,10 +164,33 @@ def _report(key: tuple, paths: pd.DataFrame, renames: pd.DataFrame) -> pd.DataFr
     return pd.DataFrame(rows, columns=["file_name", "drift", "field_path", "old_path"])
 
 
+class Drift:
+    """The ingested lines, and the changes between their files."""
+
+    def __init__(self, lines: DataFrame):
+        scratch = Scratch(lines.sparkSession, "drift")
+        self.ingested = scratch.write(ingest(lines))
+        self._paths = scratch.write(file_paths(self.ingested))
+        wanted = scratch.write(self._paths.groupBy("feed").applyInPandas(_candidates, "feed string, file_seq int, old_path string, new_path string"))
+        self._renames = scratch.write(_renames(wanted, self.ingested))
+
+    def report(self) -> DataFrame:
+        """(file_name, drift, field_path, old_path): one row per change against the previous file of the feed."""
+        return self._paths.groupBy("feed").cogroup(self._renames.groupBy("feed")).applyInPandas(_report, "file_name string, drift string, field_path string, old_path string")
+
+    def approved(self, user: dict[str, str] = APPROVED) -> dict[str, str]:
+        """Names approved by the report's renames and the user; the distinct renames are as few as the feeds' fields."""
+        renames = self.report().where("drift = 'renamed'").select("field_path", "old_path").distinct().collect()
+        return approvals([(r.field_path, r.old_path) for r in renames], user)
+
+    def samples(self, user: dict[str, str] = APPROVED) -> DataFrame:
+        """One consistent table of samples of all files, renamed fields promoted from the rescue column."""
+        return promote(self.ingested.where("_status = 'ok'").drop("_paths", "_written"), self.approved(user))
+
+
 def drift(lines: DataFrame) -> DataFrame:
-    """(file_name, drift, field_path, old_path): one row per change against the previous file of the feed."""
-    scratch = Scratch(lines.sparkSession, "drift")
-    paths = scratch.write(file_paths(lines))
-    wanted = scratch.write(paths.groupBy("feed").applyInPandas(_candidates, "feed string, file_seq int, old_path string, new_path string"))
-    renames = _renames(wanted, lines)
-    return paths.groupBy("feed").cogroup(renames.groupBy("feed")).applyInPandas(_report, "file_name string, drift string, field_path string, old_path string")
+    return Drift(lines).report()
+
+
+def samples(lines: DataFrame, user: dict[str, str] = APPROVED) -> DataFrame:
+    return Drift(lines).samples(user)

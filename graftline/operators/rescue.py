@@ -1,9 +1,11 @@
 """Rescue-column ingestion of JSON lines whose schema drifts.
 
 Each line is parsed once. Fields of the target schema that hold castable values go to typed columns; whatever is
-unknown or cannot be cast is kept, as JSON by path, in ``_rescued``. ``promote`` replays approved rescued fields
-into the typed columns, so a rename approved later needs no second read of the source. ``_paths`` lists the paths
-that hold a non-null value in the line with the kind of the value as written; the drift report is made from it.
+unknown or cannot be cast is kept, as JSON by path, in ``_rescued``, and what a cast changed the form of, as ``"3"``
+for a number, in ``_written``: the three together hold every value of the line as it was. ``promote`` replays approved
+rescued fields into the typed columns, so a rename approved later needs no second read of the source. ``_paths`` lists
+the paths that hold a non-null value in the line with the kind of the value as written. The drift report takes its
+paths and the evidence for renames from these columns, and ``approvals`` makes the approved names from the report.
 
 Defined cases: a null, blank, cut-off or non-object line gives nulls in the typed columns, an empty ``_paths`` and a
 ``_status`` of ``null``, ``blank``, ``broken`` or ``other``; a key given twice in an object counts with its last value;
@@ -14,12 +16,14 @@ of the output's own.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graftline.runtime import spread
 
@@ -30,16 +34,10 @@ TARGET = {
 }
 MESSAGE = {"role": "string", "content": "string", "loss": "bigint", "depth": "bigint"}
 
-#: Approved names of the same field in the exports; fixed values, target name after the colon.
-APPROVED = {
-    "id": "sample_id", "row_key": "sample_id", "data_source": "origin", "user_name": "author", "root_user": "author", "targets": "targets_per_potential_types", "chunk_info": "sft_chunk_info",
-    "layer": "node_depth", "target_layer": "node_depth", "n_chars": "seq_len", "messages[].from": "messages[].role", "messages[].speaker": "messages[].role",
-    "messages[].body": "messages[].content", "messages[].value": "messages[].content", "messages[].text": "messages[].content",
-    "messages[].loss_flag": "messages[].loss", "messages[].level": "messages[].depth", "messages[].turn_depth": "messages[].depth", "messages[].content.text": "messages[].content",
-    "messages[].content.depth": "messages[].depth", "messages[].body.text": "messages[].content", "messages[].value.text": "messages[].content",
-    "messages[].content.text_raw": "messages[].content", "messages[].body.text_raw": "messages[].content", "messages[].value.text_raw": "messages[].content",
-    "messages[].body.depth": "messages[].depth", "messages[].value.depth": "messages[].depth",
-}
+#: Places inside the target's own fields that hold the same as one of them; a user may set others.
+APPROVED = {"messages[].content.text": "messages[].content", "messages[].content.text_raw": "messages[].content", "messages[].content.depth": "messages[].depth"}
+#: Paths of the target schema to which rescued ones may be promoted.
+GOALS = frozenset([*TARGET, *(f"messages[].{k}" for k in MESSAGE)])
 
 STRING, INTEGER, DECIMAL, BOOLEAN, OBJECT, ARRAY = 1, 2, 4, 8, 16, 32
 _KINDS = {str: STRING, int: INTEGER, float: DECIMAL, bool: BOOLEAN, dict: OBJECT, list: ARRAY}
@@ -96,40 +94,110 @@ def cast(value: object, kind: str) -> tuple[object, bool]:
     raise ValueError(kind)
 
 
-def enforce(value: dict) -> tuple[dict, dict]:
-    """(typed fields, rescued values by path); rescued elements keep their message's index as ``messages[2].body``."""
+def enforce(value: dict) -> tuple[dict, dict, dict]:
+    """(typed fields, rescued values by path, values by path whose form a cast changed); elements keep their message's
+    index, as ``messages[2].body``."""
     typed: dict = {}
     rescued: dict = {}
+    written: dict = {}
+
+    def put(row: dict, key: str, path: str, v: object, kind: str) -> None:
+        cell, ok = cast(v, kind)
+        if not ok:
+            rescued[path] = v
+            return
+        row[key] = cell
+        if type(cell) is not type(v) or isinstance(v, list) and any(type(x) is not type(y) for x, y in zip(cell, v)):
+            written[path] = v
+
     for key, v in value.items():
-        if key not in TARGET:
-            if v is not None:
-                rescued[key] = v
-        elif key == "messages":
-            if not isinstance(v, list):
-                if v is not None:
-                    rescued[key] = v
-                continue
-            rows = []
+        if v is None:
+            continue
+        if key not in TARGET or key == "messages" and not isinstance(v, list):
+            rescued[key] = v
+        elif key != "messages":
+            put(typed, key, key, v, TARGET[key])
+        else:
+            typed[key] = []
             for i, m in enumerate(v):
                 row = dict.fromkeys(MESSAGE)
-                if isinstance(m, dict):
-                    for k, x in m.items():
-                        cell, ok = cast(x, MESSAGE[k]) if k in MESSAGE else (None, x is None)
-                        if not ok:
-                            rescued[f"messages[{i}].{k}"] = x
-                        elif k in MESSAGE:
-                            row[k] = cell
-                elif m is not None:
-                    rescued[f"messages[{i}]"] = m
-                rows.append(row)
-            typed[key] = rows
+                typed[key].append(row)
+                if not isinstance(m, dict):
+                    if m is not None:
+                        rescued[f"messages[{i}]"] = m
+                    continue
+                for k, x in m.items():
+                    if k in MESSAGE and x is not None:
+                        put(row, k, f"messages[{i}].{k}", x, MESSAGE[k])
+                    elif x is not None:
+                        rescued[f"messages[{i}].{k}"] = x
+    return typed, rescued, written
+
+
+_INDEXED = re.compile(r"messages\[(\d+)\](.*)", re.S)
+
+
+def values(typed: dict, rescued: dict, written: dict) -> Iterator[tuple[str, int, tuple[int, ...], object]]:
+    """(path, kind, array indices, value) of all that an ingested line held, as it was written."""
+    for key, v in typed.items():
+        if key != "messages":
+            yield from leaves(written.get(key, v), key)
         else:
-            cell, ok = cast(v, TARGET[key])
-            if ok:
-                typed[key] = cell
-            else:
-                rescued[key] = v
-    return typed, rescued
+            for i, row in enumerate(v or ()):
+                for k, x in (row or {}).items():
+                    yield from leaves(written.get(f"messages[{i}].{k}", x), f"messages[].{k}", (i,))
+    for key, v in rescued.items():
+        at = _INDEXED.fullmatch(key)
+        yield from leaves(v, f"messages[]{at[2]}" if at else key, (int(at[1]),) if at else ())
+
+
+def goal(path: str, approved: dict[str, str]) -> str:
+    """The target path that a path stands for, by its own name or that of what holds it; empty without one."""
+    for _ in range(len(approved) + 1):
+        if path in GOALS:
+            return path
+        top = max((x for x in approved if path == x or path.startswith((f"{x}.", f"{x}["))), key=len, default=None)
+        if top is None:
+            return ""
+        path = approved[top] + path[len(top):]
+    return ""
+
+
+def approvals(renames: Iterable[tuple[str, str]], user: dict[str, str] = APPROVED) -> dict[str, str]:
+    """Approved names: the user's, and of each set of paths that renames join, what is no target to the one that is.
+
+    renames(one path, the other) are those of a drift report, in either direction. A set with several targets proves
+    that they are confused somewhere, and approves none.
+    """
+    near: dict[str, set[str]] = defaultdict(set)
+    for a, b in renames:
+        near[a].add(b)
+        near[b].add(a)
+    groups, seen = [], set()
+    for start in sorted(near):
+        todo, group = [start], set()
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group.add(x)
+                todo.extend(near[x])
+        if start not in seen:
+            groups.append(sorted(group))
+        seen |= group
+    out = dict(user)
+    while True:  # a name may be known only once that of its holder is
+        found = dict(out)
+        for group in groups:
+            goals = {x: goal(x, out) for x in group}
+            if len(targets := {g for g in goals.values() if g}) == 1:
+                found |= {x: next(iter(targets)) for x, g in goals.items() if not g}
+        for name, target in list(found.items()):
+            for top, to in found.items():
+                if name.startswith((f"{top}.", f"{top}[")) and (moved := to + name[len(top):]) not in GOALS:
+                    found.setdefault(moved, target)
+        if found == out:
+            return out
+        out = found
 
 
 def replay(typed: dict, rescued: dict, approved: dict[str, str]) -> tuple[dict, dict]:
@@ -138,38 +206,36 @@ def replay(typed: dict, rescued: dict, approved: dict[str, str]) -> tuple[dict,
     A message's own fields go first; those inside its content fill what is then still null.
     """
     done = set()
-    if isinstance(rescued.get("messages"), str):  # messages kept as JSON text
-        try:
-            inner = json.loads(rescued["messages"])
-        except (ValueError, RecursionError):
-            inner = None
-        if isinstance(inner, list):
-            more, left = enforce({"messages": inner})
-            typed = typed | more
-            rescued = {k: v for k, v in rescued.items() if k != "messages"} | left
+    for path, value in list(rescued.items()):  # messages under another name or kept as JSON text
+        if goal(path, approved) == "messages" and not typed.get("messages"):
+            inner = value
+            if isinstance(value, str):
+                try:
+                    inner = json.loads(value)
+                except (ValueError, RecursionError):
+                    continue
+            if isinstance(inner, list):
+                more, left, _ = enforce({"messages": inner})
+                typed = typed | more
+                rescued = {k: v for k, v in rescued.items() if k != path} | left
     for path, value in sorted(rescued.items(), key=lambda x: isinstance(x[1], dict)):
-        plain, _, tail = path.partition("].")
-        at = plain.partition("[")[2]
+        at = _INDEXED.fullmatch(path)
         used = False
-        if tail and at.isdigit():
-            todo = [(f"messages[].{tail}", value)] + ([(f"messages[].{tail}.{k}", x) for k, x in value.items()] if isinstance(value, dict) else [])
-            for name, x in todo:
-                goal = approved.get(name, name if name in (f"messages[].{k}" for k in MESSAGE) else "").partition("[].")[2]
-                if goal and typed["messages"][int(at)][goal] is None:
-                    cell, ok = cast(x, MESSAGE[goal])
+        if at and at[2]:
+            name, row = f"messages[]{at[2]}", typed["messages"][int(at[1])]
+            for place, x in [(name, value)] + ([(f"{name}.{k}", x) for k, x in value.items()] if isinstance(value, dict) else []):
+                field = goal(place, approved).partition("[].")[2]
+                if field and row[field] is None:
+                    cell, ok = cast(x, MESSAGE[field])
                     if ok and cell is not None:
-                        typed["messages"][int(at)][goal] = cell
+                        row[field] = cell
                         used = used or not isinstance(value, dict)
-        else:
-            goal = approved.get(path, path)
-            if goal in TARGET and goal != "messages" and typed.get(goal) is None:
-                if TARGET[goal] == "string" and isinstance(value, dict | list):
-                    value_in = json.dumps(value, ensure_ascii=False)
-                else:
-                    value_in = value
-                cell, ok = cast(value_in, TARGET[goal])
+        elif not at:
+            field = goal(path, approved)
+            if field in TARGET and field != "messages" and typed.get(field) is None:
+                cell, ok = cast(json.dumps(value, ensure_ascii=False) if TARGET[field] == "string" and isinstance(value, dict | list) else value, TARGET[field])
                 if ok:
-                    typed[goal] = cell
+                    typed[field] = cell
                     used = True
         if used:
             done.add(path)
@@ -181,69 +247,42 @@ _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "array<bigint>": T.A
 _TYPED = [T.StructField(k, _TYPES[v]) for k, v in TARGET.items()]
 
 
-def ingest(lines: DataFrame, parts: tuple[str, ...] = ("typed", "rescued", "paths"), approved: dict[str, str] | None = None) -> DataFrame:
-    """The lines' other columns with ``_status`` and the parts asked for; with ``approved``, rescued values replayed.
+_OWN = [*TARGET, "_status", "_rescued", "_written", "_paths"]
+
+
+def ingest(lines: DataFrame) -> DataFrame:
+    """The lines' other columns with the typed ones, ``_status``, ``_rescued``, ``_written`` and ``_paths``.
 
     One narrow pass in Arrow batches: no shuffle, but where the scan has fewer tasks than cores.
     """
-    own = [*(TARGET if "typed" in parts else ()), "_status", "_rescued", "_paths", "line"]
-    keep = [f for f in lines.schema.fields if f.name not in own]
-    fields = keep + [T.StructField("_status", T.StringType())] + (_TYPED if "typed" in parts else [])
-    fields += [T.StructField("_rescued", T.StringType())] * ("rescued" in parts) + [T.StructField("_paths", T.ArrayType(T.StringType()))] * ("paths" in parts)
-    names = [f.name for f in keep]
+    keep = [f for f in lines.schema.fields if f.name not in (*_OWN, "line")]
+    fields = [*keep, T.StructField("_status", T.StringType()), *_TYPED, T.StructField("_rescued", T.StringType()), T.StructField("_written", T.StringType()), T.StructField("_paths", T.ArrayType(T.StringType()))]
+    names, kinds = [f.name for f in keep], {f.name: to_arrow_type(f.dataType) for f in _TYPED}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[names].copy()
-            parsed = [parse_line(x) for x in batch["line"]]
-            out["_status"] = [s for s, _ in parsed]
-            if "typed" in parts or "rescued" in parts:
-                pairs = [enforce(v) if v is not None else ({}, {}) for _, v in parsed]
-                if approved is not None:
-                    pairs = [replay(t, r, approved) for t, r in pairs]
-                if "typed" in parts:
-                    for k in TARGET:
-                        out[k] = pd.Series([t.get(k) for t, _ in pairs], dtype=object, index=out.index)
-                if "rescued" in parts:
-                    out["_rescued"] = [json.dumps(r, ensure_ascii=False) if r else None for _, r in pairs]
-            if "paths" in parts:
-                out["_paths"] = [sorted({f"{kind} {p}" for p, kind, _, _ in leaves(v, "") if p}) if v is not None else [] for _, v in parsed]
-            yield out
-
-    return spread(lines.select(*names, "line")).mapInPandas(run, T.StructType(fields))
+            parsed = [parse_line(x) for x in batch.column("line").to_pylist()]
+            parts = [enforce(v) if v is not None else ({}, {}, {}) for _, v in parsed]
+            paths = [sorted({f"{kind} {p}" for p, kind, _, _ in leaves(v, "") if p}) if v is not None else [] for _, v in parsed]
+            cells = [batch.column(n) for n in names] + [pa.array([s for s, _ in parsed], pa.string())]
+            cells += [pa.array([t.get(k) for t, _, _ in parts], kind) for k, kind in kinds.items()]
+            cells += [pa.array([json.dumps(p[i], ensure_ascii=False) if p[i] else None for p in parts], pa.string()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(paths, pa.list_(pa.string()))], [f.name for f in fields])
+
+    return spread(lines.select(*names, "line")).mapInArrow(run, T.StructType(fields))
 
 
 def promote(ingested: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Replays ``_rescued`` of an ingested table into its typed columns, without the source lines."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, kinds = ingested.columns, {f.name: to_arrow_type(f.dataType) for f in _TYPED}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            for row in batch[[*TARGET, "_rescued"]].to_dict("records"):
-                typed = {k: _plain(row[k]) for k in TARGET}
-                pairs.append(replay(typed, json.loads(row["_rescued"]) if row["_rescued"] else {}, approved))
-            for k in TARGET:
-                batch[k] = pd.Series([t.get(k) for t, _ in pairs], dtype=object, index=batch.index)
-            batch["_rescued"] = [json.dumps(r, ensure_ascii=False) if r else None for _, r in pairs]
-            yield batch
-
-    return ingested.mapInPandas(run, ingested.schema)
-
-
-def _plain(v: object) -> object:
-    """Arrow and NumPy cells as plain Python values."""
-    if v is None or isinstance(v, str | int):
-        return v
-    if isinstance(v, float):
-        return None if v != v else int(v)
-    if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items()}
-    if hasattr(v, "asDict"):
-        return _plain(v.asDict())
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    return [_plain(x) for x in v] if isinstance(v, list) else v
-
-
-def samples(lines: DataFrame, approved: dict[str, str] = APPROVED) -> DataFrame:
-    """One consistent table of samples of all files, renamed fields promoted."""
-    return ingest(lines, ("typed", "rescued"), approved).where(F.col("_status") == "ok")
+            cells = {n: batch.column(n) for n in names}
+            rows = batch.select([*TARGET, "_rescued"]).to_pylist()
+            pairs = [replay({k: row[k] for k in TARGET}, json.loads(row["_rescued"]), approved) if row["_rescued"] else (row, {}) for row in rows]
+            cells |= {k: pa.array([t.get(k) for t, _ in pairs], kind) for k, kind in kinds.items()}
+            cells["_rescued"] = pa.array([json.dumps(r, ensure_ascii=False) if r else None for _, r in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([cells[n] for n in names], names)
+
+    return ingested.mapInArrow(run, ingested.schema)

@@ -14,7 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_samples(spark: SparkSession, d: str) -> DataFrame:
-    return rescue.samples(table(spark, d, "sft_lines"))
+    return drift.samples(table(spark, d, "sft_lines"))
+
+
+def p1_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """The lines in the target schema as first read, with what was rescued."""
+    return rescue.ingest(table(spark, d, "sft_lines")).drop("_paths")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +69,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.resolve(_latest(spark, d).select("id", "parent"), with_path=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_samples, p5_found, p5_posts, p5_comments, p5_replies, p5_reposts, p5_users, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_samples, p1_ingested, p5_found, p5_posts, p5_comments, p5_replies, p5_reposts, p5_users, p6_found, p6_paths, p6_descendants)}
 
 _FOREST = """
 WITH RECURSIVE n AS (SELECT id, reply_comment AS parent, depth AS stored FROM comments WHERE id IS NOT NULL

@@ -50,25 +50,51 @@ def test_nothing_told_below_a_changed_path_and_gaps(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == set()
 
 
+USER = rescue.APPROVED | {
+    "user_name": "author", "id": "sample_id", "row_key": "sample_id", "layer": "node_depth", "target_layer": "node_depth", "data_source": "origin", "messages[].body": "messages[].content",
+    "messages[].value": "messages[].content", "messages[].turn_depth": "messages[].depth", "messages[].level": "messages[].depth"}
+
+
 def test_ingest_rescues_and_promotes(spark):
     df = lines(spark, [[("a", {"sample_id": "1", "user_name": "x", "node_depth": "2", "seq_len": "far", "messages": [{"role": "user", "body": "hi", "depth": 1.0}, None, {"role": "assistant", "content": {"text": "yo", "depth": 3}}], "new": {"k": [1]}}), ("b", None), ("c", "nope")]])
-    raw = rescue.ingest(df.selectExpr("*", "1 as author", "'z' as extra"), ("typed", "rescued")).orderBy("line_id").collect()
+    raw = rescue.ingest(df.selectExpr("*", "1 as author", "'z' as extra")).orderBy("line_id").collect()
     assert [r._status for r in raw] == ["ok", "null", "broken"]
     assert raw[0].node_depth == 2 and raw[0].author is None and raw[0].extra == "z"
     assert json.loads(raw[0]._rescued) == {"user_name": "x", "seq_len": "far", "messages[0].body": "hi", "messages[2].content": {"text": "yo", "depth": 3}, "new": {"k": [1]}}
-    (row,) = rescue.promote(rescue.ingest(df, ("typed", "rescued")).where("_status = 'ok'"), rescue.APPROVED).collect()
+    assert json.loads(raw[0]._written) == {"node_depth": "2", "messages[0].depth": 1.0}
+    (row,) = rescue.promote(rescue.ingest(df).where("_status = 'ok'"), USER).collect()
     assert row.author == "x" and row.messages[0].content == "hi" and row.messages[0].depth == 1 and row.messages[2].content == "yo" and row.messages[2].depth == 3
     assert json.loads(row._rescued)["new"] == {"k": [1]} and json.loads(row._rescued)["seq_len"] == "far"
-    (same,) = rescue.samples(df).collect()
+    (same,) = drift.samples(df, USER).collect()
     assert same.author == "x" and same.messages[0].content == "hi"
 
 
+def test_typed_and_rescued_hold_all_that_a_line_held():
+    for value in ({"sample_id": 4, "node_depth": "7", "seq_len": 2.0, "origin": True, "targets_per_potential_types": ["1", 2], "z": {"a": [1, {"b": None}]}, "messages": [{"role": 1, "depth": "x", "more": [2]}, "text", None, {}]},
+                  {"messages": {"a": 1}, "targets_per_potential_types": [1, 2], "author": "q"}, {"messages": "[]"}, {}):
+        held = {(p, w, json.dumps(v)) for p, _, w, v in rescue.values(*rescue.enforce(value)) if not isinstance(v, dict | list)}
+        assert held == {(p, w, json.dumps(v)) for p, _, w, v in rescue.leaves(value, "") if not isinstance(v, dict | list)}
+
+
+def test_approved_names_come_from_the_report(spark):
+    one = [("a", {"row_key": 7, "turns": [{"who": "u", "value": {"text": "hi", "layer": 2}}], "w": 1}), ("b", {"row_key": 8, "turns": [{"who": "v", "value": {"text": "ho", "layer": 3}}], "w": 2})]
+    two = [("a", {"id": 7, "messages": [{"role": "u", "value": {"text": "hi", "depth": 2}}], "v": 9}), ("b", {"id": 8, "messages": [{"role": "v", "value": {"text": "ho", "depth": 3}}], "v": 8})]
+    three = [("a", {"sample_id": 7, "messages": [{"role": "u", "content": {"text": "hi", "depth": 2}}]}), ("b", {"sample_id": 8, "messages": [{"role": "v", "content": {"text": "ho", "depth": 3}}]})]
+    found = drift.Drift(lines(spark, [one, two, three]))
+    names = found.approved()
+    assert names["row_key"] == names["id"] == "sample_id" and names["turns"] == "messages" and names["messages[].value"] == "messages[].content" and "w" not in names and "v" not in names
+    rows = found.samples().orderBy("line_id").collect()
+    assert [(r.sample_id, r.messages[0].role, r.messages[0].content, r.messages[0].depth) for r in rows] == [("7", "u", "hi", 2), ("8", "v", "ho", 3)] * 3
+    assert json.loads(rows[0]._rescued)["w"] == 1
+    assert rescue.approvals([("a", "sample_id"), ("a", "b"), ("b", "author")], {}) == {}  # joined to two targets: none
+
+
 def test_no_sample_loses_its_id_depth_or_content(spark):
     df = lines(spark, [[
         ("a", {"id": 48, "target_layer": 3, "data_source": "s", "messages": [{"content": {"text_raw": "hi", "depth": 9}, "turn_depth": "2", "weight": 5.0, "w": 6.0}]}),
         ("b", {"sample_id": 49, "target_layer": 4.0, "messages": [{"body": {"text_raw": "ho"}, "turn_depth": 1}]}),
         ("c", {"row_key": "50", "target_layer": "5", "messages": [{"value": {"text_raw": "he"}, "level": 7}]}), ("d", {"row_key": 51, "layer": 6, "messages": [{"content": 12, "depth": 0}]})]])
-    for made in (rescue.samples(df), rescue.promote(rescue.ingest(df, ("typed", "rescued")), rescue.APPROVED)):
+    for made in (drift.samples(df, USER), rescue.promote(rescue.ingest(df), USER)):
         rows = made.orderBy("line_id").collect()
         assert [(r.sample_id, r.node_depth, r.messages[0].content, r.messages[0].depth) for r in rows] == [("48", 3, "hi", 2), ("49", 4, "ho", 1), ("50", 5, "he", 7), ("51", 6, "12", 0)]
         assert rows[0].origin == "s" and rows[0].messages[0].loss is None and json.loads(rows[0]._rescued)["messages[0].weight"] == 5.0
