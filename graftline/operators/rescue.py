@@ -192,7 +192,7 @@ def approvals(renames: Iterable[tuple[str, str]], user: dict[str, str] = APPROVE
             if len(targets := {g for g in goals.values() if g}) == 1:
                 found |= {x: next(iter(targets)) for x, g in goals.items() if not g}
         for name, target in list(found.items()):
-            for top, to in found.items():
+            for top, to in list(found.items()):
                 if name.startswith((f"{top}.", f"{top}[")) and (moved := to + name[len(top):]) not in GOALS:
                     found.setdefault(moved, target)
         if found == out:
