@@ -6,26 +6,32 @@ open, and gives the complete items, what is left open at the end, and the wordin
 * refusal: the wording, or the comments, match a grammar of declining in six languages;
 * copied: greedy string tiling covers the answer, or every comment, with the prompt or its post text;
 * truncated: the items do not come to the end of the last candidate of the prompt;
-* other_language: most comments are in another script, or among Latin ones hold another language's function words,
-  than the post text.
+* other_language: most comments are in another script than the post text or, among Latin ones, in another language by
+  profiles of letter sequences.
 The first that fits counts. Rows are judged one by one in Arrow batches, whole texts each; only defective keys are
 shuffled, to give one row per key.
 
-Defined cases: a missing or null answer is empty; a missing prompt can make no answer copied, truncated or foreign; a
-key with several versions gets the first defect in the order above; rows without key are left out; a prompt without
-candidates makes no answer truncated.
+The profiles are fitted on labelled texts: of each Latin language the first SAMPLE texts, in the order of a hash, of 20
+to 400 characters. This bound is the parameter ``sample`` of ``profiles``; everything else reads all rows.
+
+Defined cases: a missing or null answer is empty, unless the stored ``parsed_output`` holds items, which then count as
+the answer; a missing prompt can make no answer copied, truncated or foreign; a key with several versions, or several
+turns, gets the first defect in the order above; rows without key are left out; a prompt without candidates makes no
+answer truncated; without profiles Latin languages are not told apart.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.runtime import spread
@@ -111,31 +117,41 @@ def words(text: str) -> list[str]:
 
 
 def tiled(a: list[str], b: list[str], least: int = TILE) -> int:
-    """Words of a covered by greedy string tiling with b: longest common runs first, no word used twice."""
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    """Words of a covered by greedy string tiling with b: longest common runs first, no word used twice.
+
+    Runs are found once, from their left ends, and kept in a heap; one that was partly used since goes back with what
+    is left of it.
+    """
     starts: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for j in range(len(b) - least + 1):
         starts[tuple(b[j : j + least])].append(j)
-    covered = 0
-    while True:
-        best, tiles = least - 1, []
-        for i in range(len(a) - least + 1):
-            if not free_a[i]:
+    heap: list[tuple[int, int, int]] = []
+    for i in range(len(a) - least + 1):
+        for j in starts.get(tuple(a[i : i + least]), ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # inside a run that began before
+            k = least
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            heap.append((-k, i, j))
+    heapq.heapify(heap)
+    used_a, used_b, covered = bytearray(len(a)), bytearray(len(b)), 0
+    while heap:
+        k, i, j = heapq.heappop(heap)
+        k = -k
+        if not any(used_a[i : i + k]) and not any(used_b[j : j + k]):
+            used_a[i : i + k] = used_b[j : j + k] = b"\1" * k
+            covered += k
+            continue
+        run = 0
+        for x in range(k + 1):  # the unused stretches of the run
+            if x < k and not used_a[i + x] and not used_b[j + x]:
+                run += 1
                 continue
-            for j in starts.get(tuple(a[i : i + least]), ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k > best:
-                    best, tiles = k, [(i, j)]
-                elif k == best and k >= least:
-                    tiles.append((i, j))
-        if best < least:
-            return covered
-        for i, j in tiles:
-            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
-                free_a[i : i + best] = free_b[j : j + best] = [False] * best
-                covered += best
+            if run >= least:
+                heapq.heappush(heap, (-run, i + x - run, j + x - run))
+            run = 0
+    return covered
 
 
 def alike(a: list[str], b: list[str]) -> bool:
@@ -164,42 +180,97 @@ def _shared(a: list[str], b: list[str]) -> int:
     return n
 
 
-#: Grammar of declining: inability or unwillingness followed by what was asked for.
-_REFUSALS = [
-    r"(?:不能|无法|不便|没办法|不会|拒绝|做不到|难以|不可以|不方便)[^。！？\n]{0,10}(?:预测|判断|评判|评价|生成|撰写|代写|代替|写评论|协助|帮助|帮忙|完成|提供|回答|处理|满足|标注)",
-    r"超出了?[^。！？\n]{0,12}(?:范围|能力)|(?:我|必须|只能|不得不)(?:拒绝|谢绝)(?:这|该|此|您)",
-    r"\b(?:can'?t|cannot|can not|could not|couldn't|won't|will not|unable to|not able to|not going to|not in a position to|not allowed to)\s+(?:\w+\s+){0,2}?(?:predict|label|judge|classify|rate|write|generate|help|assist|answer|provide|complete|comply|fulfil|fulfill|do th|respond|say how|comment on)",
-    r"\b(?:must|have to|need to|has to)\s+(?:respectfully\s+)?(?:decline|refuse)\b|\bi\s+(?:decline|refuse)\s+to\b|\b(?:isn'?t|is not|not)\s+something\s+i(?:'m| am)?\s+(?:can|able|will)|something\s+i\s+(?:won't|can'?t|cannot|will not)|beyond what i can",
-    r"\bno\s+(?:puedo|podré|podría|me es posible|soy capaz de|estoy en condiciones de|voy a)\s+(?:\w+\s+){0,2}?(?:predecir|escribir|generar|ayudar|responder|juzgar|clasificar|etiquetar|evaluar|atender|completar|cumplir|hacer eso)|\b(?:debo|tengo que|he de)\s+(?:rechazar|declinar|negarme)",
-    r"\b(?:kann|darf|werde|möchte)\s+(?:ich\s+)?[^.!?\n]{0,70}?\bnicht\s+(?:\w+\s+){0,1}?(?:vorhersagen|beurteilen|schreiben|beantworten|helfen|bewerten|erstellen|verfassen|einschätzen|erfüllen|bearbeiten)|\b(?:anfrage|bitte)\s+(?:leider\s+)?(?:ablehnen|nicht\s+(?:erfüllen|bearbeiten|beantworten))|\bnicht in der lage\b",
-    r"\bje\s+(?:ne|n['’])\s*(?:peux|puis|pourrai|suis|saurais|vais)\s+(?:pas\s+)?(?:\w+\s+){0,2}?(?:prédire|écrire|rédiger|générer|aider|répondre|juger|évaluer|classer|mesure|traiter)|\bje\s+dois\s+(?:refuser|décliner)|\bil\s+m['’]est\s+impossible|\bil\s+ne\s+m['’]est\s+pas\s+possible",
-    r"\bне\s+(?:могу|смогу|буду|в состоянии|в силах|имею возможности|готов\w*)\s+(?:\w+\s+){0,3}?(?:предсказ|предугад|напис|писать|оцен|помо|ответ|выполн|генерир|суди|сужд)|\b(?:вынужден\w*|должен|должна|приходится)\s+отказ|\bотказываюсь|выходит за рамки",
-]
-_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in _REFUSALS), regex.I)
+#: Grammar of declining in each language: S is a refusal, a word in braces another rule, the rest a pattern of words.
+_GRAMMAR = {
+    "zh": {
+        "S": ["{unable}{near}{act}", "超出了?[^。！？\\n]{{0,12}}(?:范围|能力)", "{must}{refuse}(?:这|该|此|您)"],
+        "unable": ["不能", "无法", "不便", "没办法", "不会", "拒绝", "做不到", "难以", "不可以", "不方便"], "near": ["[^。！？\\n]{{0,10}}"],
+        "act": ["预测", "判断", "评判", "评价", "生成", "撰写", "代写", "代替", "写评论", "协助", "帮助", "帮忙", "完成", "提供", "回答", "处理", "满足", "标注"],
+        "must": ["我", "必须", "只能", "不得不"], "refuse": ["拒绝", "谢绝"],
+    },
+    "en": {
+        "S": [r"\b{unable}\s+{few}{act}", r"\b{must}\s+(?:respectfully\s+)?{refuse}\b", r"\bi\s+{refuse}\s+to\b", r"\b{isnt}\s+something\s+i(?:'m| am)?\s+(?:can|able|will)", r"something\s+i\s+{wont}", "beyond what i can"],
+        "unable": ["can'?t", "cannot", "can not", "could not", "couldn't", "won't", "will not", "unable to", "not able to", "not going to", "not in a position to", "not allowed to"], "few": [r"(?:\w+\s+){{0,2}}?"],
+        "act": ["predict", "label", "judge", "classify", "rate", "write", "generate", "help", "assist", "answer", "provide", "complete", "comply", "fulfil", "fulfill", "do th", "respond", "say how", "comment on"],
+        "must": ["must", "have to", "need to", "has to"], "refuse": ["decline", "refuse"], "isnt": ["isn'?t", "is not", "not"], "wont": ["won't", "can'?t", "cannot", "will not"],
+    },
+    "es": {
+        "S": [r"\bno\s+{able}\s+{few}{act}", r"\b{must}\s+{refuse}"],
+        "able": ["puedo", "podré", "podría", "me es posible", "soy capaz de", "estoy en condiciones de", "voy a"], "few": [r"(?:\w+\s+){{0,2}}?"],
+        "act": ["predecir", "escribir", "generar", "ayudar", "responder", "juzgar", "clasificar", "etiquetar", "evaluar", "atender", "completar", "cumplir", "hacer eso"],
+        "must": ["debo", "tengo que", "he de"], "refuse": ["rechazar", "declinar", "negarme"],
+    },
+    "de": {
+        "S": [r"\b{able}\s+(?:ich\s+)?[^.!?\n]{{0,70}}?\bnicht\s+(?:\w+\s+){{0,1}}?{act}", r"\b(?:anfrage|bitte)\s+(?:leider\s+)?{refuse}", r"\bnicht in der lage\b"],
+        "able": ["kann", "darf", "werde", "möchte"], "act": ["vorhersagen", "beurteilen", "schreiben", "beantworten", "helfen", "bewerten", "erstellen", "verfassen", "einschätzen", "erfüllen", "bearbeiten"],
+        "refuse": ["ablehnen", r"nicht\s+(?:erfüllen|bearbeiten|beantworten)"],
+    },
+    "fr": {
+        "S": [r"\bje\s+(?:ne|n['’])\s*{able}\s+(?:pas\s+)?{few}{act}", r"\bje\s+dois\s+{refuse}", r"\bil\s+m['’]est\s+impossible", r"\bil\s+ne\s+m['’]est\s+pas\s+possible"],
+        "able": ["peux", "puis", "pourrai", "suis", "saurais", "vais"], "few": [r"(?:\w+\s+){{0,2}}?"],
+        "act": ["prédire", "écrire", "rédiger", "générer", "aider", "répondre", "juger", "évaluer", "classer", "mesure", "traiter"], "refuse": ["refuser", "décliner"],
+    },
+    "ru": {
+        "S": [r"\bне\s+{able}\s+{few}{act}", r"\b{must}\s+отказ", "отказываюсь", "выходит за рамки"],
+        "able": ["могу", "смогу", "буду", "в состоянии", "в силах", "имею возможности", r"готов\w*"], "few": [r"(?:\w+\s+){{0,3}}?"],
+        "act": ["предсказ", "предугад", "напис", "писать", "оцен", "помо", "ответ", "выполн", "генерир", "суди", "сужд"], "must": [r"вынужден\w*", "должен", "должна", "приходится"],
+    },
+}
+
+
+def _rule(rules: dict[str, list[str]], name: str) -> str:
+    """A rule as a pattern, the rules that it names put in."""
+    own = {k: _rule(rules, k) for k in rules if any(f"{{{k}}}" in x for x in rules[name])}
+    return "(?:" + "|".join(x.format_map(own) for x in rules[name]) + ")"
+
+
+_REFUSAL = regex.compile("|".join(_rule(rules, "S") for rules in _GRAMMAR.values()), regex.I)
 
 
 def declines(text: str) -> bool:
     return bool(_REFUSAL.search(text.replace("’", "'")))
 
 
-#: Function words of the Latin languages told apart; fixed values.
-_FUNCTION = {
-    "en": "the a an of to and in is it i my for that this was so on at you with but not be more than who what how have has had are were me we they she he her his your our or if as all very really too just no lol link please wait waiting",
-    "es": "el la los las un una de que y en es no por para con mi su se lo al del más pero muy como está yo tú qué fue era si ya le me te tan esta este también hay donde dónde ojalá compré aunque según",
-    "de": "der die das ein eine einen und ich nicht ist es zu in mit für auf den dem von war wie auch aber so sich mir mich dir du sie wir ihr hat habe hast als nur noch sehr man bei nach aus wo was wer einer etwas",
-    "fr": "le la les un une des de du et je ne pas est en que qui il elle on nous vous mon ma mes ton ta sur pour avec dans au aux ce cette plus mais très où tu ai été était par se si y j l d c qu n m",
-}
-_FUNCTION_OF: dict[str, list[str]] = defaultdict(list)
-for _lang, _list in _FUNCTION.items():
-    for _word in _list.split():
-        _FUNCTION_OF[_word].append(_lang)
-_SIGNS = {"es": re.compile(r"[ñ¿¡]|\b\w+(?:ción|ía|aba)\b"), "de": re.compile(r"[äöüß]|\b\w+(?:ung|lich|isch)\b"), "fr": re.compile(r"[çêèàùœîôû]|\b(?:qu|j|l|d|c|n|m)['’]\w")}
+LATIN, SAMPLE, LEAD, GRAMS = ("en", "es", "de", "fr"), 1000, 3.0, 4
 _ASIDE = regex.compile(r"(?:https?://|www\.)[!-~]+|@[\p{L}\p{N}_.-]+|#[^#\n]{1,40}#|#[\p{L}\p{N}_]+|\[\p{L}{1,8}\]|<\|[a-z]+\|>")
-_LATIN = regex.compile(r"[\p{Latin}\p{M}]+")
+_LATIN = regex.compile(r"[\p{Latin}\p{M}]+(?:['’](?=\p{L}))?")
 _HAN, _CYRILLIC, _KANA, _HANGUL = (regex.compile(p) for p in (r"\p{Han}", r"[\p{Cyrillic}]+", r"[\p{Hiragana}\p{Katakana}]", r"\p{Hangul}"))
-
-
-def language(text: str) -> str | None:
+Profiles = dict[str, list[float]]
+
+
+def _grams(found: list[str]) -> Iterator[str]:
+    """Letter sequences of words with their ends, and short words whole."""
+    for w in found:
+        w = f" {w} "
+        for n in (2, 3, 4):
+            for i in range(len(w) - n + 1):
+                yield w[i : i + n]
+        if len(w) <= 7:
+            yield f"{w}."
+
+
+def fit(texts: dict[str, list[str]]) -> Profiles:
+    """Log likelihoods of each letter sequence in LATIN languages, below that of its likeliest one."""
+    counts = {lang: Counter(g for t in texts.get(lang, ()) for g in _grams(_LATIN.findall(_ASIDE.sub(" ", t).casefold()))) for lang in LATIN}
+    every = sum(counts.values(), Counter())
+    kept = [g for g, n in every.items() if n >= 3]
+    total = {lang: sum(counts[lang][g] for g in kept) + len(kept) / 2 for lang in LATIN}
+    logs = {g: [math.log((counts[lang][g] + 0.5) / total[lang]) for lang in LATIN] for g in kept}
+    return {g: [x - max(v) for x in v] for g, v in logs.items()}
+
+
+def profiles(documents: DataFrame, sample: int = SAMPLE) -> Profiles:
+    """Profiles from at most ``sample`` labelled texts of each Latin language; labels count by their first two letters."""
+    lang, size = F.lower(F.substring(F.trim("lang"), 1, 2)), F.length("text")
+    rows = documents.select(lang.alias("lang"), "text").where(F.col("lang").isin(*LATIN) & size.between(20, 400))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    texts = defaultdict(list)
+    for row in rows.withColumn("n", first).where(F.col("n") <= sample).collect():  # each task keeps ``sample`` a language
+        texts[row.lang].append(row.text)
+    return fit(texts)
+
+
+def language(text: str, known: Profiles | None = None) -> str | None:
     """zh, ru, ja, ko, en, es, de, fr, or nothing where the text does not tell."""
     text = _ASIDE.sub(" ", text).casefold()
     han, cyrillic, kana, hangul = (len(p.findall(text)) for p in (_HAN, _CYRILLIC, _KANA, _HANGUL))
@@ -212,19 +283,15 @@ def language(text: str) -> str | None:
         return "zh"
     if cyrillic > len(latin):
         return "ru"
-    scores: dict[str, float] = dict.fromkeys(_FUNCTION, 0.0)
-    for w in latin:
-        langs = _FUNCTION_OF.get(w)
-        if langs:
-            for lang in langs:
-                scores[lang] += 1 / len(langs)
-    for lang, sign in _SIGNS.items():
-        scores[lang] += 0.8 * len(sign.findall(text))
-    best = sorted(scores.items(), key=lambda x: -x[1])
-    return best[0][0] if best[0][1] >= 1 and best[0][1] > best[1][1] * 1.15 else None
-
-
-def judge(prompt: str | None, answer: str | None) -> str | None:
+    likely = [v for g in _grams(latin) if (v := known.get(g))] if known else []
+    if len(likely) < GRAMS:
+        return None
+    scores = [math.fsum(x) for x in zip(*likely)]
+    best = sorted(range(len(LATIN)), key=lambda i: -scores[i])
+    return LATIN[best[0]] if scores[best[0]] - scores[best[1]] >= LEAD else None
+
+
+def judge(prompt: str | None, answer: str | None, model: Profiles | None = None) -> str | None:
     """The answer's defect, or nothing."""
     if answer is None:
         return "empty"
@@ -265,8 +332,8 @@ def judge(prompt: str | None, answer: str | None) -> str | None:
         return "copied"
     if names and not complete(p.items, names):
         return "truncated"
-    if said and post is not None and (own := language(post)):
-        others = sum(lang is not None and lang != own for lang in map(language, said))
+    if said and post is not None and (own := language(post, model)):
+        others = sum(lang is not None and lang != own for lang in (language(c, model) for c in said))
         if others * 2 > len(said):
             return "other_language"
     return None
@@ -280,14 +347,15 @@ def complete(items: list[tuple[str, str]], names: list[str]) -> bool:
     return bool(items) and items[-1][0] == last and [n for n, _ in items].count(last) >= names.count(last)
 
 
-def _flag(rows: DataFrame) -> DataFrame:
+def _flag(rows: DataFrame, known: Profiles | None) -> DataFrame:
     """rows(tbl, rec_key, prompt, answer) to one row (tbl, rec_key, defect) per defective key."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)  # a table of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for tbl, key, prompt, answer in zip(batch["tbl"], batch["rec_key"], batch["prompt"], batch["answer"]):
-                defect = judge(prompt, answer)
+                defect = judge(prompt, answer, shared.value)
                 if defect:
                     out.append((tbl, key, DEFECTS.index(defect)))
             yield pd.DataFrame(out, columns=["tbl", "rec_key", "place"])
@@ -308,8 +376,26 @@ def turns(messages: Column) -> Column:
     return F.when(F.size(pairs) > 0, pairs).otherwise(none)
 
 
-def flag(sft: DataFrame, rollout: DataFrame) -> DataFrame:
+def flag(sft: DataFrame, rollout: DataFrame, known: Profiles | None = None) -> DataFrame:
     """(tbl, rec_key, defect) of both tables; only the columns needed are read."""
     a = sft.select(F.lit("sft").alias("tbl"), F.col("id").alias("rec_key"), F.inline(turns(F.col("messages"))))
-    b = rollout.select(F.lit("rollout").alias("tbl"), F.col("rollout_id").cast("string").alias("rec_key"), F.col("input_text").alias("prompt"), F.col("output_text").alias("answer"))
-    return _flag(a.unionByName(b))
+    stored = F.when(F.size("parsed_output") > 0, F.to_json("parsed_output")) if "parsed_output" in rollout.columns else F.lit(None).cast("string")
+    b = rollout.select(F.lit("rollout").alias("tbl"), F.col("rollout_id").cast("string").alias("rec_key"), F.col("input_text").alias("prompt"), F.coalesce("output_text", stored).alias("answer"))
+    return _flag(a.unionByName(b), known)
+
+
+def stored_items(rollout: DataFrame) -> DataFrame:
+    """(rollout_id, n_read, n_stored): steps whose stored ``parsed_output`` is not what the parser reads in their text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text, stored in zip(batch["rollout_id"], batch["output_text"], batch["stored"]):
+                read = [n for n, _ in parse(text or "").items]
+                kept = [x.get("user_name") or "" for x in json.loads(stored)] if stored else []
+                if read != kept:
+                    out.append((key, len(read), len(kept) if stored else None))
+            yield pd.DataFrame(out, columns=["rollout_id", "n_read", "n_stored"]).astype({"n_stored": "Int32"})
+
+    rows = rollout.where("rollout_id IS NOT NULL").select("rollout_id", "output_text", F.to_json("parsed_output").alias("stored")).distinct()
+    return rows.mapInPandas(run, "rollout_id bigint, n_read int, n_stored int")

@@ -10,7 +10,12 @@ from graftline.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.flag(table(spark, d, "sft"), table(spark, d, "rollout"))
+    return pairs.flag(table(spark, d, "sft"), table(spark, d, "rollout"), pairs.profiles(table(spark, d, "documents")))
+
+
+def p2_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Steps whose stored items are not those of their text."""
+    return pairs.stored_items(table(spark, d, "rollout"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
@@ -84,5 +89,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_classes, p3_members, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_stored, p3_found, p3_classes, p3_members, p3_report, p4_found, p4_splits, p4_report, p7_ids, p8_containers, p8_report, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}

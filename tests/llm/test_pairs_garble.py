@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from graftline.llm import garble, pairs
 
@@ -35,9 +36,38 @@ CASES = [
 ]
 
 
+KNOWN = pairs.fit({
+    "en": ["The new lamp from the shop is really dull and I regret that I bought it, but my sister likes it.", "I own that too and it is not what they say; after two days we were sorry about it.", "What do you think of the light in there? To be honest it was very good for the price.", POST] * 3,
+    "es": ["La nueva lámpara de la tienda está muy rápida y no me gusta nada, pero mi niño busca una más triste.", "¿Dónde compraste la cámara? Yo no estoy de acuerdo con lo que dicen de la tesis.", "Hay que decir que la luz era muy buena para el precio, aunque mi hermana está triste."] * 3,
+    "de": ["Die neue Lampe aus dem Laden ist wirklich öde, und ich bereue, dass ich sie gekauft habe.", "Wo hast du die gekauft? Meine Schwester sucht etwas, das gemütlich ist.", "Das Licht war sehr gut für den Preis, aber ich glaube das nicht."] * 3,
+    "fr": ["La nouvelle lampe du magasin est vraiment triste et je regrette de l’avoir achetée.", "Où as-tu trouvé la lampe ? Ma collègue en cherche une qui est très solide.", "La lumière était très bonne pour le prix, mais je ne suis pas d’accord."] * 3})
+
+
 @pytest.mark.parametrize(("answer", "defect"), CASES)
 def test_judge(answer, defect):
-    assert pairs.judge(prompt(), answer) == defect
+    assert pairs.judge(prompt(), answer, KNOWN) == defect
+
+
+def test_profiles_from_rows(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(POST, "EN"), (POST, "en_US"), (SPANISH[1], " es"), ("Wo hast du die gekauft, meine Schwester?", "DE"), (None, "fr"), ("x", "fr"), ("Où as-tu trouvé la lampe ?", None)])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert pairs.profiles(df, 1) == pairs.fit({"en": [POST], "es": [SPANISH[1]], "de": ["Wo hast du die gekauft, meine Schwester?"]})
+    assert pairs.profiles(df.limit(0)) == {} and pairs.language("the lamp", {}) is None and pairs.language("灯很好", None) == "zh"
+
+
+def test_tiling_is_greedy_and_uses_no_word_twice():
+    a, b = "p q r s t u v".split(), "r s t u x p q r".split()
+    assert pairs.tiled(a, b) == 4 and pairs.tiled(a, b, 2) == 6 and pairs.tiled(a, a) == 7 and pairs.tiled([], a) == 0
+    assert pairs.tiled(["x"] * 9, ["x"] * 4) == 4 and pairs.tiled(["ha"] * 3000, ["ha"] * 2000) == 2000
+
+
+def test_stored_items(spark):
+    rows = [(1, FULL, [(n, "", 0) for n in NAMES]), (2, FULL, [("ann", "", 0)]), (3, FULL, None), (4, None, []), (5, None, None), (2, FULL, [("ann", "", 0)])]
+    df = spark.createDataFrame(rows, "rollout_id bigint, output_text string, parsed_output array<struct<user_name:string,content:string,type:int>>")
+    assert {tuple(r) for r in pairs.stored_items(df).collect()} == {(2, 3, 1), (3, 3, None)}
+    sft = spark.createDataFrame([], "id string, messages array<struct<role:string,content:string>>")
+    kept = df.selectExpr("*", "CAST(NULL AS STRING) AS input_text").withColumn("output_text", F.lit(None).cast("string"))
+    assert {tuple(r)[1:] for r in pairs.flag(sft, kept).collect()} == {("3", "empty"), ("4", "empty"), ("5", "empty")}
 
 
 def test_judge_without_prompt_and_long_texts():
