@@ -1,7 +1,7 @@
 """Agreement of predicted with true children: sets, multisets and graphs, per step, tree and depth.
 
-Inputs are long tables, one row per name or edge: names(group_id, depth, name, gold, pred) with two flags, and
-edges(group_id, depth, child, parent, gold, pred). Each measure is one or two aggregations with map-side combine on
+Inputs are long tables, one row per name or edge: names(step_id, group_id, depth, name, gold, pred) with two flags, and
+edges(step_id, group_id, depth, child, parent, gold, pred). A step is one line of a log; a tree has many, at several depths. Each measure is one or two aggregations with map-side combine on
 the keys it needs; no list of a group is ever built, so a tree of any size is spread over tasks.
 """
 
@@ -32,8 +32,8 @@ def with_micro(totals: DataFrame) -> DataFrame:
 
 
 def by_depth(rows: DataFrame, names: list[str], bag: bool) -> DataFrame:
-    """Micro precision, recall and F1 per depth: sets or bags of each tree and depth, then summed."""
-    return with_micro(overlap(counts(rows, [*TREE, "depth", *names]), ["depth"], bag))
+    """Micro precision, recall and F1 per depth: sets or bags of each step by itself, then summed."""
+    return with_micro(overlap(counts(rows, ["step_id", "depth", *names]), ["depth"], bag))
 
 
 def overall(totals: DataFrame) -> DataFrame:
@@ -42,20 +42,25 @@ def overall(totals: DataFrame) -> DataFrame:
 
 
 def macro_bag(rows: DataFrame) -> DataFrame:
-    """Mean over trees of the bag F1 per depth; a tree with an empty side counts as 0."""
+    """Mean over trees of the bag F1 per depth, a tree's steps of a depth taken together, and with a null depth over all;
+    a tree with an empty side counts as 0."""
     each = overlap(counts(rows, [*TREE, "depth", "name"]), [*TREE, "depth"], True)
     f = bag_f1(F.col("tp"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"))
-    return each.groupBy("depth").agg(F.round(F.avg(f), 6).alias("macro_f1"), F.count("*").alias("n_trees"))
+    return each.rollup("depth").agg(F.round(F.avg(f), 6).alias("macro_f1"), F.count("*").alias("n_trees"))
 
 
-def panel(rows: DataFrame) -> DataFrame:
-    """Per depth: candidates, those true, the rest, and predictions; repeated names count each."""
-    return rows.groupBy("depth").agg(F.count("*").alias("cands"), F.count_if("gold").alias("gold_pos"), F.count_if(~F.col("gold")).alias("gold_neg"), F.count_if("pred").alias("predicted"))
+def panel(items: DataFrame, true: DataFrame) -> DataFrame:
+    """Per depth: items(step_id, depth, name, type), those whose name is in the step's true(step_id, name), the rest, and
+    the items of each type; repeated names count each, an unreadable type as 0."""
+    known = true.select("step_id", "name").distinct().withColumn("gold", F.lit(True))
+    rows = items.join(known, ["step_id", "name"], "left")
+    gold, kind = F.coalesce("gold", F.lit(False)), F.coalesce("type", F.lit(0))
+    return rows.groupBy("depth").agg(F.count("*").alias("cands"), F.count_if(gold).alias("gold_pos"), F.count_if(~gold).alias("gold_neg"), *[F.count_if(kind == k).alias(f"t{k}") for k in (0, 1, 2)])
 
 
 def edge_weights(edges: DataFrame, directed: bool = True) -> DataFrame:
     """(group_id, child, parent, n_gold, n_pred): the edges of each tree with their counts."""
-    rows = edges.where("parent IS NOT NULL AND child IS NOT NULL")
+    rows = edges.where("parent <> '' AND child IS NOT NULL")
     if not directed:
         rows = rows.withColumns({"child": F.least("child", "parent"), "parent": F.greatest("child", "parent")})
     return counts(rows, [*TREE, "child", "parent"])
@@ -96,12 +101,25 @@ def tie_ranks(rows: DataFrame, value: str, by: list[str]) -> Column:
 
 
 def spearman(cells: DataFrame, gold: str = "n_gold", pred: str = "n_pred") -> DataFrame:
-    """Rank correlation per tree over the union of keys; 0 where a side is constant."""
-    ranks = cells.select("group_id", tie_ranks(cells, gold, TREE).alias("x"), tie_ranks(cells, pred, TREE).alias("y"))
-    x, y, n = F.col("x"), F.col("y"), F.count("*")
-    cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-    vx, vy = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return ranks.groupBy(*TREE).agg(cov.alias("cov"), vx.alias("vx"), vy.alias("vy")).select("group_id", F.round(F.when((F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0), 6).alias("rho"))
+    """Rank correlation per tree over the union of keys; 0 where a side is constant.
+
+    Ranks need only the distinct values of a tree with their counts: keys are counted by their pair of values first, so
+    the windows run over as many rows as a tree has different counts, and the sums are weighted.
+    """
+    pairs = cells.groupBy(*TREE, F.col(gold).alias("a"), F.col(pred).alias("b")).agg(F.count("*").alias("w"))
+
+    def ranks(side: str, name: str) -> DataFrame:
+        of = pairs.groupBy(*TREE, side).agg(F.sum("w").alias("k"))
+        before = F.sum("k").over(Window.partitionBy(*TREE).orderBy(side).rowsBetween(Window.unboundedPreceding, -1))
+        return of.select(*TREE, side, (F.coalesce(before, F.lit(0)) + (F.col("k") + 1) / 2.0).alias(name))
+
+    rows = pairs.join(ranks("a", "x"), [*TREE, "a"]).join(ranks("b", "y"), [*TREE, "b"])
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    n = F.sum(w)
+    cov = F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y) / n
+    vx, vy = F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x) / n, F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y) / n
+    out = rows.groupBy(*TREE).agg(cov.alias("cov"), vx.alias("vx"), vy.alias("vy"))
+    return out.select("group_id", F.round(F.when((F.col("vx") > 1e-9) & (F.col("vy") > 1e-9), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0), 6).alias("rho"))
 
 
 def gini(cells: DataFrame, value: str, by: list[str]) -> DataFrame:

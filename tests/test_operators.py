@@ -90,13 +90,18 @@ def cells(spark, rows):
 
 
 def test_sets_bags_and_panel(spark):
-    rows = [("t", 0, "a", False, True), ("t", 0, "a", True, True), ("t", 0, "b", False, True), ("t", 0, "c", True, False)]
-    df = spark.createDataFrame(rows, "group_id string, depth int, name string, gold boolean, pred boolean")
+    rows = [(1, "t", 0, "a", False, True), (1, "t", 0, "a", True, True), (1, "t", 0, "b", False, True), (1, "t", 0, "c", True, False)]
+    df = spark.createDataFrame(rows, "step_id int, group_id string, depth int, name string, gold boolean, pred boolean")
     bag = ag.by_depth(df, ["name"], True).first()
     assert (bag.tp, bag.fp, bag.fn) == (1, 2, 1)
-    s = ag.by_depth(df.where("name <> 'a'").union(spark.createDataFrame([("t", 0, "d", True, True)], df.schema)), ["name"], False).first()
+    s = ag.by_depth(df.where("name <> 'a'").union(spark.createDataFrame([(1, "t", 0, "d", True, True)], df.schema)), ["name"], False).first()
     assert (s.tp, s.fp, s.fn) == (1, 1, 1)
-    assert tuple(ag.panel(df).first()) == (0, 4, 2, 2, 3)
+    two = df.union(df.withColumn("step_id", F.lit(2)))  # each line by itself: two steps of a tree at one depth
+    assert [tuple(ag.by_depth(two, ["name"], k).first())[1:4] for k in (False, True)] == [(2, 2, 2), (2, 4, 2)]
+    macro = {r.depth: (r.macro_f1, r.n_trees) for r in ag.macro_bag(two).collect()}
+    assert set(macro) == {0, None} and macro[0][1] == 1 and macro[0][0] == pytest.approx(0.4, abs=1e-5)
+    items = spark.createDataFrame([(1, 0, "a", 0), (1, 0, "b", 1), (1, 0, "b", 1)], "step_id int, depth int, name string, type int")
+    assert tuple(ag.panel(items, spark.createDataFrame([(1, "b")], "step_id int, name string")).first()) == (0, 3, 2, 1, 1, 2, 0)
     assert {r.depth: r.tp for r in ag.overall(ag.overlap(ag.counts(df, ["group_id", "depth", "name"]), ["depth"], True)).collect()} == {0: 1, None: 1}
 
 
