@@ -14,6 +14,11 @@ def step_f1(tp: Column, n_gold: Column, n_pred: Column) -> Column:
     return F.when((n_gold == 0) | (n_pred == 0), 0.0).otherwise(2 * p * r / (p + r + STEP_EPS))
 
 
+def failed_as_minus_one(status: Column, f1: Column) -> Column:
+    """The reward of a step: -1 where its output could not be parsed, else its F1."""
+    return F.when(F.coalesce(status.startswith("parse_fail"), F.lit(False)), -1.0).otherwise(f1)
+
+
 def turn_f1(tp: Column, n_gold: Column, n_pred: Column) -> Column:
     """F1 of a turn; 1 where both sides are empty, 0 where one is or nothing is shared."""
     p, r = F.try_divide(tp, n_pred), F.try_divide(tp, n_gold)

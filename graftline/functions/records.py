@@ -43,7 +43,7 @@ def kept_order(children: Column, pool: Column) -> Column:
 
 def quoted_list(c: Column) -> Column:
     """A JSON array of texts; where it does not parse, whatever stands in double quotes."""
-    strict = F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*\["), F.from_json(c, "array<string>"))
+    strict = F.when(c.rlike(r"^\s*\[") & F.try_parse_json(c).isNotNull(), F.from_json(c, "array<string>"))
     return F.coalesce(strict, F.regexp_extract_all(c, F.lit(r'"([^"]*)"'), 1))
 
 

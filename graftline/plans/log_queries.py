@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import dates, metrics
@@ -39,9 +39,27 @@ def w3_plot_positions(spark: SparkSession, d: str) -> DataFrame:
     return samples.numbered(_events(spark, d).where("event_type = 'purchase'"), ["user_id"], "ts", "event_id").select("event_id", F.col("pos").alias("x"))
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch_value FROM events")
-def w4_carried(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("event_id", logs.carried(F.when(F.col("event_type") == "signup", F.col("value")), ["user_id"], ["ts", "event_id"]).alias("epoch_value"))
+def _trainer_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as the log of a trainer: epochs, steps with their loss, and micro batches."""
+    e = samples.numbered(_events(spark, d), ["user_id"], "ts", "event_id")
+    k = lambda m: (F.col("event_id") % m).cast("string")
+    loss = F.concat(F.lit("0."), F.lpad(k(1000), 3, "0"))
+    step = F.concat(F.lit("\x1b[36mstep:"), k(10_000), F.lit(" - train/loss:"), loss, F.lit(" - train/cls_weight:1.0 - train/gen_weight:2e-1 - train/cls_loss:0.1 - train/cls0_loss:0.1 - train/cls1_loss:0 - train/content_loss:0\x1b[0m"))
+    micro = F.concat(F.lit("[micro] "), k(4), F.lit("/4 | cls0="), loss, F.lit("e-1 cls1=0.0000 content=-1.5 | depth0="), k(3), F.lit(" depth1=0 pairs=16"))
+    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("Epoch "), k(7), F.lit(" / 7"))).when(F.col("event_type") == "purchase", step).otherwise(micro)
+    return e.select(F.col("user_id").alias("file"), F.col("pos").alias("line_no"), line.alias("line"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+c AS (SELECT user_id AS file, CAST(pos AS INTEGER) AS line_no, event_id, event_type, CAST(last_value(CASE WHEN event_type = 'signup' THEN event_id % 7 END IGNORE NULLS) OVER w AS INTEGER) AS epoch,
+ CAST(last_value(CASE WHEN event_type = 'signup' THEN 7 END IGNORE NULLS) OVER w AS INTEGER) AS epoch_total, CAST(last_value(CASE WHEN event_type = 'purchase' THEN event_id % 10000 END IGNORE NULLS) OVER w AS INTEGER) AS step_in_epoch,
+ last_value(CASE WHEN event_type = 'purchase' THEN (event_id % 1000) / 1000.0 END IGNORE NULLS) OVER w AS total_loss FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT file, line_no, CAST(event_id % 4 AS INTEGER) AS micro, 4 AS micro_total, epoch, epoch_total, step_in_epoch, total_loss, (event_id % 1000) / 10000.0 AS cls0_loss, 0.0 AS cls1_loss, -1.5 AS content_loss,
+ CAST(event_id % 3 AS INTEGER) AS depth0, 0 AS depth1, 16 AS pairs FROM c WHERE event_type NOT IN ('signup', 'purchase')""")
+def w4_f17_micro_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Micro batches with the epoch, step and loss told before them, carried over blocks of 7 lines."""
+    out = logs.micro_frame(_trainer_lines(spark, d), block=7)
+    return out.withColumn("cls0_loss", F.round("cls0_loss", 6))
 
 
 @query("""WITH c AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS idx FROM events),
@@ -90,19 +108,61 @@ def u1_union_tagged(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("src", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("""SELECT user_id, round(avg(value), 6) AS all_mean, round(avg(value) FILTER (event_type <> 'error'), 6) AS gold_mean, round(avg(value) FILTER (event_type = 'error'), 6) AS empty_mean,
- count(*) FILTER (event_type = 'error') AS n_empty FROM events GROUP BY user_id""")
-def a21_a22_log_means(spark: SparkSession, d: str) -> DataFrame:
-    err = F.col("event_type") == "error"
-    return _events(spark, d).groupBy("user_id").agg(
-        F.round(F.avg("value"), 6).alias("all_mean"), F.round(F.avg(F.when(~err, F.col("value"))), 6).alias("gold_mean"), F.round(F.avg(F.when(err, F.col("value"))), 6).alias("empty_mean"), F.count_if(err).alias("n_empty"))
+def _kept_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of rollouts written as a console's kept-step lines and read back."""
+    from graftline.plans.agreement_queries import _true
+
+    rows = table(spark, d, "rollout").where("rollout_id IS NOT NULL AND group_id IS NOT NULL AND depth IS NOT NULL").select(
+        F.col("rollout_id").alias("step_id"), "depth", "group_id", "trajectory_id", F.col("parsed_output").isNull().alias("failed"), "step_reward",
+        F.to_json(F.array_distinct(F.transform(F.filter(F.coalesce("parsed_output", F.array()), lambda x: x.type.isin(1, 2) & (x.user_name != "")), lambda x: x.user_name))).alias("pred")).distinct()
+    gold = _true(spark, d).groupBy("step_id").agg(F.to_json(F.sort_array(F.collect_set("name"))).alias("gold"))  # children of one parent or level
+    status = F.when(F.col("failed"), "parse_fail").otherwise("ok")
+    line = F.concat(
+        F.lit("\x1b[36m(Worker pid=7)\x1b[0m [rollout][kept-step] group="), F.col("group_id"), F.lit(" traj="), F.col("trajectory_id"), F.lit(" depth="), F.col("depth").cast("string"), F.lit(" status="), status,
+        F.lit(" step_F1(raw)="), F.coalesce(F.col("step_reward").cast("string"), F.lit("?")), F.lit(' cond_keys=["k"] gold='), F.coalesce("gold", F.lit("[]")), F.lit(" pred="), F.col("pred"))
+    cells = logs.kept_step(F.col("line"))
+    return rows.join(gold, "step_id", "left").select("step_id", line.alias("line")).where(logs.is_kept_step(F.col("line"))).select("step_id", *[c.alias(k) for k, c in cells.items()])
+
+
+def _kept_sql(tail: str) -> str:
+    from graftline.plans.agreement_queries import _STEPS
+
+    return "WITH k AS " + _STEPS + """, u AS (SELECT DISTINCT rollout_id AS step_id, depth, parsed_output IS NULL AS failed, step_reward AS f1,
+ list_distinct(list_transform(list_filter(parsed_output, lambda x: x.type IN (1, 2) AND x.user_name <> ''), lambda x: x.user_name)) AS p FROM rollout WHERE rollout_id IS NOT NULL AND group_id IS NOT NULL AND depth IS NOT NULL),
+n AS (SELECT step_id, count(DISTINCT child) AS n_gold FROM t GROUP BY step_id)
+SELECT u.step_id, depth, CASE WHEN failed THEN 'parse_fail' ELSE 'ok' END AS status, f1, coalesce(n_gold, 0) AS n_gold, coalesce(len(p), 0) AS n_pred FROM u LEFT JOIN n USING (step_id)) """ + tail
+
+
+@query(_kept_sql("SELECT step_id, depth, status, f1, CAST(n_gold AS INTEGER) AS n_gold, CAST(n_pred AS INTEGER) AS n_pred FROM k"))
+def f16_kept_step_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _kept_steps(spark, d).select("step_id", "depth", "status", "f1", F.size("gold").alias("n_gold"), F.size("pred").alias("n_pred"))
+
+
+_FAIL, _MEAN = "starts_with(status, 'parse_fail')", "round(coalesce(avg({0}) FILTER ({1}), 0), 6)"
+
+
+@query(_kept_sql("SELECT " + ", ".join(f"{_MEAN.format(*x)} AS {x[2]}" for x in (
+    ("f1", f"NOT {_FAIL} AND n_gold = 0", "f1_untrue"), ("f1", f"NOT {_FAIL} AND n_gold > 0", "f1_true"), ("f1", f"NOT {_FAIL}", "f1_all"), (f"CASE WHEN {_FAIL} THEN -1.0 ELSE f1 END", "true", "reward")))
+    + f", count(*) FILTER (NOT {_FAIL}) AS n_ok, count(*) AS n FROM k"))
+def a21_m20_reward_means(spark: SparkSession, d: str) -> DataFrame:
+    return logs.reward_means(_kept_steps(spark, d))
+
+
+@query(_kept_sql("SELECT count(*) AS n, count(*) FILTER (depth = 0) AS n_root, " + ", ".join(f"round(avg(f1) FILTER ({w}), 6) AS {n}" for w, n in (
+    ("depth = 0", "root_all"), ("depth <> 0", "below_all"), (f"depth = 0 AND NOT {_FAIL}", "root_ok"), (f"depth <> 0 AND NOT {_FAIL}", "below_ok"), ("depth <> 0 AND n_gold > 0", "below_true_all"), (f"depth <> 0 AND n_gold > 0 AND NOT {_FAIL}", "below_true_ok")))
+    + ", round(count(*) FILTER (n_gold = 0 AND n_pred > 0) / nullif(count(*) FILTER (n_gold = 0), 0), 6) AS said_of_untrue, round(count(*) FILTER (n_pred = 0 AND n_gold > 0) / nullif(count(*) FILTER (n_pred = 0), 0), 6) AS true_of_unsaid FROM k"))
+def a22_kept_means(spark: SparkSession, d: str) -> DataFrame:
+    return logs.kept_means(_kept_steps(spark, d))
+
+
+@query(_kept_sql(f"SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct, round(sum(count(*) FILTER ({_FAIL})) OVER () / sum(count(*)) OVER (), 6) AS fail_rate FROM k GROUP BY status"))
+def a19_sel_p23_status(spark: SparkSession, d: str) -> DataFrame:
+    return logs.statuses(_kept_steps(spark, d))
 
 
-@query("SELECT event_type AS status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY event_type")
-def a19_a20_status(spark: SparkSession, d: str) -> DataFrame:
-    """Histogram of outcomes with shares; the window runs over the few outcomes only."""
-    n = _events(spark, d).groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+@query(_kept_sql("SELECT depth, count(*) FILTER (n_gold > 0) AS has_gold, count(*) FILTER (n_gold = 0) AS no_gold, count(*) FILTER (n_pred > 0) AS has_pred, count(*) FILTER (n_pred = 0) AS no_pred FROM k GROUP BY depth"))
+def a20_sides_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    return logs.sides_by_depth(_kept_steps(spark, d))
 
 
 @query("""WITH s AS (SELECT depth, step_reward FROM (SELECT DISTINCT rollout_id, depth, step_reward FROM rollout)) SELECT depth, count(*) AS n, count(*) FILTER (step_reward IS NULL) AS missing, round(avg(step_reward), 6) AS mean FROM s GROUP BY ROLLUP (depth)""")
@@ -188,11 +248,14 @@ def f17_train_steps(spark: SparkSession, d: str) -> DataFrame:
     return lines.where(F.col("line").contains("step:")).select("doc_id", "line_no", *[c.alias(k) for k, c in cells.items()])
 
 
-@query("SELECT l.doc_id, TRY_CAST(nullif(regexp_extract(l.line, '\\[keep\\]\\s*depth=(\\d+)', 1), '') AS INTEGER) AS depth, regexp_extract(l.line, 'cond_keys?=\\[?([^\\]\\s]*)', 1) AS key, TRY_CAST(nullif(regexp_extract(l.line, 'f1=([-+0-9.eE]+)', 1), '') AS DOUBLE) AS f1 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'console') l WHERE contains(l.line, '[keep]')")
+@query(r"""SELECT doc_id, CAST(regexp_extract(line, 'depth=(\d+)', 1) AS INTEGER) AS depth, regexp_extract(line, 'cond_key=(\S+)', 1) AS key, CAST(regexp_extract(line, 'f1=(\S+)', 1) AS DOUBLE) AS f1,
+ CAST(regexp_extract(line, 'gold=(\[.*?\])', 1) AS VARCHAR[]) AS gold, list_transform(CAST(regexp_extract(line, 'pred=(\[.*?\])', 1) AS JSON)::JSON[], lambda x: x ->> '$') AS pred
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'console') WHERE starts_with(line, '[keep]') AND regexp_matches(line, 'f1=\S+$')""")
 def f16_kept_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Kept-step lines of console documents, with truth and predictions."""
     lines = table(spark, d, "documents").where("source = 'console'").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     cells = logs.kept_step(F.col("line"))
-    return lines.where(F.col("line").contains("[keep]")).select("doc_id", *[c.alias(k) for k, c in cells.items()])
+    return lines.where(F.col("line").startswith("[keep]") & F.col("line").rlike(r"f1=\S+$")).select("doc_id", *[cells[k].alias(k) for k in ("depth", "key", "f1", "gold", "pred")])
 
 
 @query("SELECT row_id, try_strptime(regexp_replace(regexp_replace(post.created_at, '\\s+', ' ', 'g'), '^\\s*[A-Za-z]{3} ', ''), '%b %d %H:%M:%S %z %Y') AT TIME ZONE 'UTC' AS created FROM raw_posts WHERE post IS NOT NULL")
