@@ -1,4 +1,4 @@
-"""Reading of samples, steps and gold records."""
+"""Reading of samples, steps and gold records."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graftline.functions.lenient import names
-from graftline.functions.text import candidates
+from graftline.functions.lenient import NOTHING, names
+from graftline.functions.text import candidates, guarded_json, interact_header, render_candidates, split_names, strip_candidate_block
+from graftline.runtime import clean_strip
 
 ROOT = "__ROOT__"
 #: Keys under which a list of items may be wrapped; fixed values.
@@ -85,6 +86,116 @@ def reward(*places: Column) -> Column:
     return F.coalesce(*[F.get_json_object(p, f"$.{k}").try_cast("double") for p in places for k in keys], F.lit(0.0))
 
 
+#: Names under which the truth by depth stands; fixed values.
+TRUTH = ("cond_gt_by_turn", "cond_gold_by_turn")
+LAYERS = "array<array<map<string,array<string>>>>"
+
+
+def _first_array(c: Column, paths: list[str]) -> Column:
+    """JSON text of the first of the paths that holds an array."""
+    found = [F.get_json_object(c, p) for p in paths]
+    return F.coalesce(*[F.when(x.rlike(r"^\s*\["), x) for x in found])
+
+
+def truth_of_prompts(c: Column) -> Column:
+    """The truth by depth in the JSON of a batch's prompts, wherever it stands; an empty array where it does not."""
+    models = ("reward_model", "reward_models[0]", "meta_info.reward_model")
+    paths = [f"$.{m}.{gt}.{k}" for m in models[:2] for gt in ("ground_truth", "gt") for k in TRUTH] + [f"$.ground_truth.{k}" for k in TRUTH] + [f"$.{k}" for k in TRUTH]
+    return F.coalesce(_first_array(c, paths + [f"$.{models[2]}.{gt}.{k}" for gt in ("ground_truth", "gt") for k in TRUTH]), F.lit("[]"))
+
+
+def first_user(messages: Column) -> Column:
+    return F.get(F.filter(messages, lambda m: m.role == "user"), 0).content
+
+
+def root_user(messages: Column) -> Column:
+    """The first user message's content where it is a JSON object, else null."""
+    c = first_user(messages)
+    return F.when(c.rlike(r"^\s*\{") & F.try_parse_json(c).isNotNull(), c)
+
+
+def truth_of_record(messages: Column) -> Column:
+    """Layers of {parent: children} in the first user message; empty without them."""
+    c = _first_array(root_user(messages), ["$.reward_model.ground_truth.cond_gt_by_turn"])
+    return F.coalesce(F.from_json(c, LAYERS), F.from_json(F.lit("[]"), LAYERS))
+
+
+def truth_by_turn(reward_model: Column) -> Column:
+    """JSON text of ``gt_by_turn`` in a reward model's JSON, null without it."""
+    return _first_array(reward_model, ["$.ground_truth.gt_by_turn"])
+
+
+_POT = "array<struct<user_name:string,interests:array<string>>>"
+
+
+def root_pool(user: Column) -> Column:
+    """Candidates (user_name, interests) in a root user's JSON: the full ones, else the names with no interests; blanks dropped."""
+    full = F.from_json(F.get_json_object(user, "$.reward_model.root_potential.full"), _POT)
+    names_ = F.from_json(F.get_json_object(user, "$.reward_model.root_potential.user_names"), "array<string>")
+    none = F.array().cast("array<string>")
+    shaped = lambda n, i: F.struct(F.trim(n).alias("user_name"), F.coalesce(i, none).alias("interests"))
+    pool = F.when(F.size(full) > 0, F.transform(full, lambda x: shaped(x.user_name, x.interests))).otherwise(F.transform(names_, lambda n: shaped(n, none)))
+    return F.filter(F.coalesce(pool, F.array().cast(_POT)), lambda x: F.coalesce(x.user_name, F.lit("")) != "")
+
+
+def interests_in_pool(user: Column, name: Column) -> Column:
+    """Interests of the first candidate with the name; empty without one."""
+    return F.coalesce(F.get(F.filter(root_pool(user), lambda x: x.user_name == F.trim(name)), 0).interests, F.array().cast("array<string>"))
+
+
+def rebuilt_view(user: Column, depth: Column) -> Column:
+    """The content that a model sees at a depth: without the old block of candidates, with that of the root's pool."""
+    pool, content = root_pool(user), F.coalesce(F.get_json_object(user, "$.content"), F.lit(""))
+    block = render_candidates(F.transform(pool, lambda x: x.user_name), F.transform(pool, lambda x: x.interests), depth)
+    return F.when(F.size(pool) > 0, F.concat(F.rtrim(strip_candidate_block(content)), block)).otherwise(content)
+
+
+def has_pred(output: Column) -> Column:
+    """Whether an output predicts anyone: no header of 0, and a JSON array that is not empty."""
+    body = interact_header(output)
+    n = F.when(guarded_json(body.body).rlike(r"^\s*\["), F.json_array_length(body.body))
+    return F.coalesce((F.coalesce(body.tag, F.lit(1)) != 0) & (n > 0), F.lit(False))
+
+
+def output_items(output: Column) -> Column:
+    """Struct of a logged output's objects, as JSON texts, and whether it could not be read as a list."""
+    head = interact_header(output)
+    silent = (F.coalesce(head.tag, F.lit(-1)) == 0) | F.coalesce(head.body.isin("[]", NOTHING) | (head.body == "") & head.tag.isNotNull(), F.lit(False))
+    read = F.when(guarded_json(head.body).rlike(r"^\s*\["), F.from_json(head.body, "array<string>"))
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(F.when(~silent, F.filter(read, lambda x: x.startswith("{"))), none).alias("items"), (~silent & read.isNull()).alias("failed"))
+
+
+def old_children(output: Column) -> Column:
+    """Names in an answer of the oldest form: under a header or not, a JSON array, one object or separated names."""
+    t = clean_strip(output)
+    headed = t.startswith("[INTERACT=")
+    body = F.when(headed, F.when(t.contains("\n"), clean_strip(F.substring(t, F.locate("\n", t) + 1, F.length(t)))).otherwise("")).otherwise(t)
+    name = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.user_name")).otherwise(x)
+    listed = F.transform(F.from_json(body, "array<string>"), lambda x: clean_strip(name(x)))
+    kept = lambda a: F.filter(F.array_distinct(a), lambda x: F.coalesce(x, F.lit("")) != "")
+    silent = (body == "") | body.isin("[]", NOTHING)
+    return F.when(silent, F.array().cast("array<string>")).when(guarded_json(body).rlike(r"^\s*\["), kept(listed)).when(
+        guarded_json(body).isNotNull(), kept(F.array(clean_strip(F.get_json_object(body, "$.user_name"))))).otherwise(split_names(body))
+
+
+def chunk_info(info: Column, sample_id: Column, meta: Column) -> Column:
+    """Where a sample comes from: a meta message's JSON first, then the column's, then the id."""
+    m = F.from_json(meta, "record_id string, root_user string, chunk_index int, chunk_size int, first_layer_users array<string>")
+    c = F.from_json(info, "record_id string, root_user string, potential_chunk_index int, k_per_chunk int")
+    return F.struct(
+        sample_id.alias("sample_id"), F.coalesce(m.record_id, c.record_id, F.nullif(F.regexp_extract(sample_id, "^(.*?)_node_", 1), F.lit(""))).alias("record_id"), F.coalesce(m.root_user, c.root_user).alias("root_user"),
+        F.coalesce(m.chunk_index, c.potential_chunk_index, F.regexp_extract(sample_id, r"_potchunk_(\d+)", 1).try_cast("int")).alias("chunk_index"), F.coalesce(m.chunk_size, c.k_per_chunk).alias("chunk_size"),
+        m.first_layer_users.alias("first_layer_users"))
+
+
+def system_content(messages: Column) -> Column:
+    """The first system message, out of the quotes that it may be kept in as a JSON text."""
+    c = F.coalesce(F.get(F.filter(messages, lambda m: m.role == "system"), 0).content, F.lit(""))
+    quoted = F.get(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>"), 0)
+    return F.when(c.rlike(r'^\s*"') & F.try_parse_json(c).isNotNull(), quoted).otherwise(c)
+
+
 def is_parent_maps(c: Column) -> Column:
     """Whether a JSON array holds only objects of one key each with a list; an empty one does."""
     maps = F.from_json(c, "array<map<string,array<string>>>")

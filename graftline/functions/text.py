@@ -138,6 +138,20 @@ def render_candidates(names: Column, interests: Column, depth: Column) -> Column
     return F.concat(F.lit(SPANS_START), F.array_join(cells, ""), F.lit(SPANS_END))
 
 
+def json_list(texts: Column) -> Column:
+    """A JSON array of texts with a blank after each comma."""
+    cell = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, cell), ", "), F.lit("]"))
+
+
+def user_prompt(user: Column, content: Column, interests: Column, ancestors: Column, block: Column, layer: Column) -> Column:
+    """The prompt of a node: its five lines, the block of candidates and the layer asked for at the end."""
+    said = strip_repost_tail(F.coalesce(content, F.lit("")))
+    return F.concat(
+        F.lit("username: "), F.coalesce(user, F.lit("")), F.lit("\ncontent:\n"), said, F.lit("\nuserinterest: "), json_list(interests), F.lit("\nhistoricalinteractors: "), json_list(ancestors),
+        F.lit("\npotentialspan:"), block, F.format_string("<TL%d>", layer))
+
+
 def strip_candidate_block(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<POTENTIAL_SPANS>.*?</POTENTIAL_SPANS>", "")
 

@@ -11,7 +11,7 @@ import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +91,16 @@ def hashed_model(names: int = 3, share: int = 7) -> Model:
         return pd.Series([[f"{u}.{k}" for k in range(names) if zlib.crc32(f"{r}|{t}|{u}|{k}".encode()) % share < share - 2] for r, t, u in zip(batch["record_id"], batch["trajectory"], batch["user"])], index=batch.index)
 
     return model
+
+
+#: Names under which a score may stand, in the order of trust; fixed values.
+SCORES = ("rewards", "trajectory_reward", "step_reward")
+
+
+def register_scores(spark: SparkSession) -> None:
+    """``compute_score(data_source, solution_str, ground_truth, extra_info)`` for SQL: the score that ``extra_info`` carries,
+    in ``reward_scores`` or itself, else 0. It is an expression of SQL, so that it stays in generated code."""
+    found = ", ".join(f"try_cast(get_json_object(extra_info, '$.{place}{k}') AS DOUBLE)" for place in ("reward_scores.", "") for k in SCORES)
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION compute_score(data_source STRING, solution_str STRING, ground_truth STRING, extra_info STRING) RETURNS DOUBLE "
+        f"RETURN coalesce({found}, 0.0D)")

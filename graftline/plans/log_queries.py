@@ -205,42 +205,12 @@ def a9_a11_validity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft").groupBy("node_depth").agg(F.count_if(n > 0).alias("valid"), F.count_if(n == 0).alias("invalid"), F.count_if(n.isNull()).alias("missing"), F.sum(ones).cast("bigint").alias("n_comments"))
 
 
-@query("""WITH e AS (SELECT node_depth, count(*) AS eff FROM sft WHERE len(targets_per_potential_types) > 0 GROUP BY 1), i AS (SELECT node_depth, count(*) AS inv FROM sft WHERE coalesce(len(targets_per_potential_types), 0) = 0 GROUP BY 1)
-SELECT coalesce(e.node_depth, i.node_depth) AS node_depth, coalesce(eff, 0) AS eff, coalesce(inv, 0) AS inv, round(coalesce(eff, 0) / nullif(coalesce(eff, 0) + coalesce(inv, 0), 0), 6) AS ratio FROM e FULL JOIN i ON e.node_depth IS NOT DISTINCT FROM i.node_depth""")
-def j6_a12_effective_ratio(spark: SparkSession, d: str) -> DataFrame:
-    full = F.coalesce(F.array_size("targets_per_potential_types"), F.lit(0)) > 0
-    s = table(spark, d, "sft").select("node_depth", full.alias("full"))
-    e, i = s.where("full").groupBy("node_depth").agg(F.count("*").alias("eff")), s.where("NOT full").groupBy(F.col("node_depth").alias("depth_i")).agg(F.count("*").alias("inv"))
-    out = e.join(i, F.col("node_depth").eqNullSafe(F.col("depth_i")), "full").select(F.coalesce("node_depth", "depth_i").alias("node_depth"), F.coalesce("eff", F.lit(0)).alias("eff"), F.coalesce("inv", F.lit(0)).alias("inv"))
-    return out.withColumn("ratio", F.round(F.try_divide(F.col("eff"), F.col("eff") + F.col("inv")), 6))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (id LIKE '%#_tL0%' ESCAPE '#') AS tl0, count(*) FILTER (id LIKE '%#_tL1%' ESCAPE '#') AS tl1, count(*) FILTER (TRY_CAST(nullif(regexp_extract(id, '_tL(\\d+)', 1), '') AS INTEGER) <> node_depth) AS mismatch FROM sft".replace("\\\\", "\\"))
 def a18_layer_check(spark: SparkSession, d: str) -> DataFrame:
     layer = F.regexp_extract("id", r"_tL(\d+)", 1).try_cast("int")
     return table(spark, d, "sft").agg(F.count("*").alias("n"), F.count_if(F.col("id").contains("_tL0")).alias("tl0"), F.count_if(F.col("id").contains("_tL1")).alias("tl1"), F.count_if(layer != F.col("node_depth")).alias("mismatch"))
 
 
-@query("SELECT depth, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT nm) AS distinct_names FROM (SELECT depth, nm, count(DISTINCT rollout_id) AS n FROM (SELECT depth, rollout_id, unnest(list_transform(list_filter(parsed_output, lambda x: x.type IN (1, 2)), lambda x: x.user_name)) AS nm FROM rollout) GROUP BY ALL) WHERE depth IS NOT NULL GROUP BY depth")
-def a14_a15_gold_names(spark: SparkSession, d: str) -> DataFrame:
-    """Reacting names per depth: occurrences, each once a step, and distinct ones."""
-    names = F.transform(F.filter("parsed_output", lambda x: x.type.isin(1, 2)), lambda x: x.user_name)
-    rows = table(spark, d, "rollout").where("depth IS NOT NULL").select("depth", "rollout_id", F.explode(names).alias("nm")).distinct()
-    return rows.groupBy("depth").agg(F.count("*").alias("occurrences"), F.count_distinct("nm").alias("distinct_names"))
-
-
-@query("SELECT coalesce(depth, -1) AS depth, count(*) AS n FROM (SELECT DISTINCT rollout_id, depth, parsed_output FROM rollout) WHERE coalesce(len(list_filter(parsed_output, lambda x: x.type IN (1, 2))), 0) = 0 GROUP BY 1")
-def a17_empty_gold(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "rollout").select("rollout_id", "depth", "parsed_output").dropDuplicates()
-    none = F.coalesce(F.array_size(F.filter("parsed_output", lambda x: x.type.isin(1, 2))), F.lit(0)) == 0
-    return rows.where(none).groupBy(F.coalesce("depth", F.lit(-1)).alias("depth")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT group_id, trajectory_id, rollout_id FROM rollout WHERE report_depth IN (1, 2)")
-def sel_p8_p9_report_depth(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rollout").where(F.col("report_depth").isin(1, 2)).select("group_id", "trajectory_id", "rollout_id").distinct()
-
-
 @query("SELECT l.doc_id, l.line_no, TRY_CAST(nullif(regexp_extract(l.line, 'step:(\\d+)', 1), '') AS BIGINT) AS step, TRY_CAST(nullif(regexp_extract(l.line, 'actor/pg_loss:([-+0-9.eE]+)', 1), '') AS DOUBLE) AS pg_loss, TRY_CAST(nullif(regexp_extract(l.line, 'critic/score/mean:([-+0-9.eE]+)', 1), '') AS DOUBLE) AS score FROM (SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE source = 'console')) l WHERE contains(l.line, 'step:')")
 def f17_train_steps(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").where("source = 'console'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

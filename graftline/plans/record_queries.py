@@ -49,12 +49,6 @@ def j10_j11_aligned(spark: SparkSession, d: str) -> DataFrame:
     return out.select("record_id", "depth", "parent", F.size("children").alias("n_children"), "out_of_range", "parent_missing")
 
 
-@query(GOLD + """, r AS (SELECT DISTINCT id, list_filter(messages, lambda x: x.role = 'system')[1].content AS s, list_filter(messages, lambda x: x.role = 'user')[1].content AS u FROM sft WHERE coalesce(node_depth, 0) <= 0 AND json_valid(list_filter(messages, lambda x: x.role = 'assistant')[1].content) AND json_type(list_filter(messages, lambda x: x.role = 'assistant')[1].content) = 'ARRAY')
-SELECT min(id) AS id, regexp_extract(min(id), '^(.*?)_node_', 1) AS record_id, sha256(coalesce(s, '') || chr(0) || u) AS h FROM r WHERE u IS NOT NULL GROUP BY coalesce(s, ''), u""")
-def t13_w8_rl_rows(spark: SparkSession, d: str) -> DataFrame:
-    return gold.rl_rows(_sound(spark, d)).select("id", "record_id", "h")
-
-
 @query("SELECT node_depth, count(*) AS n, count(*) FILTER (coalesce(node_depth, 0) = 0) AS roots, count(*) FILTER (node_depth IN (0, 1)) AS shown FROM sft GROUP BY node_depth")
 def sel_p4_p5_p6_p10_depths(spark: SparkSession, d: str) -> DataFrame:
     depth = F.col("node_depth")
@@ -150,11 +144,6 @@ def f19_j16_span_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.posexplode(spans.span_tokens(F.col("u"), text.PSEP)).alias("pos", "x")).select("id", "pos", "x.start", "x.end", "x.first", "x.last")
 
 
-@query(FLAT + "SELECT record_id, parent_id AS node_id, count(*) AS n_children, count(DISTINCT \"user\") AS n_users FROM nodes WHERE parent_id IS NOT NULL GROUP BY ALL")
-def t8_p20_children(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).where("parent_id IS NOT NULL").groupBy("record_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"), F.count_distinct("user").alias("n_users"))
-
-
 @query(PROFILED + """, newest AS (SELECT root_user, max(record_id) AS record_id FROM known WHERE root_user <> '' GROUP BY root_user)
 SELECT DISTINCT k.root_user, k."user" AS user_name, array_to_string(k.interests, ',') AS interests FROM known k JOIN newest USING (root_user, record_id) WHERE k."user" <> ''""")
 def a3_last_post_pool(spark: SparkSession, d: str) -> DataFrame:

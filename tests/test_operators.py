@@ -54,7 +54,6 @@ def test_lenient_reading(spark):
     assert lenient.read_list('[1, [2, ], {"a": 3 ,\n} , ]') == ([1, [2], {"a": 3}], "slice_json_array_fix_commas") and lenient.read_list("x [1, [2] y") == (None, "fail")
     assert lenient.read_list("so: [1, [2]] and [3]") == ([1, [2]], "slice_json_array") and lenient.read_list("[[1], [2") == ([[1], [2]], "slice_json_array")
     assert lenient.read_list("['a', 'b',]") == (["a", "b"], "literal_eval_fix_commas") and lenient.read_list("{'a': 1}") == ([{"a": 1}], "wrapped_literal_eval") and lenient.read_list("['a\\'s']") == (["a's"], "literal_eval_fix_commas")
-    assert lenient.output_list('x [1] y') == ([1], False) and lenient.output_list("{}") == ([], True) and lenient.output_list(None) == ([], False) and lenient.output_list([2]) == ([2], False)
     assert lenient.clean_output(None)[1] == "parse_fail_empty" and lenient.clean_output("[]")[1] == "empty" and lenient.clean_output("x")[1] == "parse_fail_json"
     good = '{"user_name": " a ", "content": "c", "type": "转发"}'
     assert lenient.clean_output(f"text {good}")[1] == "parse_fail_json" and lenient.clean_output(good) == ([{"user_name": "a", "content": "c", "type": "转发微博"}], "ok_repaired", "wrapped_as_list", True)
