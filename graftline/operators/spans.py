@@ -51,3 +51,8 @@ def pooled(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     cells = vectors.select(by, F.posexplode(vector).alias("i", "v"))
     means = cells.groupBy(by, "i").agg(F.when(F.count("*") > 1, F.avg(F.col("v").cast("double"))).otherwise(0.0).alias("m"))
     return means.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: F.round(x.m, 6)).alias("mean"))  # as long as a vector
+
+
+def beside_global(means: DataFrame, every: list[float]) -> DataFrame:
+    """means with ``vector``, the group's mean followed by that of all."""
+    return means.withColumn("vector", F.concat("mean", F.array(*map(F.lit, every))))

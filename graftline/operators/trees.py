@@ -1,31 +1,85 @@
-"""Interaction trees of posts as adjacency tables, and what is read off them.
+"""Interaction trees of posts as adjacency tables, and what is read off them.
 
 A tree is node(record_id, node_id, parent_id, root_user, user, user_id, content, kind, depth): recursion lives in the
-rows, not in a type, so depth is unbounded. Building is one projection of the nested posts; depth comes from the
-hierarchy operator, whose rounds grow with the logarithm of the depth.
+rows, not in a type, so depth is unbounded. A post is one row, so its nodes are placed within the row, before they are
+laid out: the ids and parents of a row go through one Arrow-batched function in linear time, which built-in functions
+could only do in a fixed number of steps. Nothing is shuffled but the choice of each post's latest crawl.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftline.functions.text import COMMENT, REPOST_LONG, is_image_comment
-from graftline.operators import hierarchy
+from graftline.functions.text import COMMENT, REPOST, REPOST_LONG, is_image_comment
 
 
 def latest_posts(raw: DataFrame) -> DataFrame:
-    """One post per id: the latest crawl, ties by row."""
-    best = F.max(F.struct("crawled_at", "row_id", "post")).alias("b")
-    return raw.where("post.id IS NOT NULL").groupBy(F.col("post.id").alias("record_id")).agg(best).select("record_id", "b.post")
+    """One post per id: the latest crawl, ties by row. The winners are found by their times, without the posts' contents."""
+    some = raw.where("post.id IS NOT NULL")
+    best = some.groupBy(F.col("post.id").alias("record_id")).agg(F.max(F.struct("crawled_at", "row_id")).alias("b")).select(F.col("b.row_id").alias("row_id"))
+    return some.join(best, "row_id", "left_semi").select(F.col("post.id").alias("record_id"), "post")
+
+
+def climbs(ids: list[int], parents: list[int | None]) -> list[list[int] | None]:
+    """The nodes above each one, from the top down; none for copies of a node but the one with the smallest parent, and for
+    nodes that do not come to a top."""
+    own: dict[int, int] = {}
+    for i, (n, p) in enumerate(zip(ids, parents)):
+        if n not in own or p is not None and (parents[own[n]] is None or p < parents[own[n]]):
+            own[n] = i
+    above: dict[int, list[int] | None] = {}
+    for n in own:
+        way, here = [], n
+        while here is not None and here in own and here not in above and here not in way[-1:]:
+            above[here] = None  # until it is known to come to a top
+            way.append(here)
+            here = parents[own[here]]
+        top = [] if here is None else above.get(here)
+        lead = None if here is not None and top is None else (top if here is None else [*top, here])
+        for x in reversed(way):
+            above[x] = lead
+            lead = None if lead is None else [*lead, x]
+    return [above[n] if own[n] == i else None for i, n in enumerate(ids)]
+
+
+def depths(ids: list[int], parents: list[int | None]) -> list[int | None]:
+    """Like ``climbs``, but only how many nodes are above; linear in the number of nodes, whatever the depth."""
+    own: dict[int, int] = {}
+    for i, (n, p) in enumerate(zip(ids, parents)):
+        if n not in own or p is not None and (parents[own[n]] is None or p < parents[own[n]]):
+            own[n] = i
+    depth: dict[int | None, int | None] = {None: -1}
+    for n in own:
+        way, here = [], n
+        while here not in depth and here in own:
+            depth[here] = None
+            way.append(here)
+            here = parents[own[here]]
+        at = depth.get(here)
+        for x in reversed(way):
+            at = None if at is None else at + 1
+            depth[x] = at
+    return [depth[n] if own[n] == i else None for i, n in enumerate(ids)]
+
+
+def _within(ids: Column, parents: Column, each, kind: str) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        plain = lambda x: None if pd.isna(x) else int(x)
+        return pd.Series([each([plain(x) for x in i], [plain(x) for x in p]) for i, p in zip(a, b)], dtype=object)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)(ids, parents)
 
 
 def _node(node: Column, parent: Column, user: Column, content: Column, kind: str) -> Column:
     return F.struct(node.alias("node_id"), parent.alias("parent_id"), user.screen_name.alias("user"), user.id.alias("user_id"), content.alias("content"), F.lit(kind).alias("kind"))
 
 
-def flat_nodes(posts: DataFrame) -> DataFrame:
-    """Rows of posts, comments, replies and reposts with the parent each names; image comments go with their replies."""
+def post_nodes(posts: DataFrame) -> DataFrame:
+    """(record_id, root_user, nodes): posts, comments, replies and reposts with the parent each names; image comments go with
+    their replies."""
     p = F.col("post")
     some = lambda a: F.coalesce(a, F.array())
     shown = F.filter(some(p.comments), lambda c: c.id.isNotNull() & ~F.coalesce(is_image_comment(c.text_raw), F.lit(False)))
@@ -35,16 +89,25 @@ def flat_nodes(posts: DataFrame) -> DataFrame:
         lambda r: _node(r.id, F.coalesce(r.reply_comment.id, c.id), r.user, r.text_raw, COMMENT))))
     shares = F.transform(F.filter(some(p.reposts), lambda r: r.id.isNotNull()), lambda r: _node(r.id, p.id, r.user, F.when(F.length(F.trim(r.text_law)) > 0, r.text_law).otherwise(r.text_raw), REPOST_LONG))
     root = F.array(_node(p.id, F.lit(None).cast("bigint"), p.user, p.text_raw, "原创博文"))
-    rows = posts.select("record_id", p.user.screen_name.alias("root_user"), F.inline(F.concat(root, first, below, shares)))
-    return rows.dropDuplicates(["record_id", "node_id"])
+    return posts.select("record_id", p.user.screen_name.alias("root_user"), F.concat(root, first, below, shares).alias("nodes"))
+
+
+def _placed(raw: DataFrame, each, kind: str, name: str) -> DataFrame:
+    rows = post_nodes(latest_posts(raw))
+    ids, parents = F.transform("nodes", lambda n: n.node_id), F.transform("nodes", lambda n: n.parent_id)
+    placed = rows.withColumn("places", _within(ids, parents, each, kind))
+    cells = F.zip_with("nodes", "places", lambda n, d: n.withField(name, d))
+    return placed.select("record_id", "root_user", F.inline(F.filter(cells, lambda n: n[name].isNotNull())))
 
 
 def trees(raw: DataFrame) -> DataFrame:
     """Nodes that hang below their post, with depth (the post at 0); orphans and cycles vanish."""
-    nodes = flat_nodes(latest_posts(raw))
-    found = hierarchy.resolve(nodes.groupBy(F.col("node_id").alias("id")).agg(F.max("parent_id").alias("parent")))
-    placed = found.where("node_depth > 0").select(F.col("id").alias("node_id"), F.col("root_id").alias("record_id"), (F.col("node_depth") - 1).alias("depth"))
-    return nodes.join(placed, ["record_id", "node_id"])
+    return _placed(raw, depths, "array<int>", "depth").withColumn("depth", F.col("depth").cast("bigint"))
+
+
+def ancestors(raw: DataFrame) -> DataFrame:
+    """The same nodes with the ids above each, from the post down."""
+    return _placed(raw, climbs, "array<array<bigint>>", "above")
 
 
 def with_interests(nodes: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -54,8 +117,22 @@ def with_interests(nodes: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def interactors(nodes: DataFrame) -> DataFrame:
-    """(root_user, n_users): distinct users below the posts of each author, all posts taken together."""
-    return nodes.where("depth > 0 AND user IS NOT NULL AND root_user IS NOT NULL").groupBy("root_user").agg(F.count_distinct("user").alias("n_users"))
+    """(root_user, user): the distinct users below the posts of each author, all posts taken together, a row each."""
+    return nodes.where("depth > 0 AND user IS NOT NULL AND root_user IS NOT NULL").select("root_user", "user").distinct()
+
+
+def answers(nodes: DataFrame) -> DataFrame:
+    """(record_id, node_id, user, interests, content, nature): all direct children of each node, a row each; nodes with interests."""
+    kind = F.when(F.col("content").isin(REPOST, REPOST_LONG), REPOST).otherwise(COMMENT)
+    return nodes.where("parent_id IS NOT NULL").select("record_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"), "user", "interests", "content", kind.alias("nature"))
+
+
+def answers_of(nodes: DataFrame, subset: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The children whose user is among subset(user_id), with the descriptions of their latest profiles."""
+    best = profiles.where("user_id IS NOT NULL").groupBy("user_id").agg(F.max(F.struct("updated_at", "user_description")).alias("b")).select("user_id", F.coalesce("b.user_description", F.lit("")).alias("description"))
+    mine = nodes.join(subset.select("user_id").distinct(), "user_id", "left_semi")
+    rows = answers(mine).join(mine.select("record_id", F.col("node_id").alias("child_id"), "user_id"), ["record_id", "child_id"])
+    return rows.join(best, "user_id", "left").withColumn("description", F.coalesce("description", F.lit("")))
 
 
 def pools(nodes: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def j6_a10_a12_effective(spark: SparkSession, d: str) -> DataFrame:
 def a13_turns_per_dialog(spark: SparkSession, d: str) -> DataFrame:
     """Mean number of turns of a dialog, of all layers and of the first two; 0 without dialogs."""
     rows = _distinct(spark, d)
-    turns = gold.turn_counts(rows).agg(F.count("*").alias("a"), F.count_if(F.col("reply_layer").isin(1, 2)).alias("b"))
-    share = lambda c: F.round(F.coalesce(F.try_divide(c, F.col("n")), F.lit(0.0)), 6)
-    return turns.crossJoin(rows.agg(F.count("*").alias("n"))).select(share(F.col("a")).alias("turns"), share(F.col("b")).alias("turns_of_two"))  # one row each
+    both = gold.turn_counts(rows).select(F.lit(1).alias("a"), F.col("reply_layer").isin(1, 2).cast("int").alias("b"), F.lit(0).alias("n")).unionAll(rows.select(F.lit(0), F.lit(0), F.lit(1)))
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.sum(c), F.sum("n")), F.lit(0.0)), 6)
+    return both.agg(share("a").alias("turns"), share("b").alias("turns_of_two"))
 
 
 @query(RL + "SELECT 1 AS layer, CAST(sum(len(kids)) AS BIGINT) AS occurrences, (SELECT count(DISTINCT k) FROM (SELECT unnest(kids) AS k FROM rl)) AS names FROM rl")

@@ -127,13 +127,15 @@ def f18_glob_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_lines").select("file_name").distinct().where(F.col("file_name").rlike(records.glob_pattern("feed_*_01.jsonl")))
 
 
-@query("SELECT label, round(avg(embedding[1]), 6) AS length FROM embeddings GROUP BY label HAVING count(*) > 1")
-def m19_pooled_first(spark: SparkSession, d: str) -> DataFrame:
-    """First component of each label's mean vector."""
+@query("""WITH v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), n AS (SELECT label, count(*) AS k FROM embeddings GROUP BY label),
+l AS (SELECT label, i, round(CASE WHEN k > 1 THEN avg(CAST(x AS DOUBLE)) ELSE 0 END, 6) AS m FROM v JOIN n ON n.label IS NOT DISTINCT FROM v.label GROUP BY ALL), g AS (SELECT i, round(avg(CAST(x AS DOUBLE)), 6) AS m FROM v GROUP BY i)
+SELECT label, i AS place, m FROM l UNION ALL SELECT label, i + (SELECT max(i) FROM g), g.m FROM g, (SELECT DISTINCT label FROM embeddings) d""".replace("v JOIN n ON n.label IS NOT DISTINCT FROM v.label GROUP BY ALL", "v JOIN n USING (label) GROUP BY label, i, k"))
+def m19_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vector of each label followed by that of all, component by component."""
     e = table(spark, d, "embeddings").select("label", "embedding")
-    means = spans.pooled(e, "label", "embedding")
-    many = e.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
-    return means.join(many, "label", "left_semi").select("label", F.get("mean", F.lit(0)).alias("length"))
+    every = spans.pooled(e.withColumn("every", F.lit(1)), "every", "embedding").first()  # one vector
+    both = spans.beside_global(spans.pooled(e, "label", "embedding"), every.mean if every else [])
+    return both.select("label", F.posexplode("vector").alias("place", "m")).select("label", (F.col("place") + 1).cast("bigint").alias("place"), "m")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.operators import hierarchy, samples, trees
+from graftline.operators import samples, trees
 from graftline.plans.registry import Registry
 from graftline.runtime import Scratch
 from graftline.sources.tables import table
@@ -25,9 +25,9 @@ flat0 AS (SELECT record_id, post."user".screen_name AS root_user, record_id AS n
  UNION ALL SELECT record_id, root_user, r.id, coalesce(r.reply_comment.id, holder), r."user".screen_name, r."user".id, r.text_raw, '评论' FROM r
  UNION ALL SELECT record_id, root_user, s.id, record_id, s."user".screen_name, s."user".id, CASE WHEN length(trim(s.text_law)) > 0 THEN s.text_law ELSE s.text_raw END, '转发微博' FROM s),
 flat AS (SELECT * FROM flat0 QUALIFY row_number() OVER (PARTITION BY record_id, node_id ORDER BY parent_id) = 1),
-links AS (SELECT node_id AS id, max(parent_id) AS parent FROM flat GROUP BY node_id),
-walk AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth FROM links WHERE parent IS NULL UNION ALL SELECT l.id, w.root, w.depth + 1 FROM links l JOIN walk w ON l.parent = w.id),
-nodes AS (SELECT flat.*, walk.depth FROM flat JOIN walk ON walk.id = flat.node_id AND walk.root = flat.record_id)
+links AS (SELECT record_id, node_id AS id, parent_id AS parent FROM flat),
+walk AS (SELECT record_id, id, CAST(0 AS BIGINT) AS depth FROM links WHERE parent IS NULL UNION ALL SELECT l.record_id, l.id, w.depth + 1 FROM links l JOIN walk w ON l.parent = w.id AND l.record_id = w.record_id),
+nodes AS (SELECT flat.*, walk.depth FROM flat JOIN walk ON walk.id = flat.node_id AND walk.record_id = flat.record_id)
 """
 PROFILED = FLAT + """, prof AS (SELECT user_id, coalesce(user_interests, []) AS interests FROM profiles WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC NULLS LAST, user_interests DESC NULLS LAST) = 1),
 known AS (SELECT nodes.*, coalesce(prof.interests, []) AS interests FROM nodes LEFT JOIN prof USING (user_id)),
@@ -56,14 +56,11 @@ def t5_levels(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).groupBy("depth", "kind").agg(F.count("*").alias("n"))
 
 
-@query(FLAT + ", lines AS (SELECT id, [id] AS ids FROM links WHERE parent IS NULL UNION ALL SELECT l.id, list_append(x.ids, l.id) FROM links l JOIN lines x ON l.parent = x.id) SELECT n.record_id, n.node_id, array_to_string(x.ids[:-2], '/') AS above FROM nodes n JOIN lines x ON x.id = n.node_id".replace("x.ids[:-2]", "list_slice(x.ids, 1, len(x.ids) - 1)"))
+@query(FLAT + ", lines AS (SELECT record_id, id, [id] AS ids FROM links WHERE parent IS NULL UNION ALL SELECT l.record_id, l.id, list_append(x.ids, l.id) FROM links l JOIN lines x ON l.parent = x.id AND l.record_id = x.record_id) SELECT record_id, id AS node_id, array_to_string(list_slice(ids, 1, len(ids) - 1), '/') AS above FROM lines")
 def t4_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Ids above each node, from the post down."""
-    nodes = trees.flat_nodes(trees.latest_posts(table(spark, d, "raw_posts")))
-    found = hierarchy.resolve(nodes.groupBy(F.col("node_id").alias("id")).agg(F.max("parent_id").alias("parent")), with_path=True).where("path IS NOT NULL")
-    above = F.array_join(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda x: x.cast("string")), "/")
-    placed = found.select(F.col("id").alias("node_id"), F.col("root_id").alias("record_id"), above.alias("above"))
-    return nodes.select("record_id", "node_id").join(placed, ["record_id", "node_id"])
+    out = trees.ancestors(table(spark, d, "raw_posts"))
+    return out.select("record_id", "node_id", F.array_join(F.transform("above", lambda x: x.cast("string")), "/").alias("above"))
 
 
 @query(FLAT + "SELECT n.record_id, n.node_id, u.\"user\" AS parent_user FROM nodes n LEFT JOIN nodes u ON u.record_id = n.record_id AND u.node_id = n.parent_id")
@@ -71,9 +68,24 @@ def t6_parent_history(spark: SparkSession, d: str) -> DataFrame:
     return trees.parent_users(_nodes(spark, d)).select("record_id", "node_id", "parent_user")
 
 
-@query(FLAT + "SELECT root_user, count(DISTINCT \"user\") AS n_users FROM nodes WHERE depth > 0 AND root_user IS NOT NULL AND \"user\" IS NOT NULL GROUP BY root_user")
+@query(FLAT + "SELECT DISTINCT root_user, \"user\" AS user_name FROM nodes WHERE depth > 0 AND root_user IS NOT NULL AND \"user\" IS NOT NULL")
 def a2_interactors(spark: SparkSession, d: str) -> DataFrame:
-    return trees.interactors(_nodes(spark, d))
+    return trees.interactors(_nodes(spark, d)).withColumnRenamed("user", "user_name")
+
+
+@query(PROFILED + "SELECT record_id, parent_id AS node_id, node_id AS child_id, \"user\" AS user_name, array_to_string(interests, ',') AS interests, content, CASE WHEN content IN ('转发', '转发微博') THEN '转发' ELSE '评论' END AS nature FROM known WHERE parent_id IS NOT NULL")
+def t8_p20_answers(spark: SparkSession, d: str) -> DataFrame:
+    """All direct children of each node with their interests."""
+    return trees.answers(_known(spark, d)).withColumn("interests", F.array_join("interests", ",")).withColumnRenamed("user", "user_name")
+
+
+@query(PROFILED + """, sub AS (SELECT DISTINCT user_id FROM profiles WHERE user_id % 2 = 0), said AS (SELECT user_id, coalesce(user_description, '') AS description FROM profiles WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC NULLS LAST, user_description DESC NULLS LAST) = 1)
+SELECT record_id, parent_id AS node_id, node_id AS child_id, user_id, array_to_string(interests, ',') AS interests, coalesce(description, '') AS description FROM known JOIN sub USING (user_id) LEFT JOIN said USING (user_id) WHERE parent_id IS NOT NULL""")
+def sel_p21_answers_of(spark: SparkSession, d: str) -> DataFrame:
+    """The children by the users of a list, here those with even ids, with their descriptions."""
+    profiles = table(spark, d, "profiles")
+    out = trees.answers_of(_known(spark, d), profiles.where("user_id % 2 = 0"), profiles)
+    return out.select("record_id", "node_id", "child_id", "user_id", F.array_join("interests", ",").alias("interests"), "description")
 
 
 @query(PROFILED + "SELECT record_id, node_id, len(interests) AS n_interests FROM known")
@@ -108,7 +120,7 @@ def o4_even_parts(spark: SparkSession, d: str) -> DataFrame:
     return samples.even_parts(trees.pools(_known(spark, d)), ["root_user"], "user_name", 10).select("root_user", "user_name", "part")
 
 
-LABELS = PROFILED + r""", cut AS (SELECT root_user, user_name, row_number() OVER (PARTITION BY root_user ORDER BY user_name) AS pos FROM pool QUALIFY count(*) OVER (PARTITION BY root_user) <= 1000),
+LABELS = PROFILED + r""", cut AS (SELECT root_user, user_name, row_number() OVER (PARTITION BY root_user ORDER BY user_name) AS pos FROM pool),
 kid AS (SELECT record_id, parent_id AS node_id, "user" AS user_name, CASE WHEN kind = '转发微博' OR contains(coalesce(content, ''), '//@') THEN 2 ELSE 1 END AS reaction FROM nodes WHERE parent_id IS NOT NULL AND "user" <> ''
  QUALIFY row_number() OVER (PARTITION BY record_id, parent_id, "user" ORDER BY node_id DESC) = 1),
 cell AS (SELECT n.record_id, n.node_id, n.depth, CAST((pos - 1) // 8 AS INTEGER) AS chunk, pos, cut.user_name, coalesce(kid.reaction, 0) AS reaction

@@ -241,3 +241,22 @@ def test_samples_of_pools_of_any_size(spark, tmp_path):
     few = nodes.where("node_id < 3 OR node_id % 100 = 9")
     a, b = (f(few).select("id", "node_depth", "candidates", "types", "texts") for f in (lambda n: samples.sampled(n, pool, kids), lambda n: samples.gathered(samples.labelled(n, pool, kids))))
     assert a.count() == b.count() > 0 and not a.exceptAll(b).count() and not b.exceptAll(a).count()
+
+
+def test_nodes_are_placed_within_their_post():
+    ids, parents = [1, 2, 3, 4, 5, 6, 7, 3, 8], [None, 1, 2, 99, 6, 5, 5, 1, 8]
+    assert trees.depths(ids, parents) == [0, 1, None, None, None, None, None, 1, None]  # the copy of 3 with the smaller parent counts; 4 has no parent, 5 to 8 hang in cycles
+    assert trees.climbs(ids, parents) == [[], [1], None, None, None, None, None, [1], None]
+    n = 20_000
+    assert trees.depths(list(range(n)), [None, *range(n - 1)]) == list(range(n)) and trees.depths([], []) == []
+
+
+def test_a_node_in_two_posts_stays_in_both(spark):
+    user = "struct<id:bigint,screen_name:string>"
+    reply = f"struct<id:bigint,text_raw:string,user:{user},reply_comment:struct<id:bigint>>"
+    post = f"struct<id:bigint,created_at:string,text_raw:string,user:{user},comments:array<struct<id:bigint,text_raw:string,user:{user},comments:array<{reply}>>>,reposts:array<struct<id:bigint,text_law:string,text_raw:string,user:{user}>>>"
+    made = lambda k, c: (k, None, "t", (1, "a"), [(c, "x", (2, "b"), [(30, "y", (3, "c"), None)])], None)
+    rows = [(1, dt.datetime(2024, 1, 1), made(10, 20)), (2, dt.datetime(2024, 1, 2), made(10, 21)), (3, dt.datetime(2024, 1, 1), made(11, 22)), (4, None, None)]
+    df = spark.createDataFrame(rows, f"row_id bigint, crawled_at timestamp, post {post}")
+    assert {(r.record_id, r.node_id, r.depth) for r in trees.trees(df).collect()} == {(10, 10, 0), (10, 21, 1), (10, 30, 2), (11, 11, 0), (11, 22, 1), (11, 30, 2)}
+    assert trees.trees(df.limit(0)).count() == 0
