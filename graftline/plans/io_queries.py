@@ -95,7 +95,7 @@ def s12_text_file(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "s12")
     table(spark, d, "supplier").select(F.concat_ws("\t", "s_suppkey", "s_name", "s_acctbal").alias("value")).write.text(path)
     cells = F.split("line", "\t")
-    return readers.text_lines(spark, f"{path}/*.txt").where("line <> ''").select(cells[0].cast("bigint").alias("s_suppkey"), cells[1].alias("s_name"), cells[2].cast("double").alias("s_acctbal"))
+    return readers.text_lines(spark, path).select(cells[0].cast("bigint").alias("s_suppkey"), cells[1].alias("s_name"), cells[2].cast("double").alias("s_acctbal"))
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
@@ -124,12 +124,97 @@ def k8_append_log(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("group_id string").json(path).groupBy("group_id").agg(F.count("*").alias("n"))
 
 
-@query()
+def _roots(spark: SparkSession, d: str) -> DataFrame:
+    """A root (record_id, user) for each post of the comments."""
+    return table(spark, d, "comments").where("post_id IS NOT NULL").groupBy(F.col("post_id").cast("string").alias("record_id")).agg(F.min("user_id").cast("string").alias("user")).na.fill("nobody", ["user"])
+
+
+_ROOTS = "WITH r AS (SELECT CAST(post_id AS VARCHAR) AS record_id, coalesce(CAST(min(user_id) AS VARCHAR), 'nobody') AS u FROM comments WHERE post_id IS NOT NULL GROUP BY 1), k AS (SELECT unnest(['.0', '.1']) AS k)"
+
+
+@query(_ROOTS + """, n AS (SELECT record_id, 0 AS depth, u AS "user" FROM r UNION ALL SELECT record_id, 1, u || k FROM r, k UNION ALL SELECT record_id, 2, u || a.k || b.k FROM r, k a, k b)
+SELECT record_id, CAST(trajectory AS INTEGER) AS trajectory, depth, "user" AS user_name, CASE WHEN depth = 0 THEN 'three' ELSE 'two' END AS head, 2 AS n_pred, CASE WHEN depth = 0 THEN 2 ELSE 0 END AS n_gold, depth > 0 AS parent_missing,
+ CASE WHEN depth = 0 THEN round(2 * (2 / (2 + 1e-6)) * (2 / (2 + 1e-6)) / (2 * (2 / (2 + 1e-6)) + 1e-6), 6) ELSE 0.0 END AS f1 FROM n, (SELECT unnest([0, 1]) AS trajectory)""")
 def t9_t10_rollout(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth-first rollout of all posts with a stand-in model, scored against names that it may give."""
-    roots = table(spark, d, "comments").where("post_id IS NOT NULL").groupBy(F.col("post_id").cast("string").alias("record_id")).agg(F.min("user_id").cast("string").alias("user")).na.fill("nobody", ["user"])
+    """Breadth-first rollout of all posts with a stand-in model, scored against the children that it names at the root."""
+    roots = _roots(spark, d)
     gold = roots.select("record_id", F.lit(0).alias("depth"), F.col("user").alias("parent"), F.explode(F.array(F.concat("user", F.lit(".0")), F.concat("user", F.lit(".1")))).alias("child"))
-    return rollout.rollout(roots, gold, rollout.hashed_model(), depth_limit=2, turns=8, trajectories=2)
+    out = rollout.ROLLOUTS["self_play"](roots, gold, rollout.fixed_model(2), depth_limit=2, turns=8, trajectories=2)
+    return out.select("record_id", "trajectory", "depth", F.col("user").alias("user_name"), rollout.head_of(F.col("depth")).alias("head"), "n_pred", F.col("n_gold").cast("int").alias("n_gold"), "parent_missing", "f1")
+
+
+@query(_ROOTS + """, n AS (SELECT record_id, 0 AS depth, u AS "user", 'ok' AS status, 3 AS n_pred, 1 AS n_gold, 1 AS tp, round(2 * (1 / 3.0) / (1 / 3.0 + 1), 6) AS f1, round(2 * (1 / 3.0) / (1 / 3.0 + 1), 6) AS reward FROM r
+ UNION ALL SELECT record_id, 1, u || k, 'parse_fail_json', 0, 1, 0, NULL, -1.0 FROM r, k) SELECT record_id, depth, "user" AS user_name, status, n_pred, n_gold, tp, f1, reward FROM n""")
+def t11_t12_j14_m20_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    """A model that answers with text: three names at the root, of which the pool holds two, and what cannot be read below."""
+    import pandas as pd
+
+    def model(batch: pd.DataFrame) -> pd.Series:
+        item = '{{"user_name": "{}", "content": "", "type": "评论"}}'
+        return pd.Series([f"[{', '.join(item.format(x) for x in (f'{u}.0', 'stranger', f'{u}.1'))}]" if d == 0 else "so {" for u, d in zip(batch["user"], batch["depth"])], index=batch.index)
+
+    roots = _roots(spark, d)
+    kids = roots.select("record_id", F.explode(F.array(F.concat("user", F.lit(".0")), F.concat("user", F.lit(".1")))).alias("user"), F.array(F.lit("x")).alias("interests"))
+    levels = kids.where("user LIKE '%.0'").select("record_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("depth"), F.col("user").alias("child"))
+    out = rollout.evaluate(roots, levels, model, turns=20, pool=kids)
+    return out.select("record_id", "depth", F.col("user").alias("user_name"), "status", "n_pred", "n_gold", "tp", "f1", "reward")
+
+
+@query("SELECT trajectory_id, round(avg(step_reward), 6) AS reward FROM (SELECT DISTINCT trajectory_id, rollout_id, step_reward FROM rollout) GROUP BY trajectory_id")
+def x2_trajectory_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """A reward of each trajectory by a function named in a configuration."""
+    steps = table(spark, d, "rollout").select("trajectory_id", "rollout_id", "step_reward").distinct()
+    out = rollout.trajectory_rewards(steps, "trajectory_id", "step_reward", "graftline.operators.rollout:mean_reward")
+    return out.withColumn("reward", F.round("reward", 6))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (node_depth = 0) AS depth0, count(*) FILTER (node_depth = 1) AS depth1, count(*) FILTER (l = 0) AS v_tl0, count(*) FILTER (l = 1) AS v_tl1, count(*) FILTER (l IS NULL) AS v_unknown, count(*) FILTER (node_depth IN (0, 1) AND l <> node_depth) AS mismatch FROM (SELECT node_depth, TRY_CAST(nullif(regexp_extract(list_filter(messages, lambda m: m.role = 'user')[1].content, '<TL([01])>\\s*$', 1), '') AS INTEGER) AS l FROM sft)")
+def s8_scan_layers(spark: SparkSession, d: str) -> DataFrame:
+    return readers.scan_layers(table(spark, d, "sft"), verify=True)
+
+
+@query("SELECT id, len(messages) AS n FROM sft")
+def s10_tolerant_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the wanted columns that a file has."""
+    return readers.parquet_columns(spark, [f"{d}/sft.parquet"], ["id", "messages", "not_there"]).select("id", F.size("messages").cast("bigint").alias("n"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS line_no, s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 7")
+def s11_first_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first seven lines of a file (a limit is the feature here)."""
+    path = _folder(spark, "s11")
+    table(spark, d, "supplier").orderBy("s_suppkey").select(F.concat_ws("\t", "s_suppkey", "s_name").alias("value")).coalesce(1).write.text(path)
+    cells = F.split("line", "\t")
+    return readers.first_lines(spark, path, 7).select("line_no", cells[0].cast("bigint").alias("s_suppkey"), cells[1].alias("s_name"))
+
+
+@query("SELECT id, coalesce(len(targets_per_potential_types), 0) AS n_types, coalesce(len(targets_comment_texts), 0) AS n_texts, sft_chunk_info FROM sft")
+def k0_typed_samples(spark: SparkSession, d: str) -> DataFrame:
+    out = writers.typed_samples(table(spark, d, "sft"))
+    return out.select("id", F.size("targets_per_potential_types").cast("bigint").alias("n_types"), F.size("targets_comment_texts").cast("bigint").alias("n_texts"), "sft_chunk_info")
+
+
+@query("SELECT c_custkey, c_name, 'gzip' AS codec FROM customer")
+def k2_codec_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A codec that does not exist gives way to the next."""
+    path = _folder(spark, "k2")
+    codec = writers.parquet_somehow(table(spark, d, "customer").select("c_custkey", "c_name"), path, ("no_such_codec", "gzip"))
+    return spark.read.parquet(path).withColumn("codec", F.lit(codec))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def k4_pretty_json(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "k4")
+    writers.pretty_json(table(spark, d, "nation").select("n_nationkey", "n_name"), path, 25)  # a fixed table
+    return readers.json_array(spark, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def k6_head_json(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred rows as JSON lines (a limit is the feature here)."""
+    path = _folder(spark, "k6")
+    writers.head_json(table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), path, 100)
+    return spark.read.schema("o_orderkey bigint, o_totalprice double").json(path)
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -148,7 +233,7 @@ SELECT user_id, idx, n, total FROM (SELECT *, max(idx) OVER (PARTITION BY user_i
 def st2_stream_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments between markers, kept as state of a stream."""
     path = _folder(spark, "st2")
-    table(spark, d, "events").select("ts", "user_id", "event_id", "event_type", "value").coalesce(1).write.json(f"{path}/log")
+    table(spark, d, "events").select("ts", "user_id", "event_id", "event_type", "value").write.json(f"{path}/log")
     out = logs.drained(logs.running_segments(logs.tail(spark, f"{path}/log"), "signup"), path)
     return out.select("user_id", "idx", "n", F.round("total", 4).alias("total"))
 

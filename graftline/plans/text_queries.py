@@ -154,26 +154,59 @@ def f20_split_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profiles").where("size(user_interests) > 1").select("user_id", joined.alias("j")).distinct().select("user_id", text.split_names(F.col("j")).alias("names"))
 
 
-@query()
+#: Outputs in every state, with their status, note and number of items when mended, their status when checked, with and without closing what is cut off, and their names.
+_A, _B = '{"user_name": "a", "content": "x", "type": "评论"}', '{"user_name": "b", "content": "", "type": "转发微博"}'
+FORMS = (
+    (f"[{_A}, {_B}]", "ok_repaired", "direct_json", 2, "ok", "ok", "a|b"), (f"[{_A}, {_B}, {_A}]", "ok_repaired", "direct_json", 2, "ok", "ok", "a|b"),
+    (f"[{_A}, {_B},]", "ok_repaired", "slice_json_array_fix_commas", 2, "ok_repaired", "parse_fail_json", f"[{_A}, {_B},]"), (f"so: [{_A}] ok?", "ok_repaired", "slice_json_array", 1, "ok_repaired", "parse_fail_json", f"so: [{_A}] ok?"),
+    (_A, "ok_repaired", "wrapped_as_list", 1, "parse_fail_not_list", "parse_fail_not_list", "a"), (f"[{_A}, {{\"user_na", "parse_fail_json", "fail", 0, "ok_repaired", "parse_fail_json", f"[{_A}, {{\"user_na"),
+    (f"[INTERACT=1]\n[{_A}]", "ok_repaired", "peeled_header_bracket;direct_json", 1, "parse_fail_json", "parse_fail_json", f"[INTERACT=1]\n[{_A}]"), ("INTERACT=0", "no_interaction", "peeled_header_nobracket", 0, "parse_fail_json", "parse_fail_json", "INTERACT=0"),
+    (f"```json\n[{_A}]\n```", "ok_repaired", "direct_json", 1, "ok_repaired", "parse_fail_json", f"```json\n[{_A}]\n```"), ("无人互动", "empty", "explicit_empty", 0, "no_interaction", "no_interaction", "无人互动"), ("[]", "empty", "explicit_empty", 0, "empty", "empty", ""),
+    ('[{"user_name": "", "content": "", "type": "评论"}]', "empty", "direct_json;empty_after_filter", 0, "parse_fail_bad_field", "parse_fail_bad_field", ""), ('[{"user_name": "a", "content": "", "type": "赞"}]', "parse_fail_bad_field", "direct_json;bad_field", 0, "parse_fail_bad_field", "parse_fail_bad_field", "a"),
+    ('[{"user_name": 1, "content": "", "type": "评论"}]', "parse_fail_field_not_str", "direct_json;field_not_str", 0, "parse_fail_field_not_str", "parse_fail_field_not_str", None), ("[1]", "parse_fail_item_not_dict", "direct_json;item_not_dict", 0, "parse_fail_item_not_dict", "parse_fail_item_not_dict", ""),
+    ("", "parse_fail_empty", "empty_output", 0, "parse_fail_empty", "parse_fail_empty", ""), ("words", "parse_fail_json", "fail", 0, "parse_fail_json", "parse_fail_json", "words"),
+)
+
+
+def _formed(spark: SparkSession, d: str, skip: tuple[int, ...] = ()) -> DataFrame:
+    kept = [f[0] for i, f in enumerate(FORMS) if i not in skip]
+    return table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, kept)), (F.col("event_id") % len(kept)).cast("int")).alias("output"))
+
+
+def _expected(*columns: tuple[int, str], skip: tuple[int, ...] = ()) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    kept = [f for i, f in enumerate(FORMS) if i not in skip]
+    return "SELECT event_id, " + ", ".join(f"[{', '.join(cell(f[at]) for f in kept)}][event_id % {len(kept)} + 1] AS {name}" for at, name in columns) + " FROM events"
+
+
+@query(_expected((1, "status"), (2, "note"), (3, "n_items")))
 def r1_r5_r6_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs mended by the ladder, with the way each was read."""
+    """Outputs mended, with the way each was read."""
+    out = _formed(spark, d).select("event_id", lenient.cleaned(F.col("output")).alias("c"))
+    return out.select("event_id", "c.status", "c.note", F.size("c.items").alias("n_items"))
+
+
+@query()
+def r1_r5_cleaned_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the outputs of rollouts."""
     out = table(spark, d, "rollout").select("rollout_id", lenient.cleaned(F.col("output_text")).alias("c"))
     return out.select("rollout_id", F.size("c.items").alias("n_items"), "c.status", "c.note", "c.sound")
 
 
-@query()
+@query(_expected((4, "status")))
 def r3_r7_checked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rollout").select("rollout_id", lenient.checked_status(F.col("output_text")).alias("status"))
+    return _formed(spark, d).select("event_id", lenient.checked_status(F.col("output")).alias("status"))
 
 
-@query()
+@query(_expected((5, "status")))
 def r8_r27_checked_plain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rollout").select("rollout_id", lenient.checked_status(F.col("output_text"), mend=False).alias("status"))
+    return _formed(spark, d).select("event_id", lenient.checked_status(F.col("output"), mend=False).alias("status"))
 
 
-@query()
+@query(_expected((6, "names"), skip=(13,)))
 def r11_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rollout").select("rollout_id", lenient.loose_names(F.col("output_text")).alias("names"))
+    """Names of a loose structure; words that are no structure are a name themselves."""
+    return _formed(spark, d, skip=(13,)).select("event_id", F.array_join(lenient.loose_names(F.col("output")), "|").alias("names"))
 
 
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'parse_fail_bad_field' WHEN 'click' THEN 'parse_fail_json' ELSE 'ok' END AS status FROM events) GROUP BY status""")

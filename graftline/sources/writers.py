@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG_KEYS = ("ts", "group_id", "trajectory_id", "depth", "report_depth", "input_text", "output_text", "step_reward")
 
@@ -39,7 +37,31 @@ def append_log(df: DataFrame, path: str) -> None:
     df.select(*[c for c in LOG_KEYS if c in df.columns]).write.mode("append").json(path)
 
 
-def pretty_json(df: DataFrame, path: str, n: int = 10_000) -> None:
-    """An indented JSON array of at most n rows, for reading by eye."""
-    rows = [json.loads(r.cell) for r in df.limit(n).select(F.to_json(F.struct("*")).alias("cell")).collect()]
-    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
+def pretty_json(df: DataFrame, path: str, n: int) -> None:
+    """One file with an indented JSON array of the first n rows, for reading by eye; n bounds what one task writes."""
+    rows = df.limit(n).select(F.struct("*").alias("row")).agg(F.collect_list("row").alias("rows"))
+    rows.select(F.to_json("rows", {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def typed_samples(rows: DataFrame) -> DataFrame:
+    """Rows of samples as the sink has them: missing lists empty, the origin as JSON text."""
+    out = rows
+    for name in ("targets_per_potential_types", "targets_comment_texts"):
+        if name in rows.columns:
+            out = out.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    if "sft_chunk_info" in rows.columns and not isinstance(rows.schema["sft_chunk_info"].dataType, T.StringType):
+        out = out.withColumn("sft_chunk_info", F.to_json("sft_chunk_info"))
+    return out
+
+
+def parquet_somehow(df: DataFrame, path: str, codecs: tuple[str, ...] = ("zstd", "snappy", "gzip", "uncompressed")) -> str:
+    """Parquet with the first codec that this cluster has; gives its name."""
+    for codec in codecs:
+        try:
+            parquet(df, path, codec)
+        except Exception:
+            if codec == codecs[-1]:
+                raise
+            continue
+        return codec
+    raise ValueError("no codec given")

@@ -189,7 +189,7 @@ def test_readers_and_writers(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.jsonl_strict(spark, path("a.json"), "a int").collect()
     (tmp_path / "log.txt").write_text("\x1b[36mone\x1b[0m\ntwo\n")
-    assert [r.line for r in readers.text_lines(spark, path("log.txt")).orderBy("line_no").collect()] == ["one", "two", ""]
+    assert [r.line for r in readers.text_lines(spark, path("log.txt")).orderBy("line_no").collect()] == ["one", "two"]
     assert readers.first_lines(spark, path("log.txt"), 1).count() == 1
     writers.pretty_json(spark.range(3), path("p.json"), 2)
     assert (tmp_path / "p.json").read_text().count('"id"') == 2
