@@ -18,8 +18,10 @@ numbers are left out; null record ids give no evidence.
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -77,22 +79,27 @@ def _values(wanted: DataFrame, ingested: DataFrame) -> DataFrame:
         F.struct((F.col("file_seq") - 1).cast("int").alias("file_seq"), F.lit(0).alias("side"), F.col("old_path").alias("at")),
         F.struct(F.col("file_seq").cast("int").alias("file_seq"), F.lit(1).alias("side"), F.col("new_path").alias("at")),
     )).alias("s")).select("feed", "s.file_seq", F.struct("pair_seq", "old_path", "new_path", "s.side", "s.at").alias("want"))
-    per_file = sides.groupBy("feed", "file_seq").agg(F.collect_list("want").alias("wants"))  # bounded by the paths of a file
+    per_file = sides.groupBy("feed", "file_seq").agg(F.to_json(F.collect_list("want")).alias("wants"))  # bounded by the paths of a file
     hit = ingested.where("record_id IS NOT NULL AND _status = 'ok'").select("feed", "file_seq", "record_id", *TARGET, "_rescued", "_written").join(per_file, ["feed", "file_seq"])
     fields = {"feed": pa.string(), "pair_seq": pa.int32(), "old_path": pa.string(), "new_path": pa.string(), "record_id": pa.string(), "side": pa.int32(), "rel": pa.string(), "value": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            read = lru_cache(maxsize=1024)(json.loads)  # the same for all lines of a file
+            asked = [read(x) for x in batch.column("wants").to_pylist()]
+            tops = {re.split(r"[.\[]", w["at"], maxsplit=1)[0] for wants in asked for w in wants}
+            typed = {k: batch.column(k).to_pylist() for k in TARGET if k in tops}
+            rescued, written, feeds, records = (batch.column(c).to_pylist() for c in ("_rescued", "_written", "feed", "record_id"))
             rows = []
-            for row in batch.to_pylist():
-                held = values({k: row[k] for k in TARGET}, *(json.loads(row[c]) if row[c] else {} for c in ("_rescued", "_written")))
+            for n, wants in enumerate(asked):
+                held = values({k: x[n] for k, x in typed.items()}, json.loads(rescued[n]) if rescued[n] else {}, json.loads(written[n]) if written[n] else {})
                 flat = [(path, where, v) for path, _, where, v in held if not isinstance(v, dict | list)]
-                for w in row["wants"]:
+                for w in wants:
                     at = w["at"]
                     for path, where, v in flat:
                         if path == at or below(path, at):
                             rel = f"{path[len(at):]} {where}"
-                            rows.append((row["feed"], w["pair_seq"], w["old_path"], w["new_path"], row["record_id"], w["side"], rel, xxhash.xxh3_64_intdigest(json.dumps(v)) - 2**63))
+                            rows.append((feeds[n], w["pair_seq"], w["old_path"], w["new_path"], records[n], w["side"], rel, xxhash.xxh3_64_intdigest(json.dumps(v)) - 2**63))
             cells = list(zip(*rows)) or [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, fields.values())], list(fields))
 

@@ -70,6 +70,24 @@ def leaves(value: object, path: str, where: tuple[int, ...] = ()) -> Iterator[tu
             todo.extend((x, f"{p}[]", (*w, i)) for i, x in enumerate(v))
 
 
+def path_kinds(value: dict) -> list[str]:
+    """The distinct ``kind path`` of all below the object that is not null, in order."""
+    found: set[tuple[int, str]] = set()
+    todo = [(value, "")]
+    while todo:
+        v, p = todo.pop()
+        if isinstance(v, dict):
+            inner = [(x, f"{p}.{k}" if p else k) for k, x in v.items() if x is not None]
+        else:
+            at = f"{p}[]"
+            inner = [(x, at) for x in v if x is not None]
+        for x, at in inner:
+            found.add((_KINDS[type(x)], at))
+            if x and isinstance(x, dict | list):
+                todo.append((x, at))
+    return sorted(f"{kind} {p}" for kind, p in found if p)
+
+
 def cast(value: object, kind: str) -> tuple[object, bool]:
     """(typed value, whether it could be cast); text of whole numbers casts to bigint, numbers and truth values to their JSON text."""
     if value is None:
@@ -263,7 +281,7 @@ def ingest(lines: DataFrame) -> DataFrame:
         for batch in batches:
             parsed = [parse_line(x) for x in batch.column("line").to_pylist()]
             parts = [enforce(v) if v is not None else ({}, {}, {}) for _, v in parsed]
-            paths = [sorted({f"{kind} {p}" for p, kind, _, _ in leaves(v, "") if p}) if v is not None else [] for _, v in parsed]
+            paths = [path_kinds(v) if v is not None else [] for _, v in parsed]
             cells = [batch.column(n) for n in names] + [pa.array([s for s, _ in parsed], pa.string())]
             cells += [pa.array([t.get(k) for t, _, _ in parts], kind) for k, kind in kinds.items()]
             cells += [pa.array([json.dumps(p[i], ensure_ascii=False) if p[i] else None for p in parts], pa.string()) for i in (1, 2)]
