@@ -46,7 +46,9 @@ def file_paths(ingested: DataFrame) -> DataFrame:
     """(feed, file_seq, file_name, path, kinds) of every file."""
     each = ingested.where("feed IS NOT NULL AND file_seq IS NOT NULL").select("feed", "file_seq", "file_name", F.explode("_paths").alias("entry"))
     kind, path = F.substring_index("entry", " ", 1).cast("int"), F.expr("substring(entry, instr(entry, ' ') + 1)")
-    return each.groupBy("feed", "file_seq", path.alias("path")).agg(F.min("file_name").alias("file_name"), F.bit_or(kind).alias("kinds"))
+    # the least name of a file's lines is taken from the few rows that are left, as it would make the first step sort
+    named = each.groupBy("feed", "file_seq", "file_name", path.alias("path")).agg(F.bit_or(kind).alias("kinds"))
+    return named.groupBy("feed", "file_seq", "path").agg(F.min("file_name").alias("file_name"), F.bit_or("kinds").alias("kinds"))
 
 
 def _possible(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str]]:
