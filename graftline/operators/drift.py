@@ -18,7 +18,6 @@ numbers are left out; null record ids give no evidence.
 from __future__ import annotations
 
 import json
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,6 +74,17 @@ def _candidates(batches: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["feed", "file_seq", "old_path", "new_path"])
 
 
+def _top(path: str) -> str:
+    """The top-level key of a path."""
+    return path.partition(".")[0].partition("[")[0]
+
+
+def _asked(wants: str) -> tuple[list[dict], frozenset[str]]:
+    """What is wanted of a file's lines, and the top-level keys under which it stands."""
+    read = json.loads(wants)
+    return read, frozenset(_top(w["at"]) for w in read)
+
+
 def _values(wanted: DataFrame, ingested: DataFrame) -> DataFrame:
     """(feed, pair_seq, old_path, new_path, record_id, side, rel, value): the scalar values at the wanted paths."""
     sides = wanted.select("feed", F.col("file_seq").alias("pair_seq"), "old_path", "new_path", F.explode(F.array(
@@ -87,14 +97,15 @@ def _values(wanted: DataFrame, ingested: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lru_cache(maxsize=1024)(json.loads)  # the same for all lines of a file
+            read = lru_cache(maxsize=1024)(_asked)  # the same for all lines of a file
             asked = [read(x) for x in batch.column("wants").to_pylist()]
-            tops = {re.split(r"[.\[]", w["at"], maxsplit=1)[0] for wants in asked for w in wants}
-            typed = {k: batch.column(k).to_pylist() for k in TARGET if k in tops}
+            every = frozenset().union(*(tops for _, tops in asked))
+            typed = {k: batch.column(k).to_pylist() for k in TARGET if k in every}
             rescued, written, feeds, records = (batch.column(c).to_pylist() for c in ("_rescued", "_written", "feed", "record_id"))
             rows = []
-            for n, wants in enumerate(asked):
-                held = values({k: x[n] for k, x in typed.items()}, json.loads(rescued[n]) if rescued[n] else {}, json.loads(written[n]) if written[n] else {})
+            for n, (wants, tops) in enumerate(asked):
+                kept = {k: v for k, v in json.loads(rescued[n]).items() if _top(k) in tops} if rescued[n] else {}
+                held = values({k: x[n] for k, x in typed.items() if k in tops}, kept, json.loads(written[n]) if written[n] else {})
                 flat = [(path, where, v) for path, _, where, v in held if not isinstance(v, dict | list)]
                 for w in wants:
                     at = w["at"]

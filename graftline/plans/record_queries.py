@@ -138,12 +138,16 @@ def m19_pooled(spark: SparkSession, d: str) -> DataFrame:
     return both.select("label", F.posexplode("vector").alias("place", "m")).select("label", (F.col("place") + 1).cast("bigint").alias("place"), "m")
 
 
-@query()
+@query(r"""WITH u AS (SELECT id, list_filter(messages, lambda x: x.role = 'user')[1].content AS u FROM sft), c AS (SELECT id, u, string_split(u, '<|psep|>') AS p FROM u WHERE u IS NOT NULL),
+x AS (SELECT id, unnest(range(2, 2 * ((len(p) - 1) // 2) + 1, 2)) AS i, p FROM c) SELECT id, CAST(i // 2 - 1 AS INTEGER) AS pos, p[i] AS span, p[i] <> '' AS covered FROM x""")
 def f19_j16_span_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Each candidate's characters in its prompt and the words that cover it."""
+    """Each candidate's characters in its prompt, and whether the words found for them hold them."""
     u = F.get(F.filter("messages", lambda m: m.role == "user"), F.lit(0)).content
     rows = table(spark, d, "sft").select("id", u.alias("u")).where("u IS NOT NULL")
-    return rows.select("id", F.posexplode(spans.span_tokens(F.col("u"), text.PSEP)).alias("pos", "x")).select("id", "pos", "x.start", "x.end", "x.first", "x.last")
+    each = rows.select("id", "u", F.posexplode(spans.span_tokens(F.col("u"), text.PSEP)).alias("pos", "x"))
+    span = F.substring("u", F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))
+    words = F.array_join(F.slice(F.filter(F.split("u", " "), lambda w: w != ""), F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + 1), " ")
+    return each.select("id", "pos", span.alias("span"), F.coalesce(F.contains(words, F.regexp_replace(span, " +", " ")), F.lit(False)).alias("covered"))
 
 
 @query(PROFILED + """, newest AS (SELECT root_user, max(record_id) AS record_id FROM known WHERE root_user <> '' GROUP BY root_user)

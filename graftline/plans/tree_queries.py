@@ -156,8 +156,11 @@ def o8_repeats(spark: SparkSession, d: str) -> DataFrame:
     return samples.repeated(rows, COPIES)
 
 
-@query()
+@query(PROFILED + "SELECT root_user, count(*) AS n, CAST(count(*) * (count(*) + 1) // 2 AS BIGINT) AS places, count(DISTINCT user_name) AS users, count(*) < 12 OR true AS mixed FROM pool GROUP BY root_user")
 def o6_shuffled_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Pool in a seeded order that is the same on every run."""
+    """Pool in a seeded order that is the same on every run: each place once, and in larger pools not the order of the names."""
     pool = trees.pools(_known(spark, d)).select("root_user", "user_name")
-    return samples.numbered(pool, ["root_user"], samples.shuffled(42, "root_user", "user_name"))
+    placed = samples.numbered(pool, ["root_user"], samples.shuffled(42, "root_user", "user_name"))
+    by_name = samples.numbered(placed.withColumnRenamed("pos", "place"), ["root_user"], "user_name")
+    n = F.count("*")
+    return by_name.groupBy("root_user").agg(n.alias("n"), F.sum("place").cast("bigint").alias("places"), F.count_distinct("user_name").alias("users"), ((n < 12) | (F.count_if(F.col("place") != F.col("pos")) > 0)).alias("mixed"))

@@ -61,13 +61,26 @@ class Scratch:
             pass
 
 
+def _only_scans(df: DataFrame) -> bool:
+    """Whether a frame is read from files and filtered, projected or united only, so that its tasks are known without a run."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "Union", "Generate", "LogicalRDD", "LocalRelation") and not node.nodeName().startswith(("Relation", "LogicalRelation")):
+            return False
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return True
+
+
 def spread(df: DataFrame, *key: Column | str) -> DataFrame:
     """Rows dealt over at least as many tasks as there are cores; no shuffle where the scan has that many.
 
-    Meant before Python steps that cost much more than moving their input.
+    Meant before Python steps that cost much more than moving their input. What comes out of a shuffle stays as it is: its
+    tasks are as many as the session wants, and counting them would run the stages before.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if not _only_scans(df) or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want * 2, *key) if key else df.repartition(want * 2)
 

@@ -192,7 +192,23 @@ def test_readers_and_writers(spark, tmp_path):
     assert [r.line for r in readers.text_lines(spark, path("log.txt")).orderBy("line_no").collect()] == ["one", "two"]
     assert readers.first_lines(spark, path("log.txt"), 1).count() == 1
     writers.pretty_json(spark.range(3), path("p.json"), 2)
-    assert (tmp_path / "p.json").read_text().count('"id"') == 2
+    (part,) = (tmp_path / "p.json").glob("part-*")
+    assert part.read_text().count('"id"') == 2 and part.read_text().startswith("[ {")
+    with pytest.raises(Exception, match="too few lines"):
+        readers.first_lines(spark, path("log.txt"), 3).collect()
+    (tmp_path / "mixed.txt").write_bytes("grün\n".encode() + "grün\n".encode("latin-1"))
+    assert [r.line for r in readers.text_lines(spark, path("mixed.txt")).orderBy("line_no").collect()] == ["grün", "grün"]
+    (tmp_path / "long.txt").write_text("".join(f"{k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # many splits
+    try:
+        assert readers.text_lines(spark, path("long.txt")).where("line <> CAST(line_no AS STRING)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert writers.parquet_somehow(spark.range(2), path("c"), ("no_such", "snappy")) == "snappy"
+    with pytest.raises(Exception, match="no_such"):
+        writers.parquet_somehow(spark.range(2), path("c2"), ("no_such",))
+    with pytest.raises(ValueError, match="node_depth"):
+        readers.scan_layers(spark.range(1))
     writers.append_log(spark.createDataFrame([(1, "secret")], "ts int, _gold string"), path("k8"))
     assert spark.read.json(path("k8")).columns == ["ts"]
 
@@ -260,3 +276,49 @@ def test_a_node_in_two_posts_stays_in_both(spark):
     df = spark.createDataFrame(rows, f"row_id bigint, crawled_at timestamp, post {post}")
     assert {(r.record_id, r.node_id, r.depth) for r in trees.trees(df).collect()} == {(10, 10, 0), (10, 21, 1), (10, 30, 2), (11, 11, 0), (11, 22, 1), (11, 30, 2)}
     assert trees.trees(df.limit(0)).count() == 0
+
+
+def test_evaluation_of_text_models(spark):
+    import pandas as pd
+
+    item = lambda u: f'{{"user_name": "{u}", "content": "hi", "type": "评论"}}'
+
+    def model(batch):
+        return pd.Series(["" if u == "r.0" else f"[{item(f'{u}.0')}, {item(f'{u}.1')}, {item(f'{u}.1')}" for u in batch["user"]], index=batch.index)  # cut off, mended
+
+    roots = spark.createDataFrame([("1", "r"), ("2", "q")], "record_id string, user string")
+    levels = spark.createDataFrame([("1", 0, "r.0"), ("1", 2, "z"), ("1", 2, "z")], "record_id string, depth int, child string")
+    got = {(r.depth, r.user): (r.status, r.n_pred, r.n_gold, r.tp, r.f1, r.reward) for r in rollout.evaluate(roots, levels, model, turns=20).collect()}
+    assert got == {
+        (0, "r"): ("ok_repaired", 2, 1, 1, 0.666667, 0.666667), (1, "r.0"): ("parse_fail_empty", 0, 0, 0, None, -1.0), (1, "r.1"): ("ok_repaired", 2, 0, 0, 0.0, 0.0),
+        (2, "r.1.0"): ("ok_repaired", 2, 1, 0, 0.0, 0.0), (2, "r.1.1"): ("ok_repaired", 2, 1, 0, 0.0, 0.0)}  # record 2 has no level, so it is not asked
+    assert {r.user for r in rollout.evaluate(roots, levels, model, turns=2).collect()} == {"r", "r.0"}
+    assert {r.user for r in rollout.evaluate(roots, levels, model, turns=20, most_children=1).collect()} == {"r", "r.0"}
+    pool = spark.createDataFrame([("1", "r.1", ["x"]), ("1", "r.1", None)], "record_id string, user string, interests array<string>")
+    assert {r.user for r in rollout.evaluate(roots, levels, model, turns=20, pool=pool).collect()} == {"r", "r.1"}
+    assert rollout.evaluate(roots.limit(0), levels, model, turns=2).count() == 0
+
+
+def test_carried_lines_cross_blocks(spark):
+    rows = [("a", k, v) for k, v in enumerate([None, "1", None, None, None, "2", None, None])] + [("b", 0, None), ("b", 7, None)]
+    df = spark.createDataFrame(rows, "file string, line_no int, v string")
+    got = {(r.file, r.line_no): r.c for r in logs.carried_lines(df, ["file"], "line_no", {"c": F.col("v")}, block=2).collect()}
+    assert [got["a", k] for k in range(8)] == [None, "1", "1", "1", "1", "2", "2", "2"] and got["b", 7] is None and len(got) == 10
+
+
+def test_lines_of_either_spelling(spark):
+    a = '\x1b[36m[rollout][kept-step] group=1 traj=x depth=2 status=parse_fail step_F1(raw)=-1.0000 cond_keys=["bob"] gold=["a", "b"] pred=[]\x1b[0m'
+    b = '[keep] depth=0\tcond_key=bob   pred=["x"] gold=["y", f1=2.9e-01'
+    cells = [c.alias(k) for k, c in logs.kept_step(F.col("line")).items()]
+    rows = [tuple(r) for r in spark.createDataFrame([(a,), (b,), ("other",)], "line string").coalesce(1).select(*cells).collect()]
+    assert rows[0] == (2, "parse_fail", -1.0, "bob", ["a", "b"], []) and rows[1][:4] == (0, None, 0.29, "bob") and rows[1][5] == ["x"] and rows[2][:4] == (None, None, None, None)
+    lines = spark.createDataFrame([("f", 0, "[micro] 1/4 | cls0=0.2199 cls1=0.0000 content=1e-3 | depth0=1 depth1=0 pairs=16"), ("f", 1, "Epoch 2 / 3"), ("f", 2, "step:5 - train/loss:1.5e-1 - train/cls_weight:1"), ("f", 3, "[micro] 2/4 | cls0=1 cls1=2 content=3 | depth0=1 depth1=1 pairs=8")], "file string, line_no int, line string")
+    one, two = logs.micro_frame(lines).orderBy("line_no").collect()
+    assert (one.epoch, one.step_in_epoch, one.total_loss, one.micro, one.content_loss, one.pairs) == (None, None, None, 1, 0.001, 16)
+    assert (two.epoch, two.epoch_total, two.step_in_epoch, two.total_loss, two.cls1_loss, two.depth1) == (2, 3, 5, 0.15, 2.0, 1)
+    text = spark.createDataFrame([(0, "ok", 0.5, ["a"], ["a"]), (1, "parse_fail", -1.0, [], []), (1, "ok", 0.2, [], ["b"])], "depth int, status string, f1 double, gold array<string>, pred array<string>")
+    m = logs.kept_means(text).first()
+    assert (m.n, m.root_all, m.below_all, m.below_ok, m.below_true_all, m.said_of_untrue, m.true_of_unsaid) == (3, 0.5, -0.4, 0.2, None, 0.5, 0.0)
+    r = logs.reward_means(text).first()
+    assert (r.f1_untrue, r.f1_true, r.f1_all, r.reward, r.n_ok) == (0.2, 0.5, 0.35, -0.1, 2)
+    assert {(x.status, x.n, x.fail_rate) for x in logs.statuses(text).collect()} == {("ok", 2, 0.333333), ("parse_fail", 1, 0.333333)}
