@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graftline.runtime import Scratch
+from graftline.runtime import Scratch, join_one
 
 WALKS, SPLITTER, ROOT, CYCLE = 0, 1, 2, 3
 
@@ -138,7 +138,7 @@ def resolve(nodes: DataFrame, rate: int = 8, with_path: bool = False) -> DataFra
 
     met = final.select(F.col("id").alias("parent"), F.col("ptr").alias("m_ptr"), F.col("dist").alias("m_dist"), F.col("end").alias("m_end"), *([F.col("path").alias("m_path")] if with_path else []))
     cyclic = F.coalesce(F.col("m_end") == CYCLE, F.lit(False))
-    out = kids.join(met, "parent", "left")
+    out = join_one(kids, met, "parent", "id", "left")  # one node may have a third of all as children
     up = [F.when(~cyclic, F.concat(F.reverse(F.concat(F.array("parent"), F.coalesce("m_path", F.array().cast("array<bigint>")))), F.array("id"))).alias("path")] if with_path else []
     below = out.select("id", F.coalesce("m_ptr", "parent").alias("root_id"), F.when(cyclic, -1).otherwise(F.coalesce("m_dist", F.lit(0)) + 2).cast("bigint").alias("node_depth"), *up)
     top = links.where("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(1).cast("bigint").alias("node_depth"), *([F.array("id").alias("path")] if with_path else []))

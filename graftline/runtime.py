@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,6 +86,37 @@ def spread(df: DataFrame, *key: Column | str) -> DataFrame:
     return df.repartition(want * 2, *key) if key else df.repartition(want * 2)
 
 
+#: Share of a frame's rows, one in so many, above which a key is split; so many keys at most can be above it.
+HOT = 1000
+
+
+def hot_keys(many: DataFrame, key: str) -> DataFrame:
+    """(key, _salts) of the keys with more than one in HOT rows of many: fewer than HOT, whatever the size, so that their
+    table may be broadcast. Reads ``many`` twice: it should be a table of files."""
+    total = many.count()
+    shares = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total)
+    rows = [(r[0], -(-r[1] * HOT // total)) for r in shares.collect()]
+    return many.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, many.schema[key].dataType), T.StructField("_salts", T.LongType())]))
+
+
+def dealt(many: DataFrame, hot: DataFrame, key: str, salt: str) -> DataFrame:
+    """many with ``_salt``, by which the rows of a hot key are dealt out by a hash of the column ``salt``."""
+    salts = F.coalesce("_salts", F.lit(1))
+    return many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), salts)).drop("_salts")
+
+
+def copied(one: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """one, with one row a key, repeated for each salt of a hot key."""
+    salts = F.coalesce("_salts", F.lit(1))
+    return one.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has one row a key, so that no task gets more than about one in HOT rows of many."""
+    hot = hot_keys(many, key)
+    return dealt(many, hot, key, salt).join(copied(one, hot, key), [key, "_salt"], how).drop("_salt")
+
+
 def clean_strip(c: Column) -> Column:
     """White space of any script cut from both ends (plain ``trim`` cuts spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
