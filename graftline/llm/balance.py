@@ -5,6 +5,8 @@ user tells its records the least label among them, the old label hears of it too
 labels' labels, so chains collapse in few rounds. Users of a single record join nothing and are left out first, which
 leaves a small graph. Rounds are written to the shared folder.
 
+Users and components with more than a thousandth of the rows are salted in the joins.
+
 Balance, by largest differencing: the weights of the components (their rows) are brought to a bounded number of
 packets, light components by hash, each heavy one by itself. The packets are combined into many equal bins: partial
 solutions are ordered by the spread of their bins, and the two of widest spread are combined again and again, the
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graftline.runtime import Scratch, clean_strip
+from graftline.runtime import Scratch, clean_strip, copied, dealt, hot_keys, join_one
 
 PACKETS, BINS = 2048, 64
 
@@ -43,12 +45,14 @@ def keyed(rows: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct pairs(record, user) to (record, label) of the records that are joined to another."""
     shared = pairs.groupBy("user").agg(F.count("*").alias("n")).where("n > 1").select("user")
-    edges = scratch.write(pairs.join(shared, "user", "left_semi"))
+    plain = scratch.write(pairs.join(shared, "user", "left_semi"))
+    hot = hot_keys(plain, "user")  # one user may have a third of all records
+    edges = scratch.write(dealt(plain, hot, "user", "record"))
     labels = scratch.write(edges.select("record", F.col("record").alias("label")).distinct())
     while True:
         told = edges.join(labels, "record")
         least = told.groupBy("user").agg(F.min("label").alias("least"))
-        heard = told.join(least, "user").where("least < label")
+        heard = told.join(copied(least, hot, "user"), ["user", "_salt"]).where("least < label")
         news = heard.select("record", F.col("least").alias("label")).unionByName(heard.select(F.col("label").alias("record"), F.col("least").alias("label")))
         best = labels.unionByName(news).groupBy("record").agg(F.min("label").alias("label"), F.max("label").alias("old"))
         hop = best.select(F.col("record").alias("label"), F.col("label").alias("further"))
@@ -69,10 +73,10 @@ def groups(rows: DataFrame) -> DataFrame:
     own = seen.select("record", F.concat(F.lit("i"), "id").alias("user")).distinct()
     pairs = seen.where("user IS NOT NULL").select("record", F.concat(F.lit("u"), "user").alias("user")).distinct()
     labels = components(pairs.unionByName(own), scratch)
-    labelled = seen.groupBy("id").agg(F.min("record").alias("record"), F.sum("weight").alias("weight")).join(labels, "record", "left").select(
-        "id", "weight", F.coalesce("label", "record").alias("label"))
+    labelled = scratch.write(seen.groupBy("id").agg(F.min("record").alias("record"), F.sum("weight").alias("weight")).join(labels, "record", "left").select(
+        "id", "weight", F.coalesce("label", "record").alias("label")))
     least = labelled.groupBy("label").agg(F.min("id").alias("group_id"))
-    return labelled.join(least, "label").select("id", "group_id", "weight")
+    return join_one(labelled, least, "label", "id").select("id", "group_id", "weight")  # one component may hold most rows
 
 
 @dataclass(order=True)
