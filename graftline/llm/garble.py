@@ -73,6 +73,8 @@ _WIDE, _TRAILED = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f](?:[^\x
 #: Share of the commonest characters from which a reading is likely, and how near a rival may come.
 LIKELY, RIVAL = 0.12, 0.5
 LOST = "�"
+#: What è and ë become in GBK: nouns that right text, too, puts right after a Latin word.
+_NOUNS = frozenset(x.encode().decode("gb18030") for x in "èë")
 #: Signs that Russian letters become in another Cyrillic code page.
 _PAGES = re.compile(r"[Ѐ-ӿ─-▟]{3}")
 _RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
@@ -304,7 +306,7 @@ class Finder:
         if got and sum(e - s for s, e, _ in got) > 4 * others:  # few chance forms at most
             found = [(pages, got)]
         # the pair that explains most of a text comes first, of readings of the same bytes the likeliest; the others fill what they leave
-        rank = {pair: (-sum(e - s for s, e, _ in got) * (0.5 + likely.get(pair, 1.0)), pair[0] != "unit", self.order.get(pair[1], 99)) for pair, got in found}
+        rank = {pair: (-sum(e - s for s, e, _ in got) * (0.5 + likely.get(pair, 1.0)), pair[0] != "unit", -sum(c in _USUAL for _, _, c in got if c), self.order.get(pair[1], 99)) for pair, got in found}
         weight = {pair: likely[pair] * sum(e - s for s, e, _ in got) for pair, got in found if pair in likely}
         taken = bytearray(len(text))
         out = []
@@ -318,7 +320,7 @@ class Finder:
 
     def _stretch(self, text: str, pair: tuple[str, str], got: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str]]:
         """Whole stretches of characters above ASCII read back in a pair that is proven: in the whole text where the
-        proof covers half of such characters, else from the first to the last proven span."""
+        proof covers half of such characters, else from the first to the last proven span and what they hang together with."""
         kind, wrong = pair
         true = "utf-8" if kind in ("unit", "plain") else kind.partition(" ")[2]
         if not true or wrong not in self.bytes:
@@ -327,13 +329,19 @@ class Finder:
         low, high = (0, len(text)) if 2 * sum(not x.isascii() for s, e, _ in got for x in text[s:e]) >= wide else (min(s for s, _, _ in got), max(e for _, e, _ in got))
         out = []
         latin = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalpha()
+        inner = (low, high)
+        while low and not text[low - 1].isascii():
+            low -= 1
+        while high < len(text) and not text[high].isascii():
+            high += 1
         for m in (_TRAILED if true in ("big5", "cp932") else _WIDE).finditer(text, low, high):
-            for end in (m.end(), m.end() - 1) if m[0][-1].isascii() else (m.end(),):
-                if true != "utf-8" and true not in _TWO_BYTES and (latin(m.start() - 1) or latin(end)):  # a Latin word's own accent
+            ends = [(m.start(), m.end()), (m.start(), m.end() - 1)] if m[0][-1].isascii() else [(m.start(), m.end()), (max(m.start(), inner[0]), min(m.end(), inner[1]))]
+            for start, end in dict.fromkeys(ends):
+                if true != "utf-8" and true not in _TWO_BYTES and (latin(start - 1) or latin(end)):  # a Latin word's own accent
                     break
-                back = self._read(text[m.start() : end], true, wrong)
+                back = self._read(text[start:end], true, wrong) if start < end else None
                 if back:
-                    out.append((m.start(), end, back))
+                    out.append((start, end, back))
                     break
         return out
 
@@ -374,6 +382,23 @@ class Finder:
             if span:
                 out.append(span)
                 reach = span[1]
+        return out + self._beside(text, wrong, at, out) if out else out
+
+    def _beside(self, text: str, wrong: str, at: dict[int, tuple[int, str]], proven: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
+        """Characters too short to be proof by themselves, of the kinds that are proven elsewhere in the text, apart from other
+        wide characters."""
+        kinds = {_kind(c) for _, _, found in proven for c in found or ""} - {""}
+        taken = {i for s, e, _ in proven for i in range(s, e)}
+        ends = {s for s, _, _ in proven} | {e for _, e, _ in proven}
+        apart = lambda i, edge: not 0 <= i < len(text) or text[i].isascii() or edge in ends
+        out, reach = [], -1
+        for s in sorted(at):
+            if s < reach or s in taken or not apart(s - 1, s):
+                continue
+            span = self._pairwise(text, s, wrong, known=True)
+            if span and span[2] and apart(span[1], span[1]) and taken.isdisjoint(range(s, span[1])) and all(c.isascii() or _kind(c) in kinds for c in span[2]):
+                out.append(span)
+                reach = span[1]
         return out
 
     @staticmethod
@@ -430,7 +455,7 @@ class Finder:
                 return [(m.start(m.lastgroup), m.end(m.lastgroup), marks[m[m.lastgroup]]) for m in hits]
         return []
 
-    def _pairwise(self, text: str, start: int, wrong: str) -> tuple[int, int, str | None] | None:
+    def _pairwise(self, text: str, start: int, wrong: str, known: bool = False) -> tuple[int, int, str | None] | None:
         """The longest stretch from ``start`` whose bytes in ``wrong`` are UTF-8 of common characters."""
         i, n, raw, ends, lost = start, len(text), bytearray(), [], False
         chars: list[str] = []
@@ -477,7 +502,7 @@ class Finder:
                 good_end = i
                 ends.append(i)
         wide = [c for c in chars if not c.isascii()]
-        if not self._proof(text, start, good_end, wide, lost):
+        if not wide or not known and not self._proof(text, start, good_end, wide, lost):
             return None
         end = max(good_end, start + 1)
         return start, end, None if lost or raw else "".join(chars)
@@ -500,7 +525,7 @@ class Finder:
             tail = text[end : end + 3]
             return left.isascii() and left.isalpha() and (not right or right.isascii()) or not left.isalnum() and len(tail) == 3 and tail.isascii() and tail.islower()
         if len(wide) == 1 and wide[0].isalpha() and wide[0] in _ACCENTED:
-            return (left.isascii() and left.isalpha()) and (not right or right.isascii()) and text[start] not in "猫毛"
+            return (left.isascii() and left.isalpha()) and (not right or right.isascii()) and (text[start] not in _NOUNS or right.isalpha())
         return False
 
     def _runs(self, text: str, true: str, wrong: str, at: dict[int, tuple[int, str]]) -> tuple[list[tuple[int, int, str | None]], float]:
@@ -581,6 +606,13 @@ class Finder:
         return first or 0, text, sure
 
 
+def _kind(c: str) -> str:
+    """Cyrillic, accented Latin or a sign of texts in these; nothing for other characters."""
+    return "cyrillic" if "А" <= c <= "я" or c in "ёЁ" else "latin" if c in _ACCENTED or c in _USUAL or c in "«»ßœŒ" else ""
+
+
+#: Letters and signs above ASCII that are usual in Western texts.
+_USUAL = frozenset("áéíóúüñ¿¡àâçèêëîïôœùûäöß’“”…–—")
 _ACCENTED = frozenset("áéíóúüñàâçèêëîïôœùûäößãõåæøÁÉÍÓÚÜÑÀÂÇÈÊÄÖÃÕÅÆØ")
 
 
