@@ -17,7 +17,7 @@ def test_names_agree():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["a26_node_set", "f8_r25_candidates", "w5_segments", "t7_j4_j5_samples", "p5_found", "p6_found"])
+@pytest.mark.parametrize("name", ["a26_node_set", "f8_r25_candidates", "w5_segments", "t7_j4_j5_samples", "t13_w8_rl_rows", "a22_kept_means", "w4_f17_micro_frame", "r3_r7_checked", "p5_found", "p6_found"])
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(DATA):
