@@ -313,7 +313,7 @@ class Finder:
         for pair, got in sorted(found, key=lambda x: (*rank[x[0]], x[0])):
             sure = pair not in likely or likely[pair] >= LIKELY and all(other[0] == pair[0] or w < RIVAL * weight[pair] for other, w in weight.items())
             for s, e, c in (*self._stretch(text, pair, got), *got):
-                if not any(taken[s:e]):
+                if taken.find(1, s, e) < 0:
                     taken[s:e] = b"\1" * (e - s)
                     out.append((s, e, c, sure))
         return sorted(out, key=lambda x: x[0])
@@ -325,8 +325,9 @@ class Finder:
         true = "utf-8" if kind in ("unit", "plain") else kind.partition(" ")[2]
         if not true or wrong not in self.bytes:
             return []
-        wide = sum(not x.isascii() for x in text)
-        low, high = (0, len(text)) if 2 * sum(not x.isascii() for s, e, _ in got for x in text[s:e]) >= wide else (min(s for s, _, _ in got), max(e for _, e, _ in got))
+        wide = len(text) - len(text.encode("ascii", "ignore"))
+        proven = "".join([text[s:e] for s, e, _ in got])
+        low, high = (0, len(text)) if 2 * (len(proven) - len(proven.encode("ascii", "ignore"))) >= wide else (min(s for s, _, _ in got), max(e for _, e, _ in got))
         out = []
         latin = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalpha()
         inner = (low, high)
