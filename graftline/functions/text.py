@@ -156,6 +156,16 @@ def strip_candidate_block(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<POTENTIAL_SPANS>.*?</POTENTIAL_SPANS>", "")
 
 
+def bump_candidates(c: Column, by: int) -> Column:
+    """The text with the depths of its block's candidates raised, none below 0; other parts and texts without a block stay."""
+    cell = "user_name string, interests array<string>, depth int"
+    raised = lambda x: F.struct(x.user_name.alias("user_name"), x.interests.alias("interests"), F.greatest(x.depth + by, F.lit(0)).alias("depth"))
+    cells = F.transform(candidates(c, last=False), lambda x: F.concat(F.lit(PSEP), F.to_json(raised(F.from_json(x, cell))), F.lit(PSEP)))
+    head = F.substring_index(c, SPANS_START, 1)
+    tail = _after(c, F.locate(SPANS_END, c) + len(SPANS_END) - 1)
+    return F.when(c.contains(SPANS_START) & c.contains(SPANS_END), F.concat(head, F.lit(SPANS_START), F.array_join(cells, ""), F.lit(SPANS_END), tail)).otherwise(c)
+
+
 def render_messages(messages: Column) -> Column:
     """``ROLE:`` line and content of each message."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.upper(F.coalesce(m.role, F.lit(""))), F.lit(":\n"), F.coalesce(m.content, F.lit("")), F.lit("\n"))), "")

@@ -85,6 +85,13 @@ def f12_strip_block(spark: SparkSession, d: str) -> DataFrame:
     return _users(spark, d).select("id", text.strip_candidate_block(F.col("u")).alias("rest"))
 
 
+@query(rf"""SELECT id, TRY_CAST(json_extract_string(nullif(regexp_extract(u, '(?s)<POTENTIAL_SPANS>\s*<\|psep\|>(\{{.*?\}})<\|psep\|>', 1), ''), '$.depth') AS INTEGER) + 2 AS depth, CAST(len({CANDS}) AS INTEGER) AS n,
+ regexp_replace(u, '(?s)<POTENTIAL_SPANS>.*?</POTENTIAL_SPANS>', '', 'g') AS rest FROM (SELECT id, {USER} AS u FROM sft)""")
+def f12_bumped_depths(spark: SparkSession, d: str) -> DataFrame:
+    u = text.bump_candidates(F.col("u"), 2)
+    return _users(spark, d).select("id", u.alias("u")).select("id", text.candidate_depth(F.col("u")).alias("depth"), F.size(text.candidates(F.col("u"))).alias("n"), text.strip_candidate_block(F.col("u")).alias("rest"))
+
+
 @query("SELECT id, array_to_string(list_transform(messages, lambda m: upper(coalesce(m.role, '')) || ':' || chr(10) || coalesce(m.content, '') || chr(10)), '') AS plain FROM sft")
 def f13_render_messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft").select("id", text.render_messages(F.col("messages")).alias("plain"))
