@@ -54,7 +54,7 @@ def _trainer_lines(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT user_id AS file, CAST(pos AS INTEGER) AS line_no, event_id, event_type, CAST(last_value(CASE WHEN event_type = 'signup' THEN event_id % 7 END IGNORE NULLS) OVER w AS INTEGER) AS epoch,
  CAST(last_value(CASE WHEN event_type = 'signup' THEN 7 END IGNORE NULLS) OVER w AS INTEGER) AS epoch_total, CAST(last_value(CASE WHEN event_type = 'purchase' THEN event_id % 10000 END IGNORE NULLS) OVER w AS INTEGER) AS step_in_epoch,
  last_value(CASE WHEN event_type = 'purchase' THEN (event_id % 1000) / 1000.0 END IGNORE NULLS) OVER w AS total_loss FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
-SELECT file, line_no, CAST(event_id % 4 AS INTEGER) AS micro, 4 AS micro_total, epoch, epoch_total, step_in_epoch, total_loss, (event_id % 1000) / 10000.0 AS cls0_loss, 0.0 AS cls1_loss, -1.5 AS content_loss,
+SELECT file, line_no, CAST(event_id % 4 AS INTEGER) AS micro, 4 AS micro_total, epoch, epoch_total, step_in_epoch, total_loss, round((event_id % 1000) / 10000.0, 6) AS cls0_loss, CAST(0 AS DOUBLE) AS cls1_loss, CAST(-1.5 AS DOUBLE) AS content_loss,
  CAST(event_id % 3 AS INTEGER) AS depth0, 0 AS depth1, 16 AS pairs FROM c WHERE event_type NOT IN ('signup', 'purchase')""")
 def w4_f17_micro_frame(spark: SparkSession, d: str) -> DataFrame:
     """Micro batches with the epoch, step and loss told before them, carried over blocks of 7 lines."""
