@@ -144,7 +144,7 @@ def t9_t10_rollout(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ROOTS + """, n AS (SELECT record_id, 0 AS depth, u AS "user", 'ok' AS status, 3 AS n_pred, 1 AS n_gold, 1 AS tp, round(2 * (1 / 3.0) / (1 / 3.0 + 1), 6) AS f1, round(2 * (1 / 3.0) / (1 / 3.0 + 1), 6) AS reward FROM r
- UNION ALL SELECT record_id, 1, u || k, 'parse_fail_json', 0, 1, 0, NULL, -1.0 FROM r, k) SELECT record_id, depth, "user" AS user_name, status, n_pred, n_gold, tp, f1, reward FROM n""")
+ UNION ALL SELECT record_id, 1, u || k, 'parse_fail_json', 0, 1, 0, NULL, -1.0 FROM r, k) SELECT record_id, depth, "user" AS user_name, status, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_gold AS BIGINT) AS n_gold, CAST(tp AS BIGINT) AS tp, f1, reward FROM n""")
 def t11_t12_j14_m20_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """A model that answers with text: three names at the root, of which the pool holds two, and what cannot be read below."""
     import pandas as pd
