@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,26 +56,54 @@ def _met(asked: DataFrame, pool_chunks: DataFrame, kids: DataFrame) -> DataFrame
     return met.join(pool_chunks.select("root_user", "chunk", "pos", F.col("user_name").alias("user")), ["root_user", "user"])
 
 
-def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, block: int = 64) -> DataFrame:
-    """The same as ``gathered(labelled(...))``, without a row per candidate.
+def in_arrays(cells: Column) -> list[Column]:
+    """Candidates, types and texts of a sample from its cells, as arrays."""
+    return [F.transform(cells, lambda c: c.user).alias("candidates"), F.transform(cells, lambda c: c.reaction).alias("types"), F.transform(cells, lambda c: c.said).alias("texts")]
+
+
+def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, form: Callable[[Column], list[Column]] = in_arrays, block: int = 512, lot: int = 256, task: int = 1 << 22) -> DataFrame:
+    """The same as ``gathered(labelled(...))``, without a row per candidate; ``form`` says what is told of a sample's cells.
 
-    A node meets ``block`` chunks of its pool at a time, so that large pools spread over tasks; its reactions are
-    brought to it before, and the samples leave the last join as they are: what is shuffled grows with nodes x blocks.
+    Nearly all samples hold no reaction: what they tell is made once a chunk, and only for the others once a sample. About
+    ``lot`` nodes (each chunk they react in counts as one more) meet ``block`` chunks of their pool in one row, which is
+    unfolded where it is written. So no author's samples stay in one task, and what is shuffled grows with
+    samples / lot + samples / block. A task gets about ``task`` samples: the bytes it reads do not tell how many it makes.
     """
-    part = F.floor(F.col("chunk") / block).cast("int")
-    chunk = pool_chunks.groupBy("root_user", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("user_name").alias("user")))).alias("cells")).withColumn("part", part)
-    parts = pool_chunks.groupBy("root_user").agg(F.max(part).alias("parts"))
+    from graftline.runtime import Scratch
+
+    spark = nodes.sparkSession
+    kept = Scratch(spark, "samples")
+    pool_chunks = kept.write(pool_chunks.select("root_user", "chunk", "pos", "user_name"))
+    part = F.floor(F.col("chunk") / block).cast("int").alias("part")
     asked = nodes.where("depth IN (0, 1)").select("record_id", "node_id", "root_user", "depth")
-    met = _met(asked, pool_chunks, kids).groupBy("record_id", "node_id", part.alias("part")).agg(F.collect_list(F.struct("chunk", "pos", "reaction", "said")).alias("met"))  # at most a block's candidates
-    rows = asked.join(parts, "root_user").withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
-    rows = rows.join(met, ["record_id", "node_id", "part"], "left").join(chunk, ["root_user", "part"])
-    rows = rows.withColumn("met", F.filter("met", lambda m: m.chunk == F.col("chunk")))
-    own = F.transform("cells", lambda c: F.get(F.filter("met", lambda m: m.pos == c.pos), F.lit(0)))
-    return rows.withColumn("own", own).select(
-        F.format_string("%s_node_%s_potchunk_%s_tL%s", "record_id", "node_id", "chunk", "depth").alias("id"), "record_id", F.col("depth").alias("node_depth"),
-        F.transform("cells", lambda c: c.user).alias("candidates"),
-        F.when(F.col("met").isNull(), F.transform("cells", lambda c: F.lit(0))).otherwise(F.transform("own", lambda m: F.coalesce(m.reaction, F.lit(0)))).alias("types"),
-        F.when(F.col("met").isNull(), F.transform("cells", lambda c: F.lit(""))).otherwise(F.transform("own", lambda m: F.coalesce(m.said, F.lit("")))).alias("texts"))
+    cell = F.struct("pos", F.col("user_name").alias("user"), F.lit(0).alias("reaction"), F.lit("").alias("said"))
+    chunk = pool_chunks.groupBy("root_user", "chunk").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+    met = _met(asked, pool_chunks, kids).groupBy("record_id", "node_id", "root_user", "chunk").agg(F.collect_list(F.struct("pos", "reaction", "said")).alias("met"))  # at most a chunk's candidates
+    own = lambda c, m: F.struct(c.pos.alias("pos"), c.user.alias("user"), F.coalesce(m.reaction, c.reaction).alias("reaction"), F.coalesce(m.said, c.said).alias("said"))
+    cells = F.transform("cells", lambda c: own(c, F.get(F.filter("met", lambda m: m.pos == c.pos), F.lit(0))))
+    told = met.join(chunk, ["root_user", "chunk"]).withColumn("cells", cells)
+    told = kept.write(told.select("record_id", "node_id", "root_user", part, "chunk", F.struct(*form(F.col("cells"))).alias("told")))
+
+    weight = asked.select("root_user").unionAll(told.select("root_user")).groupBy("root_user").agg(F.ceil(F.count("*") / lot).alias("lots"))
+    count = asked.groupBy("root_user").agg(F.count("*").alias("n"))
+    sizes = pool_chunks.groupBy("root_user").agg((F.max("chunk") + 1).alias("chunks")).join(weight, "root_user").join(count, "root_user")
+    sizes = kept.write(sizes.select("root_user", "lots", F.ceil(F.col("chunks") / block).cast("int").alias("parts"), (F.col("n") * F.col("chunks")).alias("samples")))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, (sizes.agg(F.sum("samples")).first()[0] or 0) // task)
+
+    by = ["root_user", "part", "lot"]
+    head, tail = F.concat("record_id", F.lit("_node_"), "node_id", F.lit("_potchunk_")), F.concat(F.lit("_tL"), "depth")
+    rows = asked.join(sizes, "root_user").withColumn("lot", F.pmod(F.xxhash64("record_id", "node_id"), "lots")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    reacted = told.groupBy("record_id", "node_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "told"))).alias("own"))
+    rows = rows.join(reacted, ["record_id", "node_id", "part"], "left").select(*by, F.struct("record_id", "depth", head.alias("head"), tail.alias("tail"), "own").alias("node"))
+    lots = rows.repartition(tasks, *by).groupBy(*by).agg(F.collect_list("node").alias("nodes"))
+    cell = F.struct("chunk", F.col("chunk").cast("string").alias("number"), F.struct(*form(F.col("cells"))).alias("plain"))
+    blocks = chunk.select("root_user", part, cell.alias("cell")).groupBy("root_user", "part").agg(F.collect_list("cell").alias("cells"))
+    blocks = blocks.join(sizes, "root_user").select("root_user", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"), "cells").repartition(tasks, *by)
+
+    rows = lots.join(blocks, by).select("cells", F.inline("nodes")).select("record_id", "depth", "head", "tail", "own", F.inline("cells"))
+    found = F.coalesce(F.col("own")[F.col("chunk")], F.col("plain"))
+    return rows.select(F.concat("head", "number", "tail").alias("id"), "record_id", F.col("depth").alias("node_depth"), *[found[name].alias(name) for name in rows.schema["plain"].dataType.names])
 
 
 def candidate_stats(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame) -> DataFrame:

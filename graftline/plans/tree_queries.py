@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.operators import samples, trees
@@ -134,9 +134,14 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return known, samples.chunks(trees.pools(known), ["root_user"], "user_name", CHUNK), trees.children(known)
 
 
+def _in_lines(cells: Column) -> list[Column]:
+    """Candidates and types of a sample from its cells, each in one string."""
+    return [F.array_join(F.transform(cells, lambda c: c.user), "|").alias("candidates"), F.array_join(F.transform(cells, lambda c: c.reaction.cast("string")), ",").alias("types")]
+
+
 @query(LABELS + "SELECT record_id || '_node_' || node_id || '_potchunk_' || chunk || '_tL' || depth AS id, depth AS node_depth, array_to_string(list(user_name ORDER BY pos), '|') AS candidates, array_to_string(list(reaction ORDER BY pos), ',') AS types FROM cell GROUP BY record_id, node_id, depth, chunk")
 def t7_j4_j5_samples(spark: SparkSession, d: str) -> DataFrame:
-    return samples.sampled(*_asked(spark, d)).select("id", "node_depth", F.array_join("candidates", "|").alias("candidates"), F.array_join(F.transform("types", lambda x: x.cast("string")), ",").alias("types"))
+    return samples.sampled(*_asked(spark, d), form=_in_lines).select("id", "node_depth", "candidates", "types")
 
 
 @query(LABELS + "SELECT depth, count(DISTINCT (record_id, node_id, chunk)) AS n_samples, count(*) AS n_cands, count(*) FILTER (reaction <> 0) AS n_gold, round(count(*) FILTER (reaction <> 0) / count(*), 6) AS share FROM cell GROUP BY depth")

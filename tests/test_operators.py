@@ -259,6 +259,36 @@ def test_samples_of_pools_of_any_size(spark, tmp_path):
     assert a.count() == b.count() > 0 and not a.exceptAll(b).count() and not b.exceptAll(a).count()
 
 
+def test_samples_are_unfolded_after_the_last_join(spark, tmp_path):
+    """What a sample tells is made once a chunk, not once a sample: above the last join nothing goes over cells. Small blocks,
+    lots and tasks give the same samples as large ones."""
+    from graftline.plans import tree_queries
+
+    nodes = spark.sql("""SELECT r AS record_id, if(i = 0, r, 100 * r + i) AS node_id, if(i = 0, NULL, if(i < 12, r, 100 * r + i - 11)) AS parent_id, if(r = 4, NULL, concat('a', r % 2)) AS root_user,
+        CASE WHEN i = 0 THEN concat('a', r % 2) WHEN i = 5 THEN NULL ELSE concat('u', (i * r) % 17) END AS user, CASE WHEN i = 0 THEN 0L WHEN i < 12 THEN 1L ELSE 2L END AS depth,
+        if(i % 7 = 3, concat('x//@', i), concat('said ', i)) AS content, if(i % 5 = 4, '转发微博', '评论') AS kind, if(i % 6 = 1, array(), array('x')) AS interests FROM (SELECT explode(sequence(1L, 5L)) AS r), (SELECT explode(sequence(0L, 30L)) AS i)""")
+    pool, kids = samples.chunks(trees.pools(nodes), ["root_user"], "user_name", 2), trees.children(nodes)
+    want = samples.gathered(samples.labelled(nodes, pool, kids))
+    assert want.where("exists(types, t -> t = 2)").count() and want.where("exists(types, t -> t = 1)").count() and want.where("id LIKE '%potchunk_4%'").count()
+    for sizes in ({}, {"block": 3, "lot": 2, "task": 5}, {"block": 1, "lot": 1}):
+        got = samples.sampled(nodes, pool, kids, **sizes).select(*want.columns)
+        assert got.count() == want.count() > 100 and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    nodes.write.parquet(f"{tmp_path}/known")
+    known = spark.read.parquet(f"{tmp_path}/known")
+    asked = tree_queries._asked
+    try:
+        tree_queries._asked = lambda *_: (known, samples.chunks(trees.pools(known), ["root_user"], "user_name", 8), trees.children(known))
+        rows = tree_queries.QUERIES["t7_j4_j5_samples"](spark, "")
+    finally:
+        tree_queries._asked = asked
+    plan, above = rows._jdf.queryExecution().optimizedPlan(), []
+    while plan.nodeName() != "Join":
+        above.append(plan.simpleString(10_000))
+        assert plan.children().size() == 1
+        plan = plan.children().apply(0)
+    assert above and not [x for x in above if "lambda" in x or "format_string" in x or "sort_array" in x]
+
+
 def test_nodes_are_placed_within_their_post():
     ids, parents = [1, 2, 3, 4, 5, 6, 7, 3, 8], [None, 1, 2, 99, 6, 5, 5, 1, 8]
     assert trees.depths(ids, parents) == [0, 1, None, None, None, None, None, 1, None]  # the copy of 3 with the smaller parent counts; 4 has no parent, 5 to 8 hang in cycles
