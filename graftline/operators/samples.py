@@ -61,13 +61,19 @@ def in_arrays(cells: Column) -> list[Column]:
     return [F.transform(cells, lambda c: c.user).alias("candidates"), F.transform(cells, lambda c: c.reaction).alias("types"), F.transform(cells, lambda c: c.said).alias("texts")]
 
 
-def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, form: Callable[[Column], list[Column]] = in_arrays, block: int = 512, lot: int = 256, task: int = 1 << 22) -> DataFrame:
+#: Samples below which a block is not copied to occupy more cores.
+LEAST = 1 << 16
+
+
+def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, form: Callable[[Column], list[Column]] = in_arrays, block: int = 2048, lot: int = 64, task: int = 1 << 22) -> DataFrame:
     """The same as ``gathered(labelled(...))``, without a row per candidate; ``form`` says what is told of a sample's cells.
 
     Nearly all samples hold no reaction: what they tell is made once a chunk, and only for the others once a sample. About
     ``lot`` nodes (each chunk they react in counts as one more) meet ``block`` chunks of their pool in one row, which is
-    unfolded where it is written. So no author's samples stay in one task, and what is shuffled grows with
-    samples / lot + samples / block. A task gets about ``task`` samples: the bytes it reads do not tell how many it makes.
+    unfolded where it is written; a row unfolds at once, so both bound the memory. Each copy of a block meets many lots, one
+    after the other, up to about ``task`` samples, so that what is shuffled grows with samples / block + samples * block / task
+    and not with samples / lot. A task gets about ``task`` samples: the bytes it reads do not tell how many it makes. Where
+    samples are few, a copy meets fewer lots, so that all cores have some.
     """
     from graftline.runtime import Scratch
 
@@ -85,21 +91,24 @@ def sampled(nodes: DataFrame, pool_chunks: DataFrame, kids: DataFrame, form: Cal
     told = met.join(chunk, ["root_user", "chunk"]).withColumn("cells", cells)
     told = kept.write(told.select("record_id", "node_id", "root_user", part, "chunk", F.struct(*form(F.col("cells"))).alias("told")))
 
-    weight = asked.select("root_user").unionAll(told.select("root_user")).groupBy("root_user").agg(F.ceil(F.count("*") / lot).alias("lots"))
+    weight = asked.select("root_user").unionAll(told.select("root_user")).groupBy("root_user").agg(F.count("*").alias("weight"))
     count = asked.groupBy("root_user").agg(F.count("*").alias("n"))
     sizes = pool_chunks.groupBy("root_user").agg((F.max("chunk") + 1).alias("chunks")).join(weight, "root_user").join(count, "root_user")
-    sizes = kept.write(sizes.select("root_user", "lots", F.ceil(F.col("chunks") / block).cast("int").alias("parts"), (F.col("n") * F.col("chunks")).alias("samples")))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, (sizes.agg(F.sum("samples")).first()[0] or 0) // task)
+    sizes = kept.write(sizes.select("root_user", "chunks", "weight", (F.col("n") * F.col("chunks")).alias("samples")))
+    cores, total = spark.sparkContext.defaultParallelism, sizes.agg(F.sum("samples")).first()[0] or 0
+    tasks, most = max(2 * cores, total // task), min(task, max(LEAST, total // (8 * cores)))
+    lots, meets = F.ceil(F.col("weight") / lot), F.ceil(most / (lot * F.least(F.lit(block), "chunks")))
+    sizes = sizes.select("root_user", lots.alias("lots"), meets.alias("meets"), F.ceil(F.col("lots") / F.col("meets")).alias("copies"), F.ceil(F.col("chunks") / block).cast("int").alias("parts"))
 
-    by = ["root_user", "part", "lot"]
+    by = ["root_user", "part", "copy"]
     head, tail = F.concat("record_id", F.lit("_node_"), "node_id", F.lit("_potchunk_")), F.concat(F.lit("_tL"), "depth")
-    rows = asked.join(sizes, "root_user").withColumn("lot", F.pmod(F.xxhash64("record_id", "node_id"), "lots")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = asked.join(sizes, "root_user").withColumn("lot", F.pmod(F.xxhash64("record_id", "node_id"), "lots")).withColumn("copy", F.floor(F.col("lot") / F.col("meets"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     reacted = told.groupBy("record_id", "node_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "told"))).alias("own"))
-    rows = rows.join(reacted, ["record_id", "node_id", "part"], "left").select(*by, F.struct("record_id", "depth", head.alias("head"), tail.alias("tail"), "own").alias("node"))
-    lots = rows.repartition(tasks, *by).groupBy(*by).agg(F.collect_list("node").alias("nodes"))
+    rows = rows.join(reacted, ["record_id", "node_id", "part"], "left").select(*by, "lot", F.struct("record_id", "depth", head.alias("head"), tail.alias("tail"), "own").alias("node"))
+    lots = rows.repartition(tasks, *by).groupBy(*by, "lot").agg(F.collect_list("node").alias("nodes"))
     cell = F.struct("chunk", F.col("chunk").cast("string").alias("number"), F.struct(*form(F.col("cells"))).alias("plain"))
-    blocks = chunk.select("root_user", part, cell.alias("cell")).groupBy("root_user", "part").agg(F.collect_list("cell").alias("cells"))
-    blocks = blocks.join(sizes, "root_user").select("root_user", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"), "cells").repartition(tasks, *by)
+    blocks = chunk.select("root_user", part, cell.alias("cell")).groupBy("root_user", "part").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    blocks = blocks.join(sizes, "root_user").select("root_user", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), "cells").repartition(tasks, *by)
 
     rows = lots.join(blocks, by).select("cells", F.inline("nodes")).select("record_id", "depth", "head", "tail", "own", F.inline("cells"))
     found = F.coalesce(F.col("own")[F.col("chunk")], F.col("plain"))

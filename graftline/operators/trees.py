@@ -155,11 +155,12 @@ def parent_users(nodes: DataFrame) -> DataFrame:
 
 
 def children(nodes: DataFrame) -> DataFrame:
-    """(record_id, parent_id, user, reaction, said): the last reaction of each user below a node."""
+    """(record_id, parent_id, user, reaction, said): the last reaction of each user below a node; texts are moved only where
+    ``said`` is read."""
     from graftline.functions.text import reaction, strip_repost_tail, without_markers
 
     content = F.coalesce("content", F.lit(""))
     kind = reaction(F.col("kind"), content)
     said = F.when(kind == 1, without_markers(strip_repost_tail(content))).otherwise("")
     rows = nodes.where("parent_id IS NOT NULL AND user <> ''")
-    return rows.groupBy("record_id", "parent_id", "user").agg(F.max_by(F.struct(kind.alias("reaction"), said.alias("said")), "node_id").alias("b")).select("record_id", "parent_id", "user", "b.reaction", "b.said")
+    return rows.groupBy("record_id", "parent_id", "user").agg(F.max_by(kind, "node_id").alias("reaction"), F.max_by(said, "node_id").alias("said"))

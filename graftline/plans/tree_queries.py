@@ -141,7 +141,8 @@ def _in_lines(cells: Column) -> list[Column]:
 
 @query(LABELS + "SELECT record_id || '_node_' || node_id || '_potchunk_' || chunk || '_tL' || depth AS id, depth AS node_depth, array_to_string(list(user_name ORDER BY pos), '|') AS candidates, array_to_string(list(reaction ORDER BY pos), ',') AS types FROM cell GROUP BY record_id, node_id, depth, chunk")
 def t7_j4_j5_samples(spark: SparkSession, d: str) -> DataFrame:
-    return samples.sampled(*_asked(spark, d), form=_in_lines).select("id", "node_depth", "candidates", "types")
+    nodes, pool, kids = _asked(spark, d)
+    return samples.sampled(nodes, pool, kids.withColumn("said", F.lit("")), form=_in_lines).select("id", "node_depth", "candidates", "types")
 
 
 @query(LABELS + "SELECT depth, count(DISTINCT (record_id, node_id, chunk)) AS n_samples, count(*) AS n_cands, count(*) FILTER (reaction <> 0) AS n_gold, round(count(*) FILTER (reaction <> 0) / count(*), 6) AS share FROM cell GROUP BY depth")

@@ -289,6 +289,23 @@ def test_samples_are_unfolded_after_the_last_join(spark, tmp_path):
     assert above and not [x for x in above if "lambda" in x or "format_string" in x or "sort_array" in x]
 
 
+def test_samples_of_many_lots_share_the_copies_of_a_block(spark):
+    """Of 160 million samples of one author less than one row in 500 is shuffled, and no row unfolds to more than 2 ** 19 at once."""
+    from pyspark.sql import DataFrame
+
+    nodes = spark.range(40_000, numPartitions=4).selectExpr("id AS record_id", "id AS node_id", "'a' AS root_user", "0L AS depth")
+    pool = spark.range(32_000).selectExpr("'a' AS root_user", "cast(id div 8 AS int) AS chunk", "cast(id AS int) + 1 AS pos", "concat('u', id) AS user_name")
+    kids = spark.sql("SELECT 7L AS record_id, 7L AS parent_id, 'u9' AS user, 1 AS reaction, 'hi' AS said")
+    rows = samples.sampled(nodes, pool, kids, samples.in_arrays)
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    lots, blocks = (DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().apply(i)), spark) for i in (0, 1))
+    moved, most = lots.selectExpr("sum(size(nodes))", "max(size(nodes))").first()
+    copied, longest = blocks.selectExpr("sum(size(cells))", "max(size(cells))").first()
+    assert (moved + copied) * 500 < 40_000 * 4_000 and most * longest < 1 << 19
+
+
 def test_nodes_are_placed_within_their_post():
     ids, parents = [1, 2, 3, 4, 5, 6, 7, 3, 8], [None, 1, 2, 99, 6, 5, 5, 1, 8]
     assert trees.depths(ids, parents) == [0, 1, None, None, None, None, None, 1, None]  # the copy of 3 with the smaller parent counts; 4 has no parent, 5 to 8 hang in cycles
